@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe_roundtrip import op4_bpe_roundtrip
+from .decontaminate import op8_decontaminate
+from .near_dup import op2_near_dup
 from .token_store import op1_token_store
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_bpe_roundtrip)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_near_dup, op4_bpe_roundtrip, op8_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
