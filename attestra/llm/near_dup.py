@@ -9,13 +9,13 @@ unions are the greater registers, and equal registers are about as likely as the
    bucket with a probability of about 1e-8.
 3. Star: each bucket's least node is held against all others in it. From the counts of greater,
    equal and lesser registers and the two set sizes, the similarity of greatest likelihood is
-   estimated; pairs more than SLACK under the threshold go (over 4.5 standard errors). The others
+   estimated; pairs more than SLACK under the threshold go (over 4 standard errors). The others
    are verified on full sets, read anew from the texts of just those documents.
-4. Buckets in which nodes other than the least remain in different components are done whole:
-   their nodes' registers are compared in blocks of BLOCK nodes, pairs within a component aside.
-   First the likeliest few pairs of each node are verified, then, with what those have joined,
-   all that are left. So a group of thousands of copies needs about as many pairs as it has
-   members, and no link is capped away.
+4. Buckets in which nodes other than the least remain in different components are starred again,
+   around nodes drawn by hash, a few for each group, and then done whole: their nodes' registers
+   are compared in blocks of BLOCK nodes, and likely pairs between components are verified. A pair
+   comes up in the first of the buckets that it shares. So a group of thousands of copies
+   needs about as many pairs as it has members, and no link is capped away.
 5. Components of verified links, by large-star and small-star rounds.
 
 A null, empty or wordless text has an empty set: it is linked with nothing and is its own
@@ -43,7 +43,7 @@ WORDS, SHARE = 5, 75
 BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.001
-SLACK = 0.15
+SLACK = 0.13
 BLOCK = 1024
 #: Ids up to which a list of documents is sent to all executors rather than joined.
 FEW_IDS = 1_000_000
@@ -109,9 +109,10 @@ def _bands(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(rows).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), BANDS)))], names=["bucket", "node"])
+            bands = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(rows).ravel()), bands, batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), BANDS)))], names=["bucket", "band", "node"])
 
-    return map_arrow(nodes.select("node", "registers"), run, "bucket long, node binary")
+    return map_arrow(nodes.select("node", "registers"), run, "bucket long, band int, node binary")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
@@ -168,16 +169,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return map_arrow(joined.select("u", "v", "su", "sv"), run, "u binary, v binary")
 
 
-def _labelled(links: DataFrame, buckets: DataFrame) -> DataFrame:
-    """bucket, node, root of the buckets' rows by the components of links."""
+def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """bucket, band, node, root, n of the buckets whose nodes are in different components of links."""
     found = components(links)
-    return buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rows = buckets.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
+    return written(rows.join(open_, "bucket"), "open")
 
 
-def _open_pairs(labelled: DataFrame, nodes: DataFrame, share: int, top: int | None) -> DataFrame:
-    """Likely pairs (u, v) between components within buckets, compared in blocks; with top, the likeliest of each node for each other component."""
-    open_ = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_, "bucket").join(nodes.select("node", "n_shingles", "registers"), "node")
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) between components: of each bucket's nodes with one drawn by hash, the same one in a quarter of a group's buckets."""
+    lead = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.col("band") % 4)).alias("lead"))
+    pairs = rows.join(lead, "bucket").where(F.col("root") != F.col("lead.root"))
+    return pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+
+
+def _open_pairs(rows: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """Likely pairs (u, v) between components within open buckets, compared in blocks, each in the first bucket that it shares."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(nodes.select("node", "n_shingles", "registers"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each row goes to the pairs of its block with every block
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -185,32 +194,31 @@ def _open_pairs(labelled: DataFrame, nodes: DataFrame, share: int, top: int | No
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
         regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
+        before = int(pdf["band"].iloc[0]) * ROWS
         node, size = pdf["node"].to_numpy(), pdf["n_shingles"].to_numpy()
         root, block = pd.factorize(pdf["root"])[0], pdf["block"].to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         common = np.bincount(root).argmax()
-        u, v, e = [], [], []
+        u, v = [], []
         for i in np.flatnonzero(root != common).tolist():
             # a pair of two uncommon roots comes up once, at its lesser row
             fits = (root != root[i]) & ((root == common) | (np.arange(len(root)) > i)) & (100 * np.minimum(size, size[i]) >= share * np.maximum(size, size[i]))
             if across:
                 fits &= block != block[i]
             j = np.flatnonzero(fits)
-            j = j[(regs[j] == regs[i]).mean(axis=1) >= share / 100 - SLACK - 0.02]
+            same = regs[j] == regs[i]
+            likely = same.mean(axis=1) >= share / 100 - SLACK - 0.02
+            j, same = j[likely], same[likely, :before]
+            j = j[~same.reshape(len(j), -1, ROWS).all(axis=2).any(axis=1)] if before else j
             if len(j):
-                s = estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j])
-                keep = s >= share / 100 - SLACK
-                j, s = j[keep], s[keep]
-                if top is not None:
-                    best = pd.DataFrame({"r": root[j], "s": -s}).sort_values("s", kind="stable").groupby("r").head(top).index.to_numpy()
-                    j = j[best]
+                j = j[estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j]) >= share / 100 - SLACK]
                 for k in j.tolist():
                     a, b = sorted((node[i], node[k]))
                     u.append(a)
                     v.append(b)
         return pd.DataFrame({"u": u, "v": v})
 
-    rows = rows.select("bucket", "lo", "hi", "block", "node", "root", "n_shingles", "registers")
+    rows = rows.select("bucket", "band", "lo", "hi", "block", "node", "root", "n_shingles", "registers")
     return rows.groupBy("bucket", "lo", "hi").applyInPandas(compare, "u binary, v binary").distinct()
 
 
@@ -226,11 +234,12 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(shared.where("n > 2").select("node")).distinct()
     sets = written(_sets(docs, nodes, wanted), "sets")
     links = written(_verified(pairs, sets, share), "links")
-    buckets = shared.where("n > 2").select("bucket", "node")
-    for top in (2, None):
-        more = written(_open_pairs(_labelled(links, buckets), nodes, share, top), "pairs").join(pairs, ["u", "v"], "left_anti")
-        found = written(_verified(more, sets, share), "links")
-        pairs, links = pairs.union(more), links.union(found)
+    buckets = shared.where("n > 2").select("bucket", "band", "node")
+    rows_left = _open(buckets, links)
+    more = written(_likely(_stars(rows_left), nodes, share), "pairs").join(pairs, ["u", "v"], "left_anti")
+    links = links.union(written(_verified(more, sets, share), "links"))
+    rows_left = _open(rows_left.select("bucket", "band", "node"), links)
+    links = links.union(written(_verified(_open_pairs(rows_left, nodes, share), sets, share), "links"))
     found = components(links)
     ids = nodes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = found.join(ids, "root").select("node", "component_id")
