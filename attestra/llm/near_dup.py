@@ -209,7 +209,7 @@ def _open_pairs(rows: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             same = regs[j] == regs[i]
             likely = same.mean(axis=1) >= share / 100 - SLACK - 0.02
             j, same = j[likely], same[likely, :before]
-            j = j[~same.reshape(len(j), -1, ROWS).all(axis=2).any(axis=1)] if before else j
+            j = j[~same.reshape(len(j), before // ROWS, ROWS).all(axis=2).any(axis=1)] if before else j
             if len(j):
                 j = j[estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j]) >= share / 100 - SLACK]
                 for k in j.tolist():
