@@ -42,7 +42,7 @@ KNOWN: list[tuple[str, str]] = [
 #: Equivalent spellings, each made the second. Fixed values.
 SPELLINGS: list[tuple[str, str]] = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("v 2 0", "version 2 0"), ("http", "https")]
 #: A line that claims copyright: the word or sign, then a year or a holder.
-COPYRIGHT = r"(?m)^[\s#/*;.-]*(?:copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"(?m)^[\s#/*;.-]*(?:copyright\s*(?:\(c\)|©|by\b|:|,)?\s*(?:\(c\)|©|by\b|[0-9]{4})|\(c\)\s|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

@@ -9,8 +9,9 @@ level by level, so that leaves stay about as large at any size. Every row is put
 every tree.
 
 A query searches all trees through one priority queue of nodes, nearest margin first, until it has
-met LEAVES leaves. Queries and rows meet by leaf; each leaf gives its TOP best by exact inner
-product in double precision, and the best of those over all leaves are the result.
+met LEAVES leaves (more in indexes of over NORM vectors). Queries and rows meet by leaf, in order; each
+leaf gives its best by exact inner product in double precision, and the best of those over all
+leaves are the result.
 
 Rows of equal vectors are one vector in the index, with the TOP + 1 least ids, which is all that ties
 to smaller ids can ever show. Vectors that are null, empty, zero or hold null or non-finite
@@ -22,20 +23,24 @@ than TOP met, all that were met are returned. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import map_arrow, partitions, table, written
 
-TOP, TREES, LEAF, LEAVES, SAMPLE, SEED = 20, 24, 48, 220, 60_000, 11
+TOP, TREES, LEAF, SAMPLE, SEED = 20, 32, 64, 60_000, 11
+#: Leaves that a query meets in an index of up to NORM distinct vectors; beyond, their number grows with the power GROWTH.
+LEAVES, NORM, GROWTH = 520, 50_000, 0.25
 #: Queries that a worker's queue handles together; bounds its table of margins.
 TOGETHER = 64
+#: Found pairs that a task gathers before it keeps the best of each query.
+GATHER = 600_000
 
 
 @dataclass
@@ -94,10 +99,10 @@ class Trees:
         return found
 
 
-def grow(sample: np.ndarray, trees: int, leaf: int, levels: int) -> Trees:
-    """Trees over a sample; `levels` random splits go below each of their leaves."""
-    rng = np.random.default_rng(SEED)
-    direction, threshold, left, right, roots, members = [], [], [], [], [], []
+def _tree(sample: np.ndarray, number: int, leaf: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int], int, list[np.ndarray]]:
+    """One tree: directions, thresholds, children, root, rows of each leaf."""
+    rng = np.random.default_rng((SEED, number))
+    direction, threshold, left, right, members = [], [], [], [], []
 
     def split(rows: np.ndarray) -> int:
         if len(rows) > leaf:
@@ -119,13 +124,38 @@ def grow(sample: np.ndarray, trees: int, leaf: int, levels: int) -> Trees:
         members.append(rows)
         return -len(members)
 
-    for _ in range(trees):
-        roots.append(split(np.arange(len(sample))))
+    root = split(np.arange(len(sample)))
+    return np.array(direction).reshape(-1, sample.shape[1]), np.array(threshold), left, right, root, members
+
+
+def joined(sample: np.ndarray, parts: list[tuple], levels: int) -> Trees:
+    """Trees made one by one, as one set of arrays; `levels` random splits go below each of their leaves."""
     wide = sample.shape[1]
-    extra = rng.standard_normal((levels, wide)) if levels else np.zeros((0, wide))
-    extra /= np.linalg.norm(extra, axis=1, keepdims=True) if levels else 1
+    extra = np.random.default_rng(SEED).standard_normal((levels, wide))
+    extra /= np.linalg.norm(extra, axis=1, keepdims=True)
+    left, right, roots, members, nodes = [], [], [], [], 0
+    for direction, _, a, b, root, rows in parts:
+        move = lambda c, n=nodes, m=len(members): c + n if c >= 0 else c - m
+        left += map(move, a)
+        right += map(move, b)
+        roots.append(move(root))
+        members += rows
+        nodes += len(direction)
     centre = np.array([(sample[r].mean(axis=0) if len(r) else np.zeros(wide)) @ extra.T for r in members]).reshape(len(members), levels)
-    return Trees(np.array(direction).reshape(-1, wide), np.array(threshold), np.array(left, np.int64), np.array(right, np.int64), roots, extra, centre)
+    return Trees(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array(left, np.int64), np.array(right, np.int64), roots, extra, centre)
+
+
+def grow(spark: SparkSession, sample: np.ndarray, trees: int, leaf: int, levels: int) -> Trees:
+    """Trees over a sample, each grown by a task."""
+    shared = spark.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pickle.dumps(_tree(shared.value, t, leaf)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "tree"])
+
+    rows = map_arrow(spark.range(trees).repartition(trees), run, "id long, tree binary").collect()  # as many as trees, over at most SAMPLE rows
+    return joined(sample, [pickle.loads(r.tree) for r in sorted(rows)], levels)
 
 
 def _matrix(column: pa.Array, wide: int) -> np.ndarray:
@@ -140,7 +170,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int = TREES, leaf: int = LEAF, leaves: int = LEAVES, sample: int = SAMPLE) -> DataFrame:
+def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: neighbours found for each row whose vec_id is divisible by step."""
     spark = embeddings.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -163,7 +193,8 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
     some = np.array([r.embedding for r in picked], np.float64)
     lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(far**2 - (x**2).sum(axis=1, keepdims=True), 0))], axis=1)
     levels = max(0, int(np.ceil(np.log2(n / len(some)))))
-    forest = spark.sparkContext.broadcast(grow(lift(some), trees, leaf, levels))
+    leaves = leaves or int(LEAVES * max(1.0, n / NORM) ** GROWTH)
+    forest = spark.sparkContext.broadcast(grow(spark, lift(some), trees, leaf, levels))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,20 +220,52 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
     asking = written(asked.join(classes.select("embedding", "class"), "embedding").select(F.col("vec_id").alias("query_id"), "class"), "queries")
     asks = map_arrow(classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", F.col("embedding").cast("array<float>")), ask, meeting)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        if not asks.any() or asks.all():
-            return pd.DataFrame({"class": [], "other": [], "score": []})
-        x, y = pdf[asks], pdf[~asks]
-        a, b = (np.array(z["embedding"].tolist(), np.float64) for z in (x, y))
-        near, out = y["class"].to_numpy(), []
-        for i, c in enumerate(x["class"].to_numpy()):
-            score = product(np.broadcast_to(a[i], b.shape), b)
-            best = np.lexsort((near, -score))[: top + 1]
-            out.append(pd.DataFrame({"class": c, "other": near[best], "score": score[best]}))
-        return pd.concat(out)
-
-    met = rows.unionByName(asks).groupBy("leaf").applyInPandas(meet, "class long, other long, score double").distinct()
+    def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        new = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))  # equal pairs have equal scores
+        q, v, s = q[new], v[new], s[new]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) <= top
+        return q[keep], v[keep], s[keep]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of leaf, rows before queries."""
+        found, held, at, b, near = [], 0, None, np.zeros((0, wide)), np.zeros(0, np.int64)
+
+        def out(rows: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(list(map(pa.array, rows)), names=["class", "other", "score"])
+
+        for batch in batches:
+            leaf, asks, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vectors = _matrix(batch.column(3), wide)
+            cut = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (asks[1:] != asks[:-1])))
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(leaf)], strict=True):
+                if not asks[x]:
+                    fresh = leaf[x] != at
+                    b, near = (vectors[x:y], key[x:y]) if fresh else (np.concatenate([b, vectors[x:y]]), np.concatenate([near, key[x:y]]))
+                    at = leaf[x]
+                elif leaf[x] == at:
+                    for z in range(x, y, 256):
+                        a, q = vectors[z : min(y, z + 256)], key[z : min(y, z + 256)]
+                        score = np.zeros((len(a), len(b)))
+                        for j in range(wide):
+                            score += a[:, j, None] * b[None, :, j]
+                        pick = np.argsort(-score, axis=1, kind="stable")[:, : top + 1]
+                        found.append((np.repeat(q, pick.shape[1]), near[pick].ravel(), np.take_along_axis(score, pick, 1).ravel()))
+                        held += pick.size
+                if held > GATHER:
+                    found = [best_of(found)]
+                    held = len(found[0][0])
+                    if held > GATHER // 2:
+                        yield out(found[0])
+                        found, held = [], 0
+        if found:
+            yield out(best_of(found))
+
+    meets = rows.unionByName(asks).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "asks", "class")
+    met = map_arrow(meets, meet, "class long, other long, score double").distinct()
     best = met.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "other"))).where(F.col("_n") <= top + 1)
     best = written(best.select("class", "other", "score"), "met")
     # from distinct vectors back to rows: at most top + 1 vectors of at most top + 1 ids

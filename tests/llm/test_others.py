@@ -54,6 +54,13 @@ def test_quality_edges(spark, edge_docs):
     assert quality.scored(edge_docs.limit(0), forest).count() == 0
 
 
+def product(a, b):
+    total = 0.0
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
 def exact(rows, step, top):
     best = {}
     for k, v in rows:
@@ -64,7 +71,7 @@ def exact(rows, step, top):
     out = {}
     for q in best:
         if q % step == 0:
-            near = [(-sum(a * b for a, b in zip(best[q].tolist(), v.tolist())), k) for k, v in best.items() if k != q]
+            near = [(-product(best[q].tolist(), v.tolist()), k) for k, v in best.items() if k != q]
             out[q] = [(k, -s) for s, k in sorted(near)[:top]]
     return out
 
