@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe_roundtrip import op4_bpe_roundtrip
 from .decontaminate import op8_decontaminate
 from .licences import op10_licences
@@ -17,4 +18,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_store, op2_near_dup, op3_line_dedup, op4_bpe_roundtrip, op5_neighbours, op6_quality, op7_url_rules, op8_decontaminate, op9_shards, op10_licences)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
