@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def _rest(shared: DataFrame, links: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links between components within buckets, other than those of the first line."""
+    """Links that join components within buckets, beyond those of the first line: fewer than the bucket has lines."""
     rows = shared.select("bucket", F.col("v").alias("node")).distinct().join(components(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
     open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(open_, "bucket").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -255,7 +255,14 @@ def _rest(shared: DataFrame, links: DataFrame, sets: DataFrame, share: int) -> D
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         ids, root, block = pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        out = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if root[i] != root[j] and (not across or block[i] != block[j]) and _alike(sets[i], sets[j], share)]
+        root = pd.factorize(root)[0]
+        out = []
+        for i in range(len(ids)):
+            for j in np.flatnonzero(root[:i] != root[i]).tolist():
+                # what an earlier link has joined meanwhile needs no other
+                if root[j] != root[i] and (not across or block[i] != block[j]) and _alike(sets[i], sets[j], share):
+                    out.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["u", "v"])
 
     return rows.select("bucket", "lo", "hi", "block", "id", "root", "shingles").groupBy("bucket", "lo", "hi").applyInPandas(compare, "u long, v long")
