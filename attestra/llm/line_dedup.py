@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, partitions, steps, table, text_buffer, written
-from .components import components
+from .components import components, hooked
 from .near_dup import FEW_IDS
 from .textvec import mix, span_hashes
 
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 def _rest(shared: DataFrame, links: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links that join components within buckets, beyond those of the first line: fewer than the bucket has lines."""
-    rows = shared.select("bucket", F.col("v").alias("node")).distinct().join(components(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
+    rows = shared.select("bucket", F.col("v").alias("node")).distinct().join(hooked(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
     open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(open_, "bucket").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))

@@ -11,11 +11,10 @@ unions are the greater registers, and equal registers are about as likely as the
    equal and lesser registers and the two set sizes, the similarity of greatest likelihood is
    estimated; pairs more than SLACK under the threshold go (over 4 standard errors). The others
    are verified on full sets, read anew from the texts of just those documents.
-4. Buckets in which nodes other than the least remain in different components are starred again,
-   around nodes drawn by hash, a few for each group, and then done whole: their nodes' registers
-   are compared in blocks of BLOCK nodes, and likely pairs between components are verified. A pair
-   comes up in the first of the buckets that it shares. So a group of thousands of copies
-   needs about as many pairs as it has members, and no link is capped away.
+4. Buckets in which nodes other than the least aren't joined yet are done whole, in blocks of BLOCK
+   nodes: pairs whose registers make them likely are held against each other on full sets there
+   and then, each in the first bucket that it shares, pairs joined already aside. Only links that
+   join something leave the task: fewer than it has nodes, however many pairs a group has.
 5. Components of verified links, by large-star and small-star rounds.
 
 A null, empty or wordless text has an empty set: it is linked with nothing and is its own
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, steps, table, text_buffer, written
-from .components import components
+from .components import components, hooked
 from .textvec import BY_SPACE, shingle_sets
 
 WORDS, SHARE = 5, 75
@@ -44,7 +43,7 @@ BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.001
 SLACK = 0.13
-BLOCK = 1024
+BLOCK = 512
 #: Ids up to which a list of documents is sent to all executors rather than joined.
 FEW_IDS = 1_000_000
 
@@ -170,39 +169,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, band, node, root, n of the buckets whose nodes are in different components of links."""
-    found = components(links)
+    """bucket, band, node, root, n of the buckets whose nodes links haven't joined, as far as hooked() sees."""
+    found = hooked(links)
     rows = buckets.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
     return written(rows.join(open_, "bucket"), "open")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) between components: of each bucket's nodes with one drawn by hash, the same one in a quarter of a group's buckets."""
-    lead = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.col("band") % 4)).alias("lead"))
-    pairs = rows.join(lead, "bucket").where(F.col("root") != F.col("lead.root"))
-    return pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-
-
-def _open_pairs(rows: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """Likely pairs (u, v) between components within open buckets, compared in blocks, each in the first bucket that it shares."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(nodes.select("node", "n_shingles", "registers"), "node")
+def _open_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (u, v) that join nodes of open buckets, compared in blocks."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(nodes.select("node", "registers"), "node").join(sets, "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each row goes to the pairs of its block with every block
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
         regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         before = int(pdf["band"].iloc[0]) * ROWS
-        node, size = pdf["node"].to_numpy(), pdf["n_shingles"].to_numpy()
+        node, size = pdf["node"].to_numpy(), np.array([len(x) for x in sets])
         root, block = pd.factorize(pdf["root"])[0], pdf["block"].to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        common = np.bincount(root).argmax()
+        common = root == np.bincount(root).argmax()
         u, v = [], []
-        for i in np.flatnonzero(root != common).tolist():
-            # a pair of two uncommon roots comes up once, at its lesser row
-            fits = (root != root[i]) & ((root == common) | (np.arange(len(root)) > i)) & (100 * np.minimum(size, size[i]) >= share * np.maximum(size, size[i]))
+        for i in np.flatnonzero(~common).tolist():
+            # a pair outside the commonest root comes up once, at its first row
+            fits = (root != root[i]) & (common | (np.arange(len(root)) > i)) & (100 * np.minimum(size, size[i]) >= share * np.maximum(size, size[i]))
             if across:
                 fits &= block != block[i]
             j = np.flatnonzero(fits)
@@ -212,14 +204,19 @@ def _open_pairs(rows: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             j = j[~same.reshape(len(j), before // ROWS, ROWS).all(axis=2).any(axis=1)] if before else j
             if len(j):
                 j = j[estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j]) >= share / 100 - SLACK]
-                for k in j.tolist():
-                    a, b = sorted((node[i], node[k]))
-                    u.append(a)
-                    v.append(b)
+            if len(j):
+                flat, mine = np.concatenate([sets[k] for k in j]), sets[i]
+                held = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(held, np.cumsum(np.append(0, size[j][:-1])), dtype=np.int64)
+                for k in j[100 * both >= share * (size[i] + size[j] - both)].tolist():
+                    if root[k] != root[i]:
+                        u.append(node[i])
+                        v.append(node[k])
+                        root[root == root[k]] = root[i]
         return pd.DataFrame({"u": u, "v": v})
 
-    rows = rows.select("bucket", "band", "lo", "hi", "block", "node", "root", "n_shingles", "registers")
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(compare, "u binary, v binary").distinct()
+    rows = rows.select("bucket", "band", "lo", "hi", "block", "node", "root", "registers", "shingles")
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(compare, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -235,11 +232,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     sets = written(_sets(docs, nodes, wanted), "sets")
     links = written(_verified(pairs, sets, share), "links")
     buckets = shared.where("n > 2").select("bucket", "band", "node")
-    rows_left = _open(buckets, links)
-    more = written(_likely(_stars(rows_left), nodes, share), "pairs").join(pairs, ["u", "v"], "left_anti")
-    links = links.union(written(_verified(more, sets, share), "links"))
-    rows_left = _open(rows_left.select("bucket", "band", "node"), links)
-    links = links.union(written(_verified(_open_pairs(rows_left, nodes, share), sets, share), "links"))
+    links = links.union(written(_open_links(_open(buckets, links), nodes, sets, share), "links"))
     found = components(links)
     ids = nodes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = found.join(ids, "root").select("node", "component_id")
