@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import COPYRIGHT, KNOWN, SPELLINGS
+from .licences import BLANKS, COPYRIGHT, KNOWN, SPELLINGS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,9 +40,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical(e: str) -> str:
-    out = f"regexp_replace(lower({e}), {_quoted(COPYRIGHT)}, ' ', 'g')"
-    out = f"' ' || regexp_replace({out}, '[\\s\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E‘’“”–—©]+', ' ', 'g') || ' '"
+def _flat(e: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({e}), {_quoted(COPYRIGHT)}, '', 'g'), {_quoted(BLANKS)}, ' ', 'g')"
+
+
+def _spelled(e: str) -> str:
+    out = f"' ' || regexp_replace({e}, '\\s+', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
         out = f"replace({out}, ' {a} ', ' {b} ')"
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
@@ -50,10 +53,10 @@ def _canonical(e: str) -> str:
 
 _KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)
 LICENCES = f"""
-WITH k AS (SELECT DISTINCT n, {_canonical("t")} c FROM (VALUES {_KNOWN}) v(n, t)),
-d AS (SELECT doc_id, coalesce(text, '') x FROM documents),
-p AS (SELECT doc_id, true w, x p FROM d UNION ALL SELECT doc_id, false, p FROM (SELECT doc_id, x, unnest(string_split(x, chr(10))) p FROM d) WHERE length(p) < length(x) UNION ALL SELECT doc_id, false, p FROM (SELECT doc_id, x, unnest(regexp_split_to_array(x, '\\n[ \\t\\r]*\\n')) p FROM d) WHERE contains(p, chr(10)) AND length(p) < length(x)),
-f AS (SELECT doc_id, w, n FROM (SELECT doc_id, w, {_canonical("p")} c FROM p) JOIN k USING (c)),
+WITH k AS (SELECT DISTINCT n, {_spelled(_flat("t"))} c FROM (VALUES {_KNOWN}) v(n, t)),
+d AS (SELECT doc_id, {_flat("text")} x FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, true w, x p FROM d UNION ALL SELECT doc_id, false, unnest(string_split(x, chr(10))) FROM d WHERE contains(x, chr(10)) UNION ALL SELECT doc_id, false, p FROM (SELECT doc_id, unnest(regexp_split_to_array(x, '\n( ?\n)+')) p FROM d WHERE regexp_matches(x, '\n ?\n')) WHERE contains(trim(p, ' ' || chr(10)), chr(10))),
+f AS (SELECT doc_id, w, n FROM (SELECT doc_id, w, {_spelled("p")} c FROM p) JOIN k USING (c)),
 g AS (SELECT doc_id, string_agg(DISTINCT n, ',' ORDER BY n) l, count(*) m, min(n) FILTER (WHERE w) z FROM f GROUP BY 1)
 SELECT doc_id, coalesce(l, '') AS licences, CAST(coalesce(m, 0) AS BIGINT) AS n_matches, z AS whole FROM documents LEFT JOIN g USING (doc_id)
 """
