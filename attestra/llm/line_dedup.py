@@ -101,8 +101,16 @@ class Lines:
             out[row[have], column[have]] = out[row[have], source[have]] ^ np.uint32(t + 1)
         return out
 
-    def shingles(self, i: int) -> np.ndarray:
-        return np.unique(self.grams[self.starts[i] : self.ends[i] - SHINGLE + 1])
+    def line(self, i: int) -> str:
+        """The normal form of a line."""
+        return self.points[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
+
+
+def shingles(line: str) -> np.ndarray:
+    """The sorted distinct shingles of a normal line of at least SHINGLE characters."""
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    starts = np.arange(len(points) - SHINGLE + 1)
+    return np.unique(span_hashes(points, starts, starts + SHINGLE))
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
@@ -200,7 +208,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, shingles of the wanted lines; wanted: id, doc_id of a document that has it."""
+    """id, line of the wanted lines, which are far smaller than their sets; wanted: id, doc_id of a document that has it."""
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
     by_doc = F.broadcast(by_doc) if wanted.count() <= FEW_IDS else by_doc
     held = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(by_doc, F.col("_d").eqNullSafe(F.col("doc_id"))).select("text", "ids")
@@ -211,7 +219,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             want = batch.column(1).to_pylist()
             for a, b in steps(offsets):
                 x = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids, sets = [], []
+                ids, lines = [], []
                 for i in range(b - a):
                     mine = set(want[a + i])
                     for j in range(x.first[i], x.first[i + 1]):
@@ -219,10 +227,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         if k in mine:
                             mine.discard(k)
                             ids.append(k)
-                            sets.append(x.shingles(j).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                            lines.append(x.line(j))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
 
-    return map_arrow(held, run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return map_arrow(held, run, "id long, line string").groupBy("id").agg(F.first("line").alias("line"))
 
 
 def _alike(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -233,26 +241,31 @@ def _alike(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * common >= share * (len(both) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    joined = pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
+def _verified(pairs: DataFrame, lines: DataFrame, share: int) -> DataFrame:
+    joined = pairs.join(lines.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v").join(lines.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint64)  # pairs of one bucket's first line come together
         for batch in batches:
-            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = []
+            for u, lv, lu in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if u != last:
+                    last, held = u, shingles(lu)
+                keep.append(_alike(held, shingles(lv), share))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(joined.select("u", "v", "su", "sv"), run, "u long, v long")
+    return map_arrow(joined.select("u", "v", "lv", "lu"), run, "u long, v long")
 
 
-def _rest(shared: DataFrame, links: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _rest(shared: DataFrame, links: DataFrame, lines: DataFrame, share: int) -> DataFrame:
     """Links that join components within buckets, beyond those of the first line: fewer than the bucket has lines."""
     rows = shared.select("bucket", F.col("v").alias("node")).distinct().join(hooked(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
     open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_, "bucket").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(open_, "bucket").join(lines, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        sets = list(map(shingles, pdf["line"]))
         ids, root, block = pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         root = pd.factorize(root)[0]
@@ -265,7 +278,7 @@ def _rest(shared: DataFrame, links: DataFrame, sets: DataFrame, share: int) -> D
                     root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return rows.select("bucket", "lo", "hi", "block", "id", "root", "shingles").groupBy("bucket", "lo", "hi").applyInPandas(compare, "u long, v long")
+    return rows.select("bucket", "lo", "hi", "block", "id", "root", "line").groupBy("bucket", "lo", "hi").applyInPandas(compare, "u long, v long")
 
 
 def cut_lines(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -287,9 +300,9 @@ def cut_lines(docs: DataFrame, share: int = SHARE) -> DataFrame:
     pairs = shared.select("u", "v").distinct()
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     wanted = written(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets = written(_texts(docs, wanted), "line-sets")
-    links = written(_verified(pairs, sets, share), "links")
-    links = links.union(written(_rest(shared, links, sets, share), "links"))
+    texts = written(_texts(docs, wanted), "line-texts")
+    links = written(_verified(pairs, texts, share), "links")
+    links = links.union(written(_rest(shared, links, texts, share), "links"))
     named = lines.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row", "place", F.coalesce("root", "id").alias("root"))
     named = named.distinct()  # repeated rows are one document
     place = F.struct("doc_id", "row", "place")
