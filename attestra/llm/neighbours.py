@@ -9,9 +9,11 @@ level by level, so that leaves stay about as large at any size. Every row is put
 every tree.
 
 A query searches all trees through one priority queue of nodes, nearest margin first, until it has
-met LEAVES leaves (more in indexes of over NORM vectors). Queries and rows meet by leaf, in order; each
-leaf gives its best by exact inner product in double precision, and the best of those over all
-leaves are the result.
+met a number of leaves. That is LEAVES at least; PROBES queries, the ones of least hash, are held against
+all rows first, and show how many leaves find RECALL of their neighbours. Queries and rows meet by
+leaf, in order; each leaf gives its best by exact inner product in double precision, and the best of
+those over all leaves are the result. Where so many leaves would hold more than a DENSE-th of the
+rows, as in large indexes without structure, every query is compared with every row instead.
 
 Rows of equal vectors are one vector in the index, with the TOP + 1 least ids, which is all that ties
 to smaller ids can ever show. Vectors that are null, empty, zero or hold null or non-finite
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +37,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow, partitions, table, written
 
 TOP, TREES, LEAF, SAMPLE, SEED = 20, 32, 64, 60_000, 11
-#: Leaves that a query meets in an index of up to NORM distinct vectors; beyond, their number grows with the power GROWTH.
-LEAVES, NORM, GROWTH = 520, 50_000, 0.25
+#: Leaves that a query meets at least; queries that show whether that is enough, and the share of neighbours they are to find.
+LEAVES, PROBES, RECALL = 520, 64, 0.93
+#: Leaves beyond LEAVES that hold more than this part of the rows cost more than all rows do.
+DENSE = 20
+#: Queries that one pass over all rows compares.
+PASS = 20_000
 #: Queries that a worker's queue handles together; bounds its table of margins.
 TOGETHER = 64
 #: Found pairs that a task gathers before it keeps the best of each query.
@@ -170,6 +176,81 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def compared(classes: DataFrame, keys: np.ndarray, queries: np.ndarray, top: int) -> DataFrame:
+    """class, other, score: of all classes, the `top` with the largest products with each query, from each task. Equal scores go to the lesser class."""
+    shared = classes.sparkSession.sparkContext.broadcast((keys, queries, np.linalg.norm(queries, axis=1)))
+    wide = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, queries, length = shared.value
+        score = np.full((len(keys), top), -np.inf)
+        other = np.full((len(keys), top), np.iinfo(np.int64).max)
+        for batch in batches:
+            near, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), wide)
+            for x in range(0, len(near), 2048):
+                b, ids = rows[x : x + 2048], near[x : x + 2048]
+                far = np.linalg.norm(b, axis=1).max()
+                for y in range(0, len(keys), 1024):
+                    q = queries[y : y + 1024]
+                    rough = q @ b.T  # added in another order: what may differ by that is let through
+                    slack = 1e-12 * wide * far * length[y : y + 1024]
+                    least = score[y : y + 1024, -1] - slack
+                    if len(ids) > top and np.isneginf(least).any():
+                        least = np.maximum(least, np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top] - 2 * slack)
+                    i, j = np.nonzero(rough >= least[:, None])
+                    if not len(i):
+                        continue
+                    s = np.concatenate([product(q[i[z : z + 100_000]], b[j[z : z + 100_000]]) for z in range(0, len(i), 100_000)])
+                    some = np.unique(i)
+                    i = np.concatenate([np.repeat(some, top), i])
+                    s = np.concatenate([score[y + some].ravel(), s])
+                    v = np.concatenate([other[y + some].ravel(), ids[j]])
+                    order = np.lexsort((v, -s, i))
+                    first = np.searchsorted(i[order], some)
+                    pick = order[first[:, None] + np.arange(top)]
+                    score[y + some], other[y + some] = s[pick], v[pick]
+        i, j = np.nonzero(np.isfinite(score))
+        for z in range(0, len(i), 100_000):
+            a, c = i[z : z + 100_000], j[z : z + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(other[a, c]), pa.array(score[a, c])], names=["class", "other", "score"])
+
+    return map_arrow(classes.select("class", F.col("embedding").cast("array<float>")), run, "class long, other long, score double")
+
+
+def _best(met: DataFrame, top: int) -> DataFrame:
+    return met.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "other"))).where(F.col("_n") <= top).select("class", "other", "score")
+
+
+def _collected(rows: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    found = rows.select("class", F.col("embedding").cast("array<float>").alias("embedding")).toArrow().combine_chunks()
+    return found["class"].to_numpy(), _matrix(found["embedding"].combine_chunks(), wide)
+
+
+def enough(classes: DataFrame, asked: DataFrame, forest, lift: Callable[[np.ndarray], np.ndarray], top: int, most: int) -> int | None:
+    """Leaves in which PROBES of the asked classes find RECALL of their true neighbours; None if `most` don't."""
+    spark, wide = classes.sparkSession, len(forest.value.extra[0]) - 1 if len(forest.value.extra) else forest.value.direction.shape[1] - 1
+    keys, queries = _collected(asked.orderBy(F.xxhash64("class"), "class").limit(PROBES), wide)  # at most PROBES
+    true = _best(compared(classes, keys, queries, top + 1), top + 1).where("class <> other")
+    true = _best(true, top).join(classes.select(F.col("class").alias("other"), "embedding"), "other").select("class", "embedding")
+    owner, near = _collected(true, wide)  # at most PROBES * top
+    shared = spark.sparkContext.broadcast((keys, queries, owner, near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, queries, owner, near = shared.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                mine = near[owner == keys[i]]
+                if len(mine):
+                    order = forest.value.search(np.append(queries[i], 0.0)[None], most)[0]
+                    at = {leaf: n for n, leaf in enumerate(order, 1)}
+                    ranks = [min(at.get(x, most + 1) for x in row) for row in forest.value.leaves(lift(mine)).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64())], names=["rank"])
+
+    ranks = sorted(r.rank for r in map_arrow(spark.range(len(keys)).repartition(partitions(spark)), run, "rank long").collect())
+    need = ranks[int(np.ceil(RECALL * len(ranks))) - 1] if ranks else 1
+    return need if need <= most else None
+
+
 def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: neighbours found for each row whose vec_id is divisible by step."""
     spark = embeddings.sparkSession
@@ -193,7 +274,6 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
     some = np.array([r.embedding for r in picked], np.float64)
     lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(far**2 - (x**2).sum(axis=1, keepdims=True), 0))], axis=1)
     levels = max(0, int(np.ceil(np.log2(n / len(some)))))
-    leaves = leaves or int(LEAVES * max(1.0, n / NORM) ** GROWTH)
     forest = spark.sparkContext.broadcast(grow(spark, lift(some), trees, leaf, levels))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +289,7 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), wide)
-                found = forest.value.search(np.concatenate([x, np.zeros((len(x), 1))], axis=1), leaves)
+                found = forest.value.search(np.concatenate([x, np.zeros((len(x), 1))], axis=1), meet_most)
                 take = pa.array(np.repeat(np.arange(len(part)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array([y for f in found for y in f], pa.int64()), pa.array([True] * len(take)), part.column(0).take(take), part.column(1).take(take)], names=["leaf", "asks", "class", "embedding"])
 
@@ -218,7 +298,14 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
     # each distinct vector among the queries asks once
     asked = usable.where(F.col("vec_id") % step == 0).select("embedding", "vec_id")
     asking = written(asked.join(classes.select("embedding", "class"), "embedding").select(F.col("vec_id").alias("query_id"), "class"), "queries")
-    asks = map_arrow(classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", F.col("embedding").cast("array<float>")), ask, meeting)
+    asked = written(classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", F.col("embedding").cast("array<float>")), "asked")
+    total = len(forest.value.centre) << levels
+    meet_most = leaves or LEAVES
+    if leaves is None and total > LEAVES:
+        most = max(LEAVES, total // (DENSE * trees))
+        need = enough(classes, asked, forest, lift, top, most)
+        meet_most = max(LEAVES, need) if need else None
+    asks = map_arrow(asked, ask, meeting) if meet_most else None
 
     def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -264,10 +351,17 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
         if found:
             yield out(best_of(found))
 
-    meets = rows.unionByName(asks).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "asks", "class")
-    met = map_arrow(meets, meet, "class long, other long, score double").distinct()
-    best = met.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "other"))).where(F.col("_n") <= top + 1)
-    best = written(best.select("class", "other", "score"), "met")
+    if meet_most:
+        meets = rows.unionByName(asks).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "asks", "class")
+        met = map_arrow(meets, meet, "class long, other long, score double").distinct()
+        best = written(_best(met, top + 1), "met")
+    else:
+        n_asked, best = asked.count(), None
+        passes = -(-n_asked // PASS)
+        for i in range(passes):
+            keys, queries = _collected(asked.where(F.pmod(F.xxhash64("class"), F.lit(passes)) == i), wide)  # about PASS
+            part = written(_best(compared(classes, keys, queries, top + 1), top + 1), "met")
+            best = part if best is None else best.unionByName(part)
     # from distinct vectors back to rows: at most top + 1 vectors of at most top + 1 ids
     pairs = asking.join(best, "class").join(classes.select(F.col("class").alias("other"), "ids"), "other").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,30 @@ def test_neighbours_recall(spark, sample):
         assert dict(w).items() >= {k: s for k, s in want[q] if k in dict(w)}.items()
 
 
+def test_neighbours_of_a_large_index_without_structure(spark, tmp_path):
+    n, wide, step = 200_000, 64, 5_000
+    x = np.random.default_rng(5).standard_normal((n, wide)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), wide).cast(pa.list_(pa.float32()))}), str(tmp_path / "embeddings.parquet"))
+    want = {}
+    for q in range(0, n, step):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        want[q] = [(int(k), score[k]) for k in np.argsort(-score)[:20]]
+    got = found(neighbours.nearest(table(spark, str(tmp_path), "embeddings"), step=step))
+    print("recall", recall(got, want))
+    assert recall(got, want) >= 0.9
+
+
+def test_neighbours_compared_with_all_rows(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(y) for y in r.integers(-2, 3, 6)]) for i in range(1500)]  # many ties
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(neighbours, "enough", lambda *a: None)
+    monkeypatch.setattr(neighbours, "LEAVES", 1)
+    monkeypatch.setattr(neighbours, "PASS", 20)
+    assert found(neighbours.nearest(frame)) == exact(rows, 20, 20)
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, float(i % 3)]) for i in range(0, 90)] + [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [nan, 1.0, 1.0]), (180, [inf, 1.0, 1.0]), (200, [None, 1.0, 1.0]), (220, [1.0, 1.0]), (None, [1.0, 2.0, 3.0]), (40, [9.0, 9.0, 9.0]), (40, [9.0, 9.0, 9.0])]
