@@ -11,9 +11,8 @@ line that comes first, by doc_id and place, is kept; all others are cut out of t
 2. Each task sorts its own keys: lines that share one are paired with the first of them, which alone
    goes on, with those of other tasks, to the partition of the key. So a bucket that holds a third
    of all lines has no more than one entry from each task there.
-3. Pairs of each bucket's first line with the others are verified on full sets of shingles. Buckets
-   whose other lines remain in different components are compared whole, in blocks, pairs within
-   a component aside.
+3. Those pairs are verified on full sets of shingles. Buckets whose lines, first ones included,
+   remain in different components are compared whole, in blocks, pairs within a component aside.
 4. Components of verified links, and the first place of each.
 
 Keys of 4 of 48 bins in 12 bands miss a pair of similarity 0.75 with a probability of 0.01, one of
@@ -258,8 +257,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, share: int) -> DataFrame:
 
 
 def _rest(shared: DataFrame, links: DataFrame, lines: DataFrame, share: int) -> DataFrame:
-    """Links that join components within buckets, beyond those of the first line: fewer than the bucket has lines."""
-    rows = shared.select("bucket", F.col("v").alias("node")).distinct().join(hooked(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
+    """Links that join components within buckets, beyond those of the first lines: fewer than the bucket has lines."""
+    nodes = shared.select("bucket", F.col("v").alias("node")).union(shared.select("bucket", F.col("u").alias("node"))).distinct()
+    rows = nodes.join(hooked(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
     open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(open_, "bucket").join(lines, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))

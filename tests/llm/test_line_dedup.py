@@ -104,3 +104,34 @@ def test_lines_of_small_texts(text):
     x = line_dedup.Lines(data, offsets)
     want = [normal(p) for t in (text, "", text + "é" * 33, "") for p in t.split("\n")]
     assert ["".join(map(chr, x.points[a:b])) for a, b in zip(x.starts, x.ends)] == want
+
+
+def test_every_pair_of_a_bucket(spark, monkeypatch):
+    """A bucket's first line g is like x, x isn't like the first line w of its task, g isn't like w."""
+
+    def three(salt):
+        long, other = ([f"{i:02d}{w}" for i in range(40)] for w in (f"abcdefg{salt}", f"ijklmno{salt}"))
+        line = lambda a, b: "".join([*other[:a], *long[a : 40 - b], *other[40 - b :]])
+        g, x, w = line(4, 0), line(0, 0), line(0, 4)
+        return [(int(line_dedup.Lines(*_buffer(t)).ids[0]), t) for t in (g, x, w)]
+
+    # x has the greatest id, so that it is the first line of no task it shares
+    found = next(t for t in map(three, "abcdefghijklmnopqrstuvwxyz") if t[1] == max(t))
+    (a, x, w), texts = [t for _, t in found], [t for _, t in sorted(found)]
+    monkeypatch.setattr(line_dedup, "band_keys", lambda rows: line_dedup.np.full((len(rows), 1), 5, line_dedup.np.uint64))
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    sets = lambda t: {t[k : k + 8] for k in range(len(t) - 7)}
+    alike = lambda p, q: len(sets(p) & sets(q)) / len(sets(p) | sets(q)) >= 0.75
+    assert alike(a, x) and alike(x, w) and not alike(a, w)
+    for deal in ([[0], [1, 2]], [[0, 1], [2]]):
+        slots = [(10 * task + i, texts[i]) if i in members else (99, None) for task, members in enumerate(deal) for i in range(3)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(slots, len(deal)), "doc_id long, text string")
+        assert docs.rdd.getNumPartitions() == len(deal)
+        assert sum(r._kept for r in line_dedup.deduplicated(docs).collect()) == 1, deal
+
+
+def _buffer(text):
+    from attestra.llm.common import text_buffer
+    import pyarrow as pa
+
+    return text_buffer(pa.array([text]))
