@@ -1,8 +1,9 @@
 """Fuzzy line dedup by MinHash (operator 3).
 
-Lines are lower-cased (A-Z) with runs of white space made one space. Those of at least LEAST_CHARS
-characters take part. A line's set is its distinct SHINGLE-character shingles; lines whose sets have a
-similarity of SHARE percent or more are linked, equal lines are one. Of each connected component, the
+Lines are lower-cased (A-Z) with runs of white space made one space. All but empty
+ones take part. A line's set is its distinct SHINGLE-character shingles; lines whose sets have a
+similarity of SHARE percent or more are linked, equal lines are one. Lines of fewer characters have
+no shingles, and are linked with equal ones alone. Of each connected component, the
 line that comes first, by doc_id and place, is kept; all others are cut out of their documents.
 
 1. One pass over the texts gives each line a 64-bit id and a MinHash signature: every shingle is hashed
@@ -16,7 +17,7 @@ line that comes first, by doc_id and place, is kept; all others are cut out of t
 4. Components of verified links, and the first place of each.
 
 Keys of 4 of 48 bins in 12 bands miss a pair of similarity 0.75 with a probability of 0.01, one of
-0.9 with 2e-6. A null text has no lines; an empty text has one empty line, which is kept, as all short lines
+0.9 with 2e-6. A null text has no lines; an empty text has one empty line, which is kept, as all empty lines
 are. Rows of equal doc_id and text are one document, and keep the same lines; a null doc_id comes
 first. Extra columns are carried along by deduplicated() and ignored otherwise.
 """
@@ -36,7 +37,8 @@ from .components import components, hooked
 from .near_dup import FEW_IDS
 from .textvec import mix, span_hashes
 
-LEAST_CHARS, SHINGLE, SHARE = 32, 8, 75
+#: LEAST_CHARS of 1 leaves out empty lines alone.
+LEAST_CHARS, SHINGLE, SHARE = 1, 8, 75
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 BLOCK = 512
@@ -73,11 +75,12 @@ class Lines:
             starts = starts + ((starts < ends) & (self.points[np.minimum(starts, len(self.points) - 1)] == 32))
             ends = ends - ((ends > starts) & (self.points[np.maximum(ends - 1, 0)] == 32))
         self.starts, self.ends = starts, ends
-        self.long = ends - starts >= LEAST_CHARS
+        self.long = ends - starts >= max(LEAST_CHARS, SHINGLE)
         self.ids = np.zeros(len(starts), np.uint64)
-        if self.long.any():
-            h = span_hashes(self.points, starts[self.long], ends[self.long])
-            self.ids[self.long] = np.where(h == 0, np.uint64(1), h)
+        some = ends - starts >= LEAST_CHARS
+        if some.any():
+            h = span_hashes(self.points, starts[some], ends[some])
+            self.ids[some] = np.where(h == 0, np.uint64(1), h)
         self.grams = span_hashes(self.points, np.arange(max(0, len(self.points) - SHINGLE + 1)), np.arange(SHINGLE, len(self.points) + 1)) if len(self.points) >= SHINGLE else np.zeros(0, np.uint64)
 
     def signatures(self, some: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, row: hash of the text, ids of its lines, 0 for short ones) and rows of buckets (bucket, u: its first line, v: another)."""
+    """Rows of documents (doc_id, row: hash of the text, ids of its lines, 0 for empty ones) and rows of buckets (bucket, u: its first line, v: another)."""
     parts = partitions(docs.sparkSession)
 
     def spread(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -106,6 +106,11 @@ def test_lines_of_small_texts(text):
     assert ["".join(map(chr, x.points[a:b])) for a, b in zip(x.starts, x.ends)] == want
 
 
+def test_short_lines(spark):
+    docs = spark.createDataFrame([(1, "}\nend\nRelease 1.0\n"), (2, " }\nEND\n\nrelease 1.0"), (3, "End of it\n}")], "doc_id long, text string")
+    assert {(r.doc_id, r._kept, r.text) for r in line_dedup.deduplicated(docs).collect()} == {(1, 4, "}\nend\nRelease 1.0\n"), (2, 1, ""), (3, 1, "End of it")}
+
+
 def test_every_pair_of_a_bucket(spark, monkeypatch):
     """A bucket's first line g is like x, x isn't like the first line w of its task, g isn't like w."""
 
