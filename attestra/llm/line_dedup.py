@@ -16,8 +16,8 @@ line that comes first, by doc_id and place, is kept; all others are cut out of t
    remain in different components are compared whole, in blocks, pairs within a component aside.
 4. Components of verified links, and the first place of each.
 
-Keys of 4 of 48 bins in 12 bands miss a pair of similarity 0.75 with a probability of 0.01, one of
-0.9 with 2e-6. A null text has no lines; an empty text has one empty line, which is kept, as all empty lines
+Keys of 3 of 54 bins in 18 bands miss a pair of similarity 0.75 with a probability of 5e-5, one of
+0.9 with 6e-11, if bins are independent. A null text has no lines; an empty text has one empty line, which is kept, as all empty lines
 are. Rows of equal doc_id and text are one document, and keep the same lines; a null doc_id comes
 first. Extra columns are carried along by deduplicated() and ignored otherwise.
 """
@@ -39,7 +39,7 @@ from .textvec import mix, span_hashes
 
 #: LEAST_CHARS of 1 leaves out empty lines alone.
 LEAST_CHARS, SHINGLE, SHARE = 1, 8, 75
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 18, 3
 BINS = BANDS * ROWS
 BLOCK = 512
 #: Keys that a task gathers before it pairs them and passes them on.

@@ -111,6 +111,21 @@ def test_short_lines(spark):
     assert {(r.doc_id, r._kept, r.text) for r in line_dedup.deduplicated(docs).collect()} == {(1, 4, "}\nend\nRelease 1.0\n"), (2, 1, ""), (3, 1, "End of it")}
 
 
+def test_few_pairs_are_missed_by_bands():
+    np, n = line_dedup.np, 5000
+    r = np.random.default_rng(3)
+    h = r.integers(0, 2**64, (n, 40), dtype=np.uint64)  # 30 shingles in common of 40: similarity 0.75
+
+    def keys(h):
+        x = line_dedup.Lines.__new__(line_dedup.Lines)
+        x.grams, x.starts = h.ravel(), np.arange(len(h)) * h.shape[1]
+        x.ends = x.starts + h.shape[1] + line_dedup.SHINGLE - 1
+        return line_dedup.band_keys(x.signatures(np.arange(len(h))))
+
+    a, b = keys(h[:, :35]), keys(np.concatenate([h[:, :30], h[:, 35:]], axis=1))
+    assert (~(a == b).any(axis=1)).sum() <= 3
+
+
 def test_every_pair_of_a_bucket(spark, monkeypatch):
     """A bucket's first line g is like x, x isn't like the first line w of its task, g isn't like w."""
 
