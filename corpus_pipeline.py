@@ -10,17 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import bpe_roundtrip, decontaminate, line_dedup, near_dup, quality
-from attestra.llm.common import table, written
+from attestra.llm.common import partitions, table, written
 
 #: SQL can't fit the classifier, nor encode.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in lost."""
-    lost = written(lost.select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs, written, with a key of each row in _key, in order of doc_id, null ids last."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    rows = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def _without(keyed: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows of keyed whose _key isn't a doc_id of lost, without their keys."""
+    lost = written(lost.select(F.col("doc_id").alias("_key")), "lost")
     lost = F.broadcast(lost) if lost.count() <= near_dup.FEW_IDS else lost
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    return keyed.join(lost, "_key", "left_anti").drop("_key")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,20 +44,17 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id; of repeated rows, one."""
-    judged = written(near_dup.near_duplicates(docs), "judged")
-    out = _without(docs, judged.where(~F.col("kept")))
-    twice = judged.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return out
-    twice = written(twice.select(F.col("doc_id").alias("_twice")), "twice")
-    repeated = out.join(twice, out["doc_id"].eqNullSafe(twice["_twice"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(twice, out["doc_id"].eqNullSafe(twice["_twice"]), "left_anti").unionByName(repeated)
+    """One row of each group of near duplicates, one with the least doc_id; rows without words all stay."""
+    keyed = _keyed(docs)
+    judged = near_dup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    return _without(keyed, judged.where(~F.col("kept")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Rows in which no window of a benchmark item occurs."""
+    keyed = _keyed(docs)
+    judged = decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, judged.where("contaminated"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,3 +249,23 @@ def test_pipeline(spark, edge_docs):
         assert stage(spark, edge_docs.limit(0), d).count() == 0
     result = corpus_pipeline.run(spark, d)
     assert 0 < result.count() < docs.count()
+
+
+def test_pipeline_judges_rows(spark):
+    import corpus_pipeline
+
+    d = DATA
+    a = [" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "green", "blue")]
+    near = [x.replace("7 ", "7x ", 1) for x in a]
+    item = next(r.text for r in table(spark, d, "benchmark").collect() if r.text and len(r.text.split()) > 12)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    clean = "words of nobody else that stand for themselves and are here once only, as anyone can see"
+    docs = [(None, a[0]), (None, near[0]), (None, clean), (5, a[1]), (5, near[1]), (5, clean + " again and again in some other way of saying"), (3, a[2]), (9, near[2]), (9, "quite another text with nothing in common with what came before it"), (7, None), (7, "")]
+    got = rows(corpus_pipeline.near_deduplication(spark, frame(docs), d))
+    want = [(None, clean), *docs[5:7], *docs[8:]]
+    assert all(x in got for x in want)
+    # of two near copies under one id, one stays
+    assert sum(x in got for x in docs[:2]) == 1 and sum(x in got for x in docs[3:5]) == 1 and len(got) == len(want) + 2
+    docs = [(None, item), (None, clean), (4, item), (4, clean), (6, clean)]
+    assert rows(corpus_pipeline.benchmark_decontamination(spark, frame(docs), d)) == rows(frame([x for x in docs if x[1] == clean]))
