@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from attestra.functions import exprs as E
 
 #: Words for a status, each made the first of its row. Fixed values.
 STATUS_WORDS = {"met": ["met", "evidenced", "yes", "pass", "satisfied"], "not_evidenced": ["not_evidenced", "not evidenced", "not met", "not_met", "no", "fail", "missing"], "not_applicable": ["not_applicable", "not applicable", "n/a", "na"]}
-#: Words by which a claim refines rather than rebuts. Fixed values.
-REFINING = ["could be clearer", "would benefit", "additionally", "further detail", "consider", "nice to have", "improve"]
+#: Words by which a rebuttal says that it isn't one. Fixed values.
+REFINING = ["does not contradict", "does not rebut", "does not demonstrate", "does not establish", "does not overturn", "not sufficient to rebut", "not enough to rebut"]
 
 
 def status_of(c: Column, unknown: str = "unset") -> Column:
@@ -63,20 +65,26 @@ def scoped(challenges: DataFrame, disputed: DataFrame) -> tuple[DataFrame, DataF
 
 
 def rebuttals(challenges: DataFrame) -> DataFrame:
-    """challenges (claim, quote, fact, strength, supports) with strength settled and errors listed.
+    """challenges with strength settled, substantive (whether it is strong) and errors listed.
 
-    One without a quote or a contradicting fact is rejected; one that merely refines is weak; strong ones that support neither side are weak.
+    Columns: claim, fact_meaning, rebuttal, strength, risk (the claim's test), observation, inference,
+    risk_to_address and what_it_supports (said elsewhere, used where the test lacks them; may be absent),
+    quote, fact, supports. An unknown strength is weak; a strong one with a part lacking, or whose
+    rebuttal says that it isn't one, is weak; any without a quote or a fact is rejected.
     """
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    claim = F.lower(F.coalesce("claim", F.lit("")))
-    refines = claim.rlike("|".join(REFINING))
-    supports = F.lower(F.trim(F.coalesce("supports", F.lit("neither"))))
-    df = challenges.withColumn("supports", F.when(supports.isin("reviewer", "assessor"), supports).otherwise("neither"))
-    rejected = blank("quote") | blank("fact")
-    asked = F.lower(F.trim(F.coalesce("strength", F.lit("weak"))))
-    strength = F.when(rejected, "rejected").when((asked == "strong") & ~refines & (F.col("supports") != "neither"), "strong").otherwise("weak")
-    errors = F.array_compact(F.array(F.when(blank("claim"), F.lit("claim missing")), F.when(blank("quote"), F.lit("quote missing")), F.when(blank("fact"), F.lit("fact missing")), F.when(~asked.isin("strong", "weak"), F.lit("unknown strength"))))
-    return df.withColumn("strength", strength).withColumn("errors", errors)
+    has = set(challenges.columns)
+    said = lambda *names: F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for n in names if n in has for c in [F.col(n).cast("string")]), F.lit(""))
+    parts = {"claim": said("claim", "observation"), "fact_meaning": said("fact_meaning", "what_it_supports"), "rebuttal": said("rebuttal", "inference"), "risk": said("risk", "risk_to_address")}
+    lacking = {n: c == "" for n, c in parts.items()}
+    quote, fact, asked = said("quote"), said("fact"), said("strength")
+    refines = F.lower(parts["rebuttal"]).rlike("|".join(REFINING))
+    part_lacks = reduce(Column.__or__, lacking.values())
+    strength = F.when((quote == "") | (fact == ""), "rejected").when(asked == "rejected", "rejected").when((asked == "strong") & ~part_lacks & ~refines, "strong").otherwise("weak")
+    found = [*((n, c) for n, c in lacking.items()), ("quote", quote == ""), ("fact", fact == "")]
+    errors = F.array_compact(F.array(*(F.when(c, F.lit(f"{n} missing")) for n, c in found), F.when(~asked.isin("strong", "weak", "rejected"), F.lit("unknown strength"))))
+    supports = F.lower(said("supports"))
+    rows = challenges.withColumns({**parts, "strength": strength, "errors": errors, "supports": F.when(supports.isin("reviewer", "assessor"), supports).otherwise("neither")})
+    return rows.withColumn("substantive", F.col("strength") == "strong")
 
 
 def outcomes(challenges: DataFrame) -> DataFrame:

@@ -88,15 +88,35 @@ def status(scored: Column, least: int, stale: Column) -> Column:
     return F.when(stale | (scored < least), "NOT_TESTABLE").otherwise("SCORED")
 
 
+#: Real cases rated full that a release needs, where they are counted.
+LEAST_REAL_FULL = 3
+
+
 def release_gate(metrics: DataFrame) -> DataFrame:
-    """Rows of each bound, from one row of metrics; a null fails. verdict: PASS if all hold, INCONCLUSIVE if the run wasn't testable."""
+    """Rows of each line (metric, value, bound, least, holds) from one row of metrics, and verdict: PASS if all hold.
+
+    A null value fails. Where the row counts real_full_cases, there is a line for them; where it has
+    label_governance and label_distribution, each must say PASS. A run that wasn't testable has no
+    lines but one, `evaluation status`, and is INCONCLUSIVE.
+    """
     have = metrics.columns
-    lines = F.array(*(F.struct(F.lit(m).alias("metric"), (F.col(m) if m in have else F.lit(None)).cast("double").alias("value"), F.lit(b).alias("bound"), F.lit(least).alias("least")) for m, (b, least) in RELEASE.items()))
+    kind = "array<struct<metric:string,value:double,bound:double,least:boolean,holds:boolean>>"
+
+    def line(metric: str, value: Column, bound: float, least: bool) -> Column:
+        holds = F.coalesce(value >= bound if least else value <= bound, F.lit(False))
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), F.lit(float(bound)).alias("bound"), F.lit(least).alias("least"), holds.alias("holds"))
+
+    value = lambda m: (F.col(m) if m in have else F.lit(None)).cast("double")
+    lines = [line(m, value(m), bound, least) for m, (bound, least) in RELEASE.items()]
+    if "real_full_cases" in have:
+        lines.append(F.when(F.col("real_full_cases").isNotNull(), line("real_full_cases", value("real_full_cases"), LEAST_REAL_FULL, True)))
+    lines += [line(m, F.coalesce(F.col(m) == "PASS", F.lit(False)).cast("double"), 1, True) for m in ("label_governance", "label_distribution") if m in have]
     run = F.col("status") if "status" in have else F.lit("SCORED")
-    rows = metrics.select(run.alias("status"), F.explode(lines).alias("x")).select("status", "x.*")
-    holds = F.coalesce(F.when(F.col("least"), F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound")), F.lit(False))
-    every = F.min(holds.cast("int")).over(Window.partitionBy())
-    return rows.withColumn("holds", holds).withColumn("verdict", F.when(F.col("status") == "NOT_TESTABLE", "INCONCLUSIVE").when(every == 1, "PASS").otherwise("FAIL"))
+    untested = F.coalesce(run == "NOT_TESTABLE", F.lit(False))
+    shown = F.when(untested, F.array(F.struct(F.lit("evaluation status").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("bound"), F.lit(True).alias("least"), F.lit(False).alias("holds"))).cast(kind)).otherwise(F.array_compact(F.array(*lines)).cast(kind))
+    rows = metrics.select(run.alias("status"), shown.alias("lines"))
+    verdict = F.when(untested, "INCONCLUSIVE").when(F.forall("lines", lambda x: x["holds"]), "PASS").otherwise("FAIL")
+    return rows.withColumn("verdict", verdict).select("status", "verdict", F.explode("lines").alias("x")).select("status", "verdict", "x.*")
 
 
 def long_matrix(wide: DataFrame, documents: list[str]) -> DataFrame:
@@ -142,3 +162,50 @@ def failure_rate(cases: DataFrame, by: list[str]) -> DataFrame:
     rows = cases.groupBy(*by).agg(F.count("*").alias("cases"), F.count_if("failed").alias("failed"))
     rate = F.try_divide("failed", "cases")
     return rows.withColumn("residual_risk", F.when(rate.isNull() | (rate >= 0.3), "High").when(rate > 0, "Medium").otherwise("Low"))
+
+
+def probe_rows(runs: DataFrame) -> DataFrame:
+    """Runs (mode, case, sufficiency, error, verdicts: array of status, downgraded) with counts of their verdicts, what these imply, and whether the rating is that."""
+    n = lambda s: F.size(F.filter("verdicts", lambda v: v["status"] == s))
+    met, lacking = n("met"), n("not_evidenced")
+    implied = F.when(met + lacking > 0, F.when(lacking == 0, "full").when(met == 0, "none").otherwise("partial"))
+    down = F.size(F.filter("verdicts", lambda v: F.coalesce(v["downgraded"], F.lit(False))))
+    return runs.withColumns({"elements": F.size("verdicts"), "met": met, "not_evidenced": lacking, "unset": n("unset"), "downgraded": down, "implied": implied, "consistent": implied == F.col("sufficiency")})
+
+
+def probe_summary(rows: DataFrame) -> DataFrame:
+    """mode: runs scored and failed, elements, met, unset and their rate, downgraded, ratings that aren't what their elements imply."""
+    live = F.col("error").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0))
+    out = rows.groupBy("mode").agg(F.count_if(live).alias("scored"), F.count_if(~live).alias("failed"), *(total(c).alias(c) for c in ("elements", "met", "unset", "downgraded")), F.count_if(live & (F.col("consistent") == F.lit(False))).alias("inconsistent"))
+    return out.withColumn("unset_rate", F.try_divide("unset", "elements"))
+
+
+def rate_change(before: Column, after: Column, least: float = 0.05) -> Column:
+    """better, worse or same: whether a rate fell or rose by more than `least`; null if one is."""
+    delta = before - after
+    return F.when(delta > least, "better").when(delta < -least, "worse").when(delta.isNotNull(), "same")
+
+
+def spread(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    return rows.groupBy(*(by or [])).agg(F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("most"))
+
+
+def correlation(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """n, r: Pearson's, null for fewer than three rows or where one side is constant."""
+    some = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    varied = (F.count("*") >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return some.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.when(varied, F.corr(x, y)).alias("r"))
+
+
+def probe_outcomes(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cases (want, got) with a label: correct, over- and under-credited."""
+    w, g = E.rank_of(F.col("want"), E.RATING_RANK), E.rank_of(F.col("got"), E.RATING_RANK)
+    return rows.where("want IS NOT NULL").groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(F.col("want").eqNullSafe(F.col("got"))).alias("correct"), F.count_if(g > w).alias("over_credit"), F.count_if(g < w).alias("under_credit"))
+
+
+def corpus_binding(cases: DataFrame) -> DataFrame:
+    """control_id: its cases, those labelled against a requirement that has changed since, and those bound to none."""
+    which = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("case_id"))))
+    unbound = F.coalesce(F.col("requirement_sha"), F.lit("")) == ""
+    return cases.groupBy("control_id").agg(F.count("*").alias("cases"), which(F.col("requirement_sha_mismatch")).alias("stale"), which(unbound).alias("unbound"))

@@ -42,10 +42,17 @@ def readiness(controls: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gaps(controls: DataFrame) -> DataFrame:
-    """Controls that aren't full, by priority: errors 0, none without evidence 1, none 0, others 2; ties by ordinal."""
-    rows = controls.where(~F.coalesce(F.col("sufficiency") == "full", F.lit(False)))
-    priority = F.when(F.coalesce("error", F.lit(False)), 0).when(F.col("sufficiency") == "none", 0).when(F.col("sufficiency").isNull(), 1).otherwise(2)
-    return rows.withColumn("status", F.when(F.coalesce("error", F.lit(False)), "error").otherwise(F.coalesce("sufficiency", F.lit("not assessed")))).withColumn("priority", priority)
+    """Controls that aren't full, with status, priority and reviewed: errors that nobody has decided 0, none 0, without a proposal 1, others 2.
+
+    Columns: sufficiency (the proposal's), error, and, if there are decisions, decided (the reviewer's rating, which goes before both).
+    """
+    decided = F.col("decided") if "decided" in controls.columns else F.lit(None).cast("string")
+    failed = F.coalesce("error", F.lit(False)) & decided.isNull()
+    rating = F.coalesce(decided, F.col("sufficiency"))
+    priority = F.when(failed | F.coalesce(rating == "none", F.lit(False)), 0).when(F.col("sufficiency").isNull(), 1).otherwise(2)
+    status = F.when(failed, "error").otherwise(F.coalesce(rating, F.lit("not assessed")))
+    rows = controls.withColumns({"status": status, "priority": priority, "reviewed": decided.isNotNull()})
+    return rows.where((F.col("status") == "error") | (F.col("status") != "full"))
 
 
 def summary(results: DataFrame, by: list[str]) -> DataFrame:
@@ -60,13 +67,15 @@ def open_items(results: DataFrame, run: str = "run_at") -> DataFrame:
 
 
 def calibration(decisions: DataFrame, by: str = "play") -> DataFrame:
-    """For each play and, with a null play, for all: decisions that agree with the proposal, are above or below it; blind readings that agree; those moved.
+    """For each play and, with a null play, for all: decisions that agree with the proposal, rate it lower (over) or not (under); blind readings, those that agree with the proposal, and those of records that supersede another.
 
-    decisions: play, decision, proposal, final, blind, source. Proposals of operating tests don't count.
+    decisions: play, decision, proposal, final, blind, source, supersedes. Decisions without a proposal and
+    those on proposals of operating tests don't count. Unknown words rank as partial, but a blind
+    reading agrees only with the very word of the proposal.
     """
-    rows = decisions.where(~F.coalesce(F.col("source") == "lane_b", F.lit(False)))
-    p, f, b = (E.rank_of(F.col(c), E.RATING_RANK, 1) for c in ("proposal", "final", "blind"))
-    accept = F.col("decision") == "accept"
+    rows = decisions.where(F.col("proposal").isNotNull() & ~F.coalesce(F.col("source") == "lane_b", F.lit(False)))
+    p, f = (E.rank_of(F.coalesce(c, F.lit("")), E.RATING_RANK, 1) for c in ("proposal", "final"))
+    accept = F.coalesce(F.col("decision") == "accept", F.lit(False))
     has = F.col("blind").isNotNull()
     return rows.rollup(by).agg(
         F.count("*").alias("decisions"),
@@ -74,18 +83,24 @@ def calibration(decisions: DataFrame, by: str = "play") -> DataFrame:
         F.count_if(~accept & (p > f)).alias("over"),
         F.count_if(~accept & (p <= f)).alias("under"),
         F.count_if(has).alias("blind"),
-        F.count_if(has & (b == p)).alias("blind_agree"),
-        F.count_if(has & (b != f)).alias("moved"),
+        F.count_if(has & (F.col("blind") == F.col("proposal"))).alias("blind_agree"),
+        F.count_if(has & F.col("supersedes").isNotNull()).alias("moved"),
     )
 
 
+#: Names that are no person's. Fixed values.
+NOBODY = ["", "system", "assessor", "judge", "runner", "n/a", "none"]
+
+
 def decision_quality(decisions: DataFrame) -> DataFrame:
-    """use_case, step: how many decisions give reasons, were blind, came from tests or were stamped without change."""
+    """use_case, step: how many decisions give reasons, were blind, were on tests' proposals (lane_b) and stamped those without reason or blind reading, by whom; functionally_oaid if there is no reason and no blind reading at all."""
     lane_b = F.coalesce(F.col("source") == "lane_b", F.lit(False))
-    hollow = reason_error(F.col("reason")).isNotNull()
-    rows = decisions.withColumns({"_hollow": hollow, "_lane_b": lane_b})
-    stamped = (F.col("decision") == "accept") & F.col("_hollow") & ~F.col("_lane_b")
-    return rows.groupBy("use_case", "step").agg(F.count("*").alias("n"), F.count_if(~F.col("_hollow")).alias("substantive"), F.count_if("_hollow").alias("hollow"), F.count("blind").alias("blind"), F.count_if("_lane_b").alias("lane_b"), F.count_if(stamped).alias("rubber_stamps"), F.array_sort(F.collect_set("reviewer")).alias("reviewers"))
+    decision = F.trim(F.coalesce("decision", F.lit("")))
+    rows = decisions.withColumns({"_hollow": reason_error(F.col("reason"), decision).isNotNull(), "_lane_b": lane_b})
+    stamped = F.col("_lane_b") & (decision == "accept") & F.col("_hollow") & F.col("blind").isNull()
+    person = F.when(~F.lower(F.trim(F.coalesce("reviewer", F.lit("")))).isin(NOBODY), F.trim("reviewer"))
+    rows = rows.groupBy("use_case", "step").agg(F.count("*").alias("n"), F.count_if(~F.col("_hollow")).alias("substantive"), F.count_if("_hollow").alias("hollow"), F.count("blind").alias("blind"), F.count_if("_lane_b").alias("lane_b"), F.count_if(stamped).alias("rubber_stamps"), F.count(person).alias("named"), F.array_sort(F.collect_set(person)).alias("reviewers"))
+    return rows.withColumn("functionally_oaid", (F.col("substantive") == 0) & (F.col("blind") == 0))
 
 
 def distribution(labels: DataFrame, levels: list[str], least: int, most: float = 0.6) -> DataFrame:

@@ -67,7 +67,8 @@ def validated(proposals: DataFrame) -> DataFrame:
     df = _step(df, hits, "evidence holds instructions", maturity=cap(2))
     quoted = E.plain(F.col("excerpt"))
     df = _step(df, (F.col("excerpt") != "") & ~F.col("_plain").contains(quoted), "excerpt not verbatim", excerpt=F.lit(""), sufficiency=lower)
-    flagged = F.exists(F.split("evidence", "\n\n", -1), lambda p: E.plain(p).contains(E.plain(F.col("excerpt"))) & p.rlike(X.INSTRUCTION))
+    # only evidence that holds an instruction somewhere has a paragraph that does
+    flagged = hits & F.exists(F.split("evidence", "\n\n", -1), lambda p: E.plain(p).contains(E.plain(F.col("excerpt"))) & p.rlike(X.INSTRUCTION))
     df = _step(df, (F.col("excerpt") != "") & flagged, "excerpt from a paragraph with instructions", excerpt=F.lit(""), sufficiency=lower, maturity=cap(2))
     df = _step(df, (F.col("sufficiency") == "full") & (F.size("gaps") > 0), "full with gaps", sufficiency=F.lit("partial"))
     df = _step(df, F.col("sufficiency").isin("partial", "none") & (F.size("gaps") == 0), "no gaps named", gaps=F.array(F.lit("(no gaps named)")), maturity=cap(2))
@@ -99,7 +100,8 @@ def findings(proposals: DataFrame) -> DataFrame:
     """Proposals with findings (array of check, ok), status and downgraded_to.
 
     Columns: id, sufficiency, source, cites (array of chunk_id, text), gaps, chunks (map of evidence by
-    id), expected, step, decided (array of steps decided and not rejected).
+    id), expected, step, decided (array of steps decided and not rejected). With a column gate_ok (null:
+    the gate's check was asked for but did not run), there is a finding of it, but for operating tests.
     """
     rating, none = F.col("sufficiency"), F.array().cast("array<string>")
     gaps = F.filter(F.coalesce("gaps", none), lambda g: F.trim(g) != "")
@@ -122,7 +124,10 @@ def findings(proposals: DataFrame) -> DataFrame:
         ("cross_step", ~((rating == "full") & undone)),
         ("injection", lane_b | ~instructed),
     ]
-    listed = F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(ok, F.lit(True)).alias("ok")) for n, ok in checks))
+    checks = [(n, F.coalesce(ok, F.lit(True))) for n, ok in checks]
+    if "gate_ok" in proposals.columns:
+        checks.append(("gate", lane_b | F.coalesce("gate_ok", F.lit(False))))
+    listed = F.array(*(F.struct(F.lit(n).alias("check"), ok.alias("ok")) for n, ok in checks))
     df = proposals.withColumn("findings", listed)
     failed = F.exists("findings", lambda f: ~f["ok"])
     down = F.when(rating == "full", "partial").when((rating == "partial") & ~lane_b, "none")

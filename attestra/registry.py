@@ -168,9 +168,9 @@ SPECS: dict[str, tuple] = {
     "check_preceded_within": (
         "preceded_within",
         EVENTS_AS_OF,
-        lambda s, d: {"views": table(s, d, "events").where("event_type = 'view' AND event_id % 40 = 0"), "purchases": table(s, d, "events").where("event_type = 'purchase'")},
+        lambda s, d: {"views": table(s, d, "events").where("event_type = 'view'"), "purchases": table(s, d, "events").where("event_type = 'purchase'")},
         {"earlier": {"source": "views", "field": "ts"}, "later": {"source": "purchases", "field": "ts"}, "max_days": 1},
-        verdict_sql(f"WITH v AS (SELECT ts t FROM events WHERE event_type = 'view' AND event_id % 40 = 0), p AS (SELECT ts, (SELECT max(t) FROM v WHERE t <= ts) b FROM events WHERE event_type = 'purchase') SELECT count(*) n, count(*) s, count(*) FILTER (WHERE b IS NULL OR {days_sql('ts', 'b')} > 1) f FROM p"),
+        verdict_sql(f"WITH p AS (SELECT a.ts, b.ts b FROM (SELECT ts FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'view') b ON a.ts >= b.ts) SELECT count(*) n, count(*) s, count(*) FILTER (WHERE b IS NULL OR {days_sql('ts', 'b')} > 1) f FROM p"),
     ),
     "check_rate_within": (
         "rate_within",
@@ -296,27 +296,28 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("P"), F.col("doc_id") % 7).alias("play"),
         F.concat(F.lit("P"), F.col("doc_id") % 7, F.lit("."), F.col("doc_id") % 3).alias("step"),
         F.when(p == f, "accept").otherwise("amend").alias("decision"),
-        p.alias("proposal"),
+        F.when(F.col("doc_id") % 13 != 0, p).alias("proposal"),
         f.alias("final"),
         F.when(F.col("doc_id") % 4 != 0, level(F.col("doc_id") + F.col("toxic"))).alias("blind"),
         F.when(F.col("doc_id") % 11 == 0, "lane_b").otherwise("model").alias("source"),
         F.when(F.col("doc_id") % 5 == 0, "ok").when(F.col("doc_id") % 5 == 1, "TODO write the reason down here later").otherwise("The register lists every owner and the date of review").alias("reason"),
-        F.concat(F.lit("r"), F.col("doc_id") % 2).alias("reviewer"),
+        F.when(F.col("doc_id") % 2 == 0, "r0").otherwise(" System").alias("reviewer"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - 3).alias("supersedes"),
     )
 
 
-_DECISIONS_SQL = f"(SELECT doc_id, source use_case, 'P' || (doc_id % 7) play, 'P' || (doc_id % 7) || '.' || (doc_id % 3) step, {_LEVEL.format('doc_id')} proposal, {_LEVEL.format('doc_id + quality + 2')} final, CASE WHEN doc_id % 4 <> 0 THEN {_LEVEL.format('doc_id + toxic')} END blind, doc_id % 11 = 0 lane_b, doc_id % 5 < 2 hollow, 'r' || (doc_id % 2) reviewer FROM labels JOIN documents USING (doc_id))"
+_DECISIONS_SQL = f"(SELECT doc_id, source use_case, 'P' || (doc_id % 7) play, 'P' || (doc_id % 7) || '.' || (doc_id % 3) step, CASE WHEN doc_id % 13 <> 0 THEN {_LEVEL.format('doc_id')} END proposal, {_LEVEL.format('doc_id + quality + 2')} final, {_LEVEL.format('doc_id')} = {_LEVEL.format('doc_id + quality + 2')} accepted, doc_id % 3 = 0 supersedes, CASE WHEN doc_id % 4 <> 0 THEN {_LEVEL.format('doc_id + toxic')} END blind, doc_id % 11 = 0 lane_b, doc_id % 5 < 2 hollow, 'r' || (doc_id % 2) reviewer FROM labels JOIN documents USING (doc_id))"
 _RANK = "(CASE {} WHEN 'none' THEN 0 WHEN 'full' THEN 2 ELSE 1 END)"
 
 
 @query(
-    f"SELECT play, CAST(count(*) AS BIGINT) AS decisions, CAST(count(*) FILTER (WHERE proposal = final) AS BIGINT) AS agree, CAST(count(*) FILTER (WHERE proposal <> final AND {_RANK.format('proposal')} > {_RANK.format('final')}) AS BIGINT) AS over, CAST(count(*) FILTER (WHERE proposal <> final AND {_RANK.format('proposal')} <= {_RANK.format('final')}) AS BIGINT) AS under, CAST(count(blind) AS BIGINT) AS blind, CAST(count(*) FILTER (WHERE blind = proposal) AS BIGINT) AS blind_agree, CAST(count(*) FILTER (WHERE blind <> final) AS BIGINT) AS moved FROM {_DECISIONS_SQL} WHERE NOT lane_b GROUP BY ROLLUP (play)"
+    f"SELECT play, CAST(count(*) AS BIGINT) AS decisions, CAST(count(*) FILTER (WHERE accepted) AS BIGINT) AS agree, CAST(count(*) FILTER (WHERE NOT accepted AND {_RANK.format('proposal')} > {_RANK.format('final')}) AS BIGINT) AS over, CAST(count(*) FILTER (WHERE NOT accepted AND {_RANK.format('proposal')} <= {_RANK.format('final')}) AS BIGINT) AS under, CAST(count(blind) AS BIGINT) AS blind, CAST(count(*) FILTER (WHERE blind = proposal) AS BIGINT) AS blind_agree, CAST(count(*) FILTER (WHERE blind IS NOT NULL AND supersedes) AS BIGINT) AS moved FROM {_DECISIONS_SQL} WHERE NOT lane_b AND proposal IS NOT NULL GROUP BY ROLLUP (play)"
 )
 def calibration_rollup(spark: SparkSession, d: str) -> DataFrame:
     return history.calibration(decisions(spark, d))
 
 
-@query(f"SELECT use_case, step, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE NOT hollow) AS BIGINT) AS substantive, CAST(count(*) FILTER (WHERE hollow) AS BIGINT) AS hollow, CAST(count(blind) AS BIGINT) AS blind, CAST(count(*) FILTER (WHERE lane_b) AS BIGINT) AS lane_b, CAST(count(*) FILTER (WHERE proposal = final AND hollow AND NOT lane_b) AS BIGINT) AS rubber_stamps, string_agg(DISTINCT reviewer, ',' ORDER BY reviewer) AS reviewers FROM {_DECISIONS_SQL} GROUP BY 1, 2")
+@query(f"SELECT use_case, step, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE NOT hollow) AS BIGINT) AS substantive, CAST(count(*) FILTER (WHERE hollow) AS BIGINT) AS hollow, CAST(count(blind) AS BIGINT) AS blind, CAST(count(*) FILTER (WHERE lane_b) AS BIGINT) AS lane_b, CAST(count(*) FILTER (WHERE accepted AND hollow AND lane_b AND blind IS NULL) AS BIGINT) AS rubber_stamps, CAST(count(*) FILTER (WHERE doc_id % 2 = 0) AS BIGINT) AS named, coalesce(string_agg(DISTINCT reviewer, ',' ORDER BY reviewer) FILTER (WHERE doc_id % 2 = 0), '') AS reviewers, count(*) FILTER (WHERE NOT hollow) = 0 AND count(blind) = 0 AS functionally_oaid FROM {_DECISIONS_SQL} GROUP BY 1, 2")
 def decision_quality(spark: SparkSession, d: str) -> DataFrame:
     return history.decision_quality(decisions(spark, d)).withColumn("reviewers", F.array_join("reviewers", ","))
 
@@ -335,11 +336,12 @@ def summary_by_group(spark: SparkSession, d: str) -> DataFrame:
     return history.readiness(rated_orders(spark, d), ["lib"])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'error' WHEN quality IS NULL THEN 'not assessed' WHEN quality = 0 THEN 'none' ELSE 'partial' END AS status, CASE WHEN doc_id % 17 = 0 THEN 0 WHEN quality IS NULL THEN 1 WHEN quality = 0 THEN 0 ELSE 2 END AS priority FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 0 OR toxic = 1")
+@query("WITH r AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'none' WHEN toxic = 1 THEN 'partial' WHEN quality = 1 THEN 'full' END s, CASE WHEN doc_id % 19 = 0 THEN 'full' WHEN doc_id % 23 = 0 THEN 'none' END d, doc_id % 17 = 0 e FROM documents LEFT JOIN labels USING (doc_id)), t AS (SELECT *, coalesce(d, s) r, e AND d IS NULL f FROM r) SELECT doc_id, CASE WHEN f THEN 'error' ELSE coalesce(r, 'not assessed') END AS status, CASE WHEN f OR r = 'none' THEN 0 WHEN s IS NULL THEN 1 ELSE 2 END AS priority, d IS NOT NULL AS reviewed FROM t WHERE f OR r IS DISTINCT FROM 'full'")
 def gap_priority(spark: SparkSession, d: str) -> DataFrame:
     rating = F.when(F.col("quality") == 0, "none").when(F.col("toxic") == 1, "partial").when(F.col("quality") == 1, "full")
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", rating.alias("sufficiency"), (F.col("doc_id") % 17 == 0).alias("error"))
-    return history.gaps(rows).select("doc_id", "status", "priority")
+    decided = F.when(F.col("doc_id") % 19 == 0, "full").when(F.col("doc_id") % 23 == 0, "none")
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", rating.alias("sufficiency"), (F.col("doc_id") % 17 == 0).alias("error"), decided.alias("decided"))
+    return history.gaps(rows).select("doc_id", "status", "priority", "reviewed")
 
 
 @query("SELECT l_returnflag AS kind, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE l_linestatus <> 'F' AND l_linenumber % 2 = 0) AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE l_linestatus <> 'F' AND l_linenumber % 2 = 1) AS BIGINT) AS not_testable, CAST(count(*) FILTER (WHERE l_linestatus <> 'F' AND l_tax <= 0.04) AS BIGINT) AS unsigned FROM lineitem GROUP BY 1")
@@ -607,3 +609,7 @@ def register_audit(spark: SparkSession, d: str) -> DataFrame:
     tickets = rows.select(F.when(k % 9 == 0, "bad").otherwise(F.concat(F.lit("CHG-"), k)).alias("ticket_id"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("approver"), F.col("started").alias("opened_at"), F.col("ended").alias("approved_at"), F.when(k % 2 == 0, "historical").otherwise("live").alias("record_status"))
     found = integrity.register_issues(tickets, r"^CHG-\d+$", ["approver"], ("opened_at", "approved_at"))
     return found.groupBy("ticket_id", "level").agg(F.count("*").alias("n"))
+
+
+import attestra.registry_contracts  # noqa: E402, F401  add their queries to those above
+import attestra.registry_registers  # noqa: E402, F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ SKIPPED_FILES = ["playbook_assessed_*.xlsx", "assessments*.json", "*.bak", ".dem
 DOCUMENTS = [".txt", ".md", ".csv", ".json", ".yaml", ".yml", ".pdf", ".docx", ".xlsx", ".html", ".log"]
 MOST_BYTES = 25_000_000
 MOST_ROWS = 2001
+#: Files of which MARKED or more make a folder a copy of the tool. Fixed values.
+MARKERS, MARKED = ["app.py", "assessor.py", "pipeline.py", "scanner.py", "playbook.py"], 4
 #: (file pattern, kind of signal, controls), the first that fits counts. Fixed values.
 SIGNALS = [
     ("*.tf", "iac", ["M3", "S3.1", "A.6"]),
@@ -55,8 +58,31 @@ SIGNALS = [
 EXAMPLES = (".example", ".template", ".sample")
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, rel, name, length, content of a folder's files, skipped ones left out; content is read only by plans that use it."""
+class OwnFilesError(RuntimeError):
+    """The folder to scan is the tool's installation, holds it or lies in it."""
+
+
+def refused(folder: str, installation: str) -> str | None:
+    """Why a folder must not be scanned; None if it may be."""
+    parts = lambda p: [x for x in os.path.realpath(p).split(os.sep) if x]
+    a, b = parts(folder), parts(installation)
+    if a == b:
+        return "this folder is the installation itself: its files are the tool's own, no evidence"
+    if b[: len(a)] == a:
+        return f"this folder contains the installation ({installation}): scan the folder of the evidence instead"
+    if a[: len(b)] == b:
+        return "this folder lies in the installation: its files are the tool's own, no evidence"
+    return None
+
+
+def files(spark: SparkSession, folder: str, installation: str | None = None) -> DataFrame:
+    """path, rel, name, length, content of a folder's files; content is read only by plans that use it.
+
+    Skipped files and folders are left out, and so are folders below it that are copies of the tool, by
+    their markers. With an installation given, a folder that is, holds or lies in it is refused.
+    """
+    if installation is not None and "://" not in folder and (why := refused(folder, installation)):
+        raise OwnFilesError(why)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/") + "/"
     bare = F.regexp_replace("path", "^file:/+", "/")
@@ -64,7 +90,79 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     rows = found.withColumn("rel", rel).withColumn("name", F.element_at(F.split("rel", "/"), -1))
     inside = F.arrays_overlap(F.slice(F.split("rel", "/"), F.lit(1), F.size(F.split("rel", "/")) - 1), F.array(*map(F.lit, SKIPPED_FOLDERS)))
     skipped = "|".join(fnmatch.translate(p) for p in SKIPPED_FILES)
-    return rows.where(~F.coalesce(inside, F.lit(False)) & ~F.col("name").rlike(skipped.replace(r"\z", r"$").replace(r"\Z", "$")))
+    rows = rows.where(~F.coalesce(inside, F.lit(False)) & ~F.col("name").rlike(skipped.replace(r"\z", r"$").replace(r"\Z", "$")))
+    if installation is None:
+        return rows
+    marked = rows.where(F.col("name").isin(MARKERS)).select(F.regexp_replace("rel", "[^/]*$", "").alias("at"), "name").distinct()
+    copies = [r["at"] for r in marked.groupBy("at").count().where((F.col("count") >= MARKED) & (F.col("at") != "")).collect()]  # as many as there are copies
+    return rows.where(~F.array_contains(F.array(*(F.col("rel").startswith(c) for c in copies)), True)) if copies else rows
+
+
+def _docx(body) -> list[str]:
+    """Paragraphs outside tables, then the rows of the tables, cells divided by bars."""
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    text = lambda p: "".join("\t" if x.tag == f"{word}tab" else "\n" if x.tag in (f"{word}br", f"{word}cr") else x.text or "" for x in p.iter() if x.tag in (f"{word}t", f"{word}tab", f"{word}br", f"{word}cr"))
+    out = [text(p) for p in body.findall(f"{word}p")]
+    for table in body.findall(f"{word}tbl"):
+        for row in table.findall(f"{word}tr"):
+            cells: list[str] = []
+            for cell in row.findall(f"{word}tc"):
+                wide = cell.find(f"{word}tcPr/{word}gridSpan")
+                shown = "\n".join(text(p) for p in cell.findall(f"{word}p"))
+                cells += [shown] * int(wide.get(f"{word}val", "1") if wide is not None else 1)  # a merged cell counts for each column
+            out.append(" | ".join(cells))
+    return out
+
+
+def _dated(formats: list[bool], cell) -> bool:
+    style = cell.get("s")
+    return style is not None and int(style) < len(formats) and formats[int(style)]
+
+
+def _xlsx(z) -> list[str]:
+    """Sheets in the workbook's order, with the values of their rows."""
+    from datetime import datetime, timedelta
+    from xml.etree import ElementTree
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    parsed = lambda path: ElementTree.fromstring(z.read(path))
+    names = set(z.namelist())
+    text = lambda node: "".join(x.text or "" for x in node.iter(f"{main}t"))
+    shared = [text(x) for x in parsed("xl/sharedStrings.xml").findall(f"{main}si")] if "xl/sharedStrings.xml" in names else []
+    dated: list[bool] = []
+    if "xl/styles.xml" in names:
+        styles = parsed("xl/styles.xml")
+        own = {int(x.get("numFmtId", "0")): x.get("formatCode", "") for x in styles.iter(f"{main}numFmt")}
+        is_date = lambda n: 14 <= n <= 22 or 45 <= n <= 47 or any(c in re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(n, "")).lower() for c in "ymdhs")
+        dated = [is_date(int(x.get("numFmtId", "0"))) for g in styles.findall(f"{main}cellXfs") for x in g]
+    targets = {x.get("Id"): x.get("Target", "") for x in parsed("xl/_rels/workbook.xml.rels")}
+    out = []
+    for sheet in parsed("xl/workbook.xml").iter(f"{main}sheet"):
+        out.append(f"## Sheet: {sheet.get('name')}")
+        target = targets.get(sheet.get(link), "")
+        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        for row in list(parsed(path).iter(f"{main}row"))[:MOST_ROWS] if path in names else []:
+            cells = []
+            for c in row.findall(f"{main}c"):
+                kind, value = c.get("t", "n"), c.findtext(f"{main}v")
+                if kind == "inlineStr":
+                    cells.append(text(c))
+                elif value is not None and kind == "s":
+                    cells.append(shared[int(value)])
+                elif value is not None and kind == "b":
+                    cells.append(str(value == "1"))
+                elif value is not None and kind == "n":
+                    number = float(value)
+                    if _dated(dated, c):
+                        cells.append(str(datetime(1899, 12, 30) + timedelta(days=number)))
+                    else:
+                        cells.append(str(int(number)) if number.is_integer() and "." not in value and "E" not in value.upper() else str(number))
+                elif value is not None:
+                    cells.append(value)
+            if cells:
+                out.append(" | ".join(cells))
+    return out
 
 
 def _unzip(raw: bytes, kind: str) -> str:
@@ -72,27 +170,10 @@ def _unzip(raw: bytes, kind: str) -> str:
     import zipfile
     from xml.etree import ElementTree
 
-    text = lambda node, tag: [x.text or "" for x in node.iter() if x.tag.endswith(tag)]
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         if kind == ".docx":
-            body = ElementTree.fromstring(z.read("word/document.xml"))
-            return "\n".join("".join(text(p, "}t")) for p in body.iter() if p.tag.endswith("}p"))
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(text(x, "}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        names = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
-        out = []
-        for i, name in enumerate(names, 1):
-            out.append(f"## Sheet: {name}")
-            rows = [r for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter() if r.tag.endswith("}row")]
-            for r in rows[:MOST_ROWS]:
-                cells = []
-                for c in r:
-                    v = "".join(text(c, "}v")) or "".join(text(c, "}t"))
-                    cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-                if any(cells):
-                    out.append(" | ".join(cells))
-        return "\n".join(out)
+            return "\n".join(_docx(ElementTree.fromstring(z.read("word/document.xml"))[0]))
+        return "\n".join(_xlsx(z))
 
 
 def extract(name: str, raw: bytes) -> str:
@@ -110,9 +191,9 @@ def extract(name: str, raw: bytes) -> str:
         return f"[unreadable: {name}: {type(e).__name__}]"
 
 
-def documents(spark: SparkSession, folder: str, extensions: list[str] = DOCUMENTS) -> DataFrame:
+def documents(spark: SparkSession, folder: str, extensions: list[str] = DOCUMENTS, installation: str | None = None) -> DataFrame:
     """doc_id (relative path) and text of a folder's documents."""
-    rows = files(spark, folder)
+    rows = files(spark, folder, installation)
     rows = rows.where((F.col("length") < MOST_BYTES) & F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(extensions))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,12 +303,13 @@ def artefact_status(models: DataFrame, required: DataFrame, listing: DataFrame)
     return rows.withColumn("universal_gap", ~F.col("present") & (F.col("scope") == "all")).withColumn("tier_gap", ~F.col("present") & (F.col("scope") != "all"))
 
 
-def exception_status(register: DataFrame, required: list[str], max_days: int) -> DataFrame:
-    """Open exceptions with what they lack and whether they last too long, by calendar days."""
+def exception_status(register: DataFrame, required: list[str], max_days: int, today: str) -> DataFrame:
+    """Open exceptions with the fields they lack and whether they end within so many calendar days; an unreadable end doesn't."""
     rows = register.where(F.lower(F.trim("status")) == "open")
-    missing = F.array_compact(F.array(*(F.when(E.empty(E.field(rows, f)), F.lit(f)) for f in required)))
-    life = F.datediff(F.to_date(E.moment(rows, "expires_on")), F.to_date(E.moment(rows, "granted_on")))
-    return rows.withColumn("missing", missing).withColumn("too_long", F.coalesce(life > max_days, F.lit(False))).withColumn("ok", (F.size("missing") == 0) & ~F.col("too_long"))
+    missing = F.array_compact(F.array(*(F.when(F.trim(F.coalesce(E.field(rows, f).cast("string"), F.lit(""))) == "", F.lit(f)) for f in required)))
+    left = F.datediff(F.to_date(E.moment(rows, "expires_on")), F.lit(today[:10]).cast("date"))
+    rows = rows.withColumn("missing_fields", missing).withColumn("complete", F.size("missing_fields") == 0).withColumn("within_max_life", F.coalesce(left <= max_days, F.lit(False)))
+    return rows.withColumn("ok", F.col("complete") & F.col("within_max_life"))
 
 
 def plays(rows: DataFrame) -> DataFrame:
@@ -250,3 +332,29 @@ def control_references(rows: DataFrame, column: str) -> DataFrame:
     span = (F.col("_id").rlike(r"\d\s*(-|–|to)\s*\S*\d$")) & ((m(1) == m(3)) | (m(3) == "")) & (hi >= lo) & (hi - lo <= 40)
     listed = F.when(F.coalesce(span, F.lit(False)), F.transform(F.sequence(F.coalesce(lo, F.lit(0)), F.greatest(F.coalesce(hi, F.lit(0)), F.coalesce(lo, F.lit(0)))), lambda i: F.concat(m(1), i.cast("string")))).otherwise(F.array("_id"))
     return items.withColumn("ref", F.explode(listed)).drop("_lib", "_id")
+
+
+def probe_report(spark: SparkSession, path: str) -> DataFrame:
+    """probe, detector, cases, passed, failed of a scanner's report (JSON lines): its eval entries; without any, one row that counts the attempts."""
+    rows = spark.read.text(path).select(F.from_json("value", "entry_type string, probe string, detector string, total long, passed long").alias("e"), "value")
+    evals = rows.where("e.entry_type = 'eval'").select("e.probe", "e.detector", F.coalesce("e.total", F.lit(0)).alias("cases"), F.coalesce("e.passed", F.lit(0)).alias("passed"))
+    evals = evals.withColumn("failed", F.col("cases") - F.col("passed"))
+    counts = rows.agg(F.count_if(F.col("e.entry_type") == "eval").alias("n"), F.count_if(F.col("e.entry_type") == "attempt").alias("cases")).where("n = 0")
+    old = counts.select(F.lit("all").alias("probe"), F.lit("?").alias("detector"), "cases", F.lit(None).cast("long").alias("passed"), F.lit(None).cast("long").alias("failed"))
+    return evals.unionByName(old)
+
+
+def agent_report(spark: SparkSession, path: str) -> DataFrame:
+    """id, plugin, success, reason of an agent test's report: its results, nested or not."""
+    case = "struct<id:string,success:boolean,testCase:struct<description:string>,metadata:struct<pluginId:string>,gradingResult:struct<reason:string>>"
+    raw = spark.read.text(path, wholetext=True)
+    nested = F.from_json("value", f"results struct<results:array<{case}>>")["results"]["results"]
+    flat = F.from_json("value", f"results array<{case}>")["results"]
+    rows = raw.select(F.explode(F.coalesce(nested, flat)).alias("r"))
+    return rows.select(F.coalesce("r.id", "r.testCase.description", F.lit("case")).alias("id"), F.col("r.metadata.pluginId").alias("plugin"), F.coalesce("r.success", F.lit(False)).alias("success"), F.substring(F.coalesce("r.gradingResult.reason", F.lit("")), 1, 160).alias("reason"))
+
+
+def texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """label (a file's name without its ending), text of the files of a folder."""
+    rows = spark.read.text(f"{folder.rstrip('/')}/{pattern}", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    return rows.select(F.regexp_replace("name", r"\.[^.]+$", "").alias("label"), "text")

@@ -69,9 +69,19 @@ def test_compare(spark):
 
 
 def test_challenges(spark):
-    rows = [("c", "wrong date", "q", "f", "strong", "reviewer"), ("c", "could be clearer", "q", "f", "strong", "reviewer"), ("c", "x", "", "f", "strong", "reviewer"), ("c", "x", "q", "f", "strong", "other")]
-    got = comparison.rebuttals(spark.createDataFrame(rows, "control_id string, claim string, quote string, fact string, strength string, supports string"))
-    assert [r.strength for r in got.collect()] == ["strong", "weak", "rejected", "weak"]
+    schema = "control_id string, claim string, fact_meaning string, rebuttal string, strength string, risk string, quote string, fact string, supports string, observation string"
+    rows = [
+        ("c", "dated", "the date is wrong", "it was signed later", "strong", "late approval", "q", "f", "reviewer", None),
+        ("c", "dated", "the date is wrong", "The fact DOES NOT REBUT the claim", "strong", "late approval", "q", "f", "reviewer", None),
+        ("c", "dated", "the date is wrong", "it was signed later", "strong", "late approval", " ", "f", "reviewer", None),
+        ("c", "dated", "the date is wrong", "it was signed later", "strong", "", "q", "f", "other", None),
+        ("c", "", "the date is wrong", "it was signed later", "strong", "late approval", "q", "f", None, "dated"),
+        ("c", "dated", "the date is wrong", "it was signed later", "fierce", "late approval", "q", "f", None, None),
+        ("c", "it does not rebut", "the date is wrong", "it was signed later", "strong", "late approval", "q", "f", None, None),
+    ]
+    got = comparison.rebuttals(spark.createDataFrame(rows, schema))
+    assert [r.strength for r in got.collect()] == ["strong", "weak", "rejected", "weak", "strong", "weak", "strong"]
+    assert [r.errors for r in got.collect()][2:6] == [["quote missing"], ["risk missing"], [], ["unknown strength"]]
     assert comparison.outcomes(got).first().outcome == "substantive"
     items = spark.createDataFrame([("1", "", "missing owner", "", [("no date", "add dates"), ("missing owner", "name one")]), ("2", "", "", "nobody added review dates", [("no date", "add review dates"), ("other", "none")]), ("3", "given", "", "", []), ("4", "", "", "zzz", [("a", "b")])], "id string, supplied string, mode string, text string, options array<struct<failure_mode:string,text:string>>")
     assert {r.id: r.resolution for r in comparison.resolution(items).collect()} == {"1": "name one", "2": "add review dates", "3": "given", "4": ""}
@@ -85,7 +95,24 @@ def test_labels_and_gates(spark):
     assert evaluation.derived_labels(nothing, ["case_id"]).first().label is None
     metrics = spark.createDataFrame([(0.9, 0.95, 0.96, 0.0, 0.0, 0.1)], "accuracy double, real_accuracy double, adjacent_accuracy double, over_credit double, refusal_rate double, quarantine_rate double")
     assert evaluation.release_gate(metrics).first().verdict == "FAIL"  # no margin
-    assert evaluation.release_gate(metrics.withColumn("baseline_margin", F.lit(0.2))).first().verdict == "PASS"
+    whole = metrics.withColumn("baseline_margin", F.lit(0.2))
+    verdict = lambda **more: evaluation.release_gate(whole.withColumns({k: F.lit(v) for k, v in more.items()})).first().verdict
+    assert [verdict(), verdict(real_full_cases=2), verdict(real_full_cases=3), verdict(label_governance="PASS"), verdict(label_governance="FAIL"), verdict(status="NOT_TESTABLE")] == ["PASS", "FAIL", "PASS", "PASS", "FAIL", "INCONCLUSIVE"]
+
+
+def test_gate_finding(spark):
+    schema = "id string, sufficiency string, source string, cites array<struct<chunk_id:string,text:string>>, gaps array<string>, chunks map<string,string>, expected string, step string, decided array<string>, gate_ok boolean"
+    rows = [(n, "partial", source, [("1", "words")], ["gap"], {"1": "some words"}, "", "P9.9", [], ok) for n, source, ok in (("holds", "model", True), ("fails", "model", False), ("did not run", "model", None), ("test", "lane_b", False))]
+    got = {r.id: (r.status, r.downgraded_to) for r in validation.findings(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"holds": ("ok", None), "fails": ("needs_review", "none"), "did not run": ("needs_review", "none"), "test": ("ok", None)}
+
+
+def test_calibration_and_gaps(spark):
+    rows = [("P1", "accept", "full", "full", "full", "model", None), ("P1", "amend", "full", "none", "none", "model", "7"), ("P1", "amend", "odd", "partial", "partial", "model", None), ("P2", "reject", None, "none", "none", "model", "8"), ("P2", "accept", "full", "full", None, "lane_b", None), ("P2", "amend", "none", "none", None, None, None)]
+    got = {r.play: tuple(r)[1:] for r in history.calibration(spark.createDataFrame(rows, "play string, decision string, proposal string, final string, blind string, source string, supersedes string")).collect()}
+    assert got == {"P1": (3, 1, 1, 1, 3, 1, 1), "P2": (1, 0, 0, 1, 0, 0, 0), None: (4, 1, 1, 2, 3, 1, 1)}
+    controls = spark.createDataFrame([("a", None, True, None), ("b", None, True, "full"), ("c", "none", False, None), ("d", "full", False, "partial"), ("e", None, False, None), ("f", "full", False, None), ("g", None, True, "partial")], "id string, sufficiency string, error boolean, decided string")
+    assert {r.id: (r.status, r.priority) for r in history.gaps(controls).collect()} == {"a": ("error", 0), "c": ("none", 0), "d": ("partial", 2), "e": ("not assessed", 1), "g": ("partial", 1)}
 
 
 def test_history(spark):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestra.sources import readers, sinks
@@ -21,20 +22,52 @@ def test_files_and_signals(spark, tmp_path):
     assert [r.chunk for r in readers.document_chunks(spark, str(tmp_path)).where("doc_id = 'a/report.md'").collect()] == ["[report.md]\nHello there"]
 
 
-def test_office_files(tmp_path):
-    path = tmp_path / "x.docx"
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def packed(path, **parts):
     with zipfile.ZipFile(path, "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="u"><w:p><w:t>One</w:t></w:p><w:p><w:t>Two</w:t></w:p></w:document>')
-    assert readers.extract("x.docx", path.read_bytes()) == "One\nTwo"
-    sheet = tmp_path / "x.xlsx"
-    with zipfile.ZipFile(sheet, "w") as z:
-        z.writestr("xl/workbook.xml", '<w xmlns="u"><sheets><sheet name="S1"/></sheets></w>')
-        z.writestr("xl/sharedStrings.xml", '<s xmlns="u"><si><t>head</t></si></s>')
-        z.writestr("xl/worksheets/sheet1.xml", '<w xmlns="u"><row><c t="s"><v>0</v></c><c><v>2</v></c></row></w>')
-    assert readers.extract("x.xlsx", sheet.read_bytes()) == "## Sheet: S1\nhead | 2"
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return path.read_bytes()
+
+
+def test_office_files(tmp_path):
+    p = lambda *runs: "<w:p>" + "".join(f"<w:r><w:t>{r}</w:t></w:r>" for r in runs) + "</w:p>"
+    cell = lambda text, wide="": f"<w:tc><w:tcPr>{wide}</w:tcPr>{p(text)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('c', '<w:gridSpan w:val=\"2\"/>')}</w:tr></w:tbl>"
+    raw = packed(tmp_path / "x.docx", **{"word/document.xml": f"<w:document {W}><w:body>{p('One', ' more')}{table}{p('Two')}</w:body></w:document>"})
+    assert readers.extract("x.docx", raw) == "One more\nTwo\na | b\nc | c"
+    raw = packed(tmp_path / "x.xlsx", **{
+        "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="Late" r:id="rId9"/><sheet name="Early" r:id="rId2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="u"><Relationship Id="rId2" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="/xl/worksheets/other.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {S}><si><t>head</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>",
+        "xl/styles.xml": f'<styleSheet {S}><numFmts><numFmt numFmtId="170" formatCode="yyyy-mm-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row><c t="s"><v>0</v></c><c><v>2</v></c><c><v>2.5</v></c><c t="b"><v>1</v></c></row><row/><row><c s="1"><v>45292</v></c><c t="s"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/other.xml": f'<worksheet {S}><sheetData><row><c t="inlineStr"><is><t>x</t></is></c><c/></row></sheetData></worksheet>',
+    })
+    assert readers.extract("x.xlsx", raw) == "## Sheet: Late\nx\n## Sheet: Early\nhead | 2 | 2.5 | True\n2024-01-01 00:00:00 | rich"
     assert readers.extract("x.docx", b"broken").startswith("[unreadable")
 
 
+def test_own_files_are_no_evidence(spark, tmp_path):
+    for name in ("evidence/a.md", "tool/readme.md", *(f"tool/{m}" for m in readers.MARKERS[:4]), *(f"evidence/copy/{m}" for m in readers.MARKERS), "evidence/copy/docs/b.md", "evidence/few/app.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    tool = str(tmp_path / "tool")
+    for folder in (tool, str(tmp_path), tool + "/"):
+        with pytest.raises(readers.OwnFilesError):
+            readers.files(spark, folder, tool)
+    (tmp_path / "tool/docs").mkdir()
+    with pytest.raises(readers.OwnFilesError):
+        readers.files(spark, tool + "/docs", tool)
+    assert readers.refused(str(tmp_path / "evidence"), tool) is None and readers.refused(str(tmp_path / "tools"), tool) is None
+    got = lambda *a: {r.rel for r in readers.files(spark, str(tmp_path / "evidence"), *a).select("rel").collect()}
+    assert got(tool) == {"a.md", "few/app.py"}
+    assert "copy/docs/b.md" in got()
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿ticket_id , owner\n 1 , Ann \n2,\n")
     (tmp_path / "t.json").write_text(json.dumps({"records": [{"v": "1", "x": 2}, {"v": "2", "x": None}]}))
@@ -56,8 +89,8 @@ def test_registers(spark):
     required = spark.createDataFrame([("card", "all", ["a.md", "b.md"]), ("plan", "high", ["c.md"]), ("x", "low", ["d.md"])], "artefact string, scope string, locations array<string>")
     got = {r.artefact: (r.location, r.universal_gap, r.tier_gap) for r in readers.artefact_status(models, required, spark.createDataFrame([("b.md",)], "path string")).collect()}
     assert got == {"card": ("b.md", False, False), "plan": (None, False, True)}
-    exceptions = spark.createDataFrame([("1", "open", "o", "2026-01-01", "2026-03-01"), ("2", "Open", None, "2026-01-01", "2026-12-01"), ("3", "closed", None, None, None)], "exception_id string, status string, owner string, granted_on string, expires_on string")
-    assert {r.exception_id: r.ok for r in readers.exception_status(exceptions, ["owner"], 180).collect()} == {"1": True, "2": False}
+    exceptions = spark.createDataFrame([("1", "open", "o", "2026-03-01"), ("2", "Open", " ", "2026-03-01"), ("3", "closed", None, None), ("4", "open", "o", "2026-12-01"), ("5", "open", "o", "soon")], "exception_id string, status string, owner string, expires_on string")
+    assert {r.exception_id: (r.missing_fields, r.ok) for r in readers.exception_status(exceptions, ["owner"], 180, "2026-01-01T10:00:00Z").collect()} == {"1": ([], True), "2": (["owner"], False), "4": ([], False), "5": ([], False)}
     refs = spark.createDataFrame([("LIB: A.1 (note), A.3-A.5 | NIST: MAP 1.1",)], "c string")
     assert [(r.lib, r.ref) for r in readers.control_references(refs, "c").collect()] == [("LIB", "A.1"), ("LIB", "A.3"), ("LIB", "A.4"), ("LIB", "A.5"), ("NIST", "MAP 1.1")]
     cadence = spark.createDataFrame([("Quarterly",), ("semi-annual",), ("Annual",), (None,)], "c string").select(readers.cadence_days(F.col("c")).alias("d"))
