@@ -1,10 +1,11 @@
 """License scans by canonical digests (operator 10), in DataFrame operations alone.
 
-A text is made canonical: lower case, no lines of copyright claims, punctuation and white space to
+A text is made canonical: lower case, no lines of copyright claims or reserved rights, punctuation and white space to
 single spaces, equivalent spellings made one. Texts whose canonical forms have equal sha256 are the
 same licence. Whole documents, and each of their lines and paragraphs (divided by lines without
-letters or digits) as a text of its own, are joined by that digest with the known licences; a list of
-known texts is a parameter, bounded by what a caller writes down. All that needs a look at every
+letters or digits) as a text of its own, are joined by that digest with the known licences: notices,
+full texts, and the paragraphs that only one full text has (licence_catalogue.py); those lists
+are parameters, bounded by what a caller writes down. All that needs a look at every
 character is done once for a document; spelling and digests only for texts that begin with a
 word with which some known text, or another spelling of it, begins: no other can match.
 
@@ -15,36 +16,18 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licence_catalogue as catalogue
 from .common import table
 
-#: (licence, text): notices and short licences in full. Fixed values.
-KNOWN: list[tuple[str, str]] = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License").'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-]
 #: Equivalent spellings, each made the second. Fixed values.
 SPELLINGS: list[tuple[str, str]] = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("v 2 0", "version 2 0"), ("http", "https")]
 #: A line that claims copyright: the word or sign, then a year or a holder.
-COPYRIGHT = r"(?m)^[\s#/*;.-]*(?:copyright\s*(?:\(c\)|©|by\b|:|,)?\s*(?:\(c\)|©|by\b|[0-9]{4})|\(c\)\s|©)[^\n]*\n?"
+COPYRIGHT = r"(?m)^[\s#/*;.-]*(?:all rights reserved[. \t\r]*(?:\n|$)|(?:copyright\s*(?:\(c\)|©|by\b|:|,)?\s*(?:\(c\)|©|by\b|[0-9]{4})|\(c\)\s*[0-9]{4}|©)[^\n]*\n?)"
 #: Runs of anything that isn't part of a word, but for line ends.
 BLANKS = r"[ \t\r\x0B\f\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E‘’“”–—©]+"
 
@@ -52,7 +35,7 @@ BLANKS = r"[ \t\r\x0B\f\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E‘’“”–—©]
 def flat(text: Column) -> Column:
     """Lower case without copyright lines, its words a space apart, its lines kept."""
     low = F.lower(text)
-    claims = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    claims = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
     return F.regexp_replace(F.when(claims, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low), BLANKS, " ")
 
 
@@ -72,11 +55,14 @@ def first_words(canonical: list[str]) -> list[str]:
     return sorted(words)
 
 
-def scanned(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """doc_id, licences (names in order, comma-joined), n_matches (texts that match), whole (name, if the whole document does)."""
+def scanned(docs: DataFrame, known: Sequence[tuple[str, str]] | None = None, sections: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """doc_id, licences (names in order, comma-joined), n_matches (texts that match), whole (name, if the whole document is a known text rather than a section)."""
     spark = docs.sparkSession
-    listed = spark.createDataFrame(known, "licence string, text string").select("licence", spelled(flat(F.col("text"))).alias("c")).distinct().collect()  # as the caller wrote down
-    digests = spark.createDataFrame([(r.licence, r.c) for r in listed if r.c], "licence string, c string").select("licence", F.sha2("c", 256).alias("digest"))
+    known = catalogue.known() if known is None else known
+    sections = catalogue.sections() if sections is None else sections
+    given = spark.createDataFrame([(n, t, True) for n, t in known] + [(n, t, False) for n, t in sections], "licence string, text string, entire boolean")
+    listed = given.groupBy("licence", spelled(flat(F.col("text"))).alias("c")).agg(F.bool_or("entire").alias("entire")).collect()  # as the caller wrote down
+    digests = spark.createDataFrame([(r.licence, r.c, r.entire) for r in listed if r.c], "licence string, c string, entire boolean").select("licence", F.sha2("c", 256).alias("digest"), "entire")
     begins = first_words([r.c for r in listed])
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.explode(F.array(flat(F.col("text")))).alias("t"))
     fits = lambda p: F.substring_index(F.ltrim(p), " ", 1).isin(begins)
@@ -87,7 +73,7 @@ def scanned(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     whole = F.filter(F.array(F.col("t")), lambda p: fits(F.translate(F.substring(F.regexp_replace(p, "^\\s+", ""), 1, 2 + max(map(len, begins), default=0)), "\n", " ")))
     parts = texts.select("doc_id", F.explode(F.concat(F.transform(whole, lambda p: part(p, True)), F.transform(lines, lambda p: part(p, False)), F.transform(several, lambda p: part(p, False)))).alias("p"))
     found = parts.select("doc_id", "p.all", F.sha2(spelled(F.col("p.part")), 256).alias("digest")).join(F.broadcast(digests), "digest")
-    by_doc = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.count("*").alias("n_matches"), F.min(F.when(F.col("all"), F.col("licence"))).alias("whole"))
+    by_doc = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.count("*").alias("n_matches"), F.min(F.when(F.col("all") & F.col("entire"), F.col("licence"))).alias("whole"))
     out = docs.select("doc_id").join(by_doc, "doc_id", "left")
     return out.select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), "whole")
 

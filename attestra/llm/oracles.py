@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .licences import BLANKS, COPYRIGHT, KNOWN, SPELLINGS
+from .licence_catalogue import known, sections
+from .licences import BLANKS, COPYRIGHT, SPELLINGS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,12 +52,12 @@ def _spelled(e: str) -> str:
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
-_KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)
+_KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)}, {e})" for e, listed in (("true", known()), ("false", sections())) for n, t in listed)
 LICENCES = f"""
-WITH k AS (SELECT DISTINCT n, {_spelled(_flat("t"))} c FROM (VALUES {_KNOWN}) v(n, t)),
+WITH k AS (SELECT n, {_spelled(_flat("t"))} c, bool_or(e) e FROM (VALUES {_KNOWN}) v(n, t, e) GROUP BY 1, 2),
 d AS (SELECT doc_id, {_flat("text")} x FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, true w, x p FROM d UNION ALL SELECT doc_id, false, unnest(string_split(x, chr(10))) FROM d WHERE contains(x, chr(10)) UNION ALL SELECT doc_id, false, p FROM (SELECT doc_id, unnest(regexp_split_to_array(x, '\n( ?\n)+')) p FROM d WHERE regexp_matches(x, '\n ?\n')) WHERE contains(trim(p, ' ' || chr(10)), chr(10))),
-f AS (SELECT doc_id, w, n FROM (SELECT doc_id, w, {_spelled("p")} c FROM p) JOIN k USING (c)),
+f AS (SELECT doc_id, w AND e w, n FROM (SELECT doc_id, w, {_spelled("p")} c FROM p) JOIN k USING (c)),
 g AS (SELECT doc_id, string_agg(DISTINCT n, ',' ORDER BY n) l, count(*) m, min(n) FILTER (WHERE w) z FROM f GROUP BY 1)
 SELECT doc_id, coalesce(l, '') AS licences, CAST(coalesce(m, 0) AS BIGINT) AS n_matches, z AS whole FROM documents LEFT JOIN g USING (doc_id)
 """
