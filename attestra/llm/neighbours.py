@@ -214,7 +214,7 @@ def compared(classes: DataFrame, keys: np.ndarray, queries: np.ndarray, top: int
             a, c = i[z : z + 100_000], j[z : z + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(other[a, c]), pa.array(score[a, c])], names=["class", "other", "score"])
 
-    return map_arrow(classes.select("class", F.col("embedding").cast("array<float>")), run, "class long, other long, score double")
+    return map_arrow(classes.select("class", "embedding"), run, "class long, other long, score double")
 
 
 def _best(met: DataFrame, top: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _best(met: DataFrame, top: int) -> DataFrame:
 
 
 def _collected(rows: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.select("class", F.col("embedding").cast("array<float>").alias("embedding")).toArrow().combine_chunks()
+    found = rows.select("class", "embedding").toArrow().combine_chunks()
     return found["class"].to_numpy(), _matrix(found["embedding"].combine_chunks(), wide)
 
 
@@ -256,8 +256,10 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
     spark = embeddings.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    # single floats stay as they are, which loses nothing; all else is scored as doubles
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col("embedding")
-    usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
+    usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(kind).alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
     usable = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     usable = written(usable, "vectors")
     wide = usable.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -293,12 +295,12 @@ def nearest(embeddings: DataFrame, step: int = 20, top: int = TOP, trees: int =
                 take = pa.array(np.repeat(np.arange(len(part)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array([y for f in found for y in f], pa.int64()), pa.array([True] * len(take)), part.column(0).take(take), part.column(1).take(take)], names=["leaf", "asks", "class", "embedding"])
 
-    meeting = "leaf long, asks boolean, class long, embedding array<float>"
-    rows = map_arrow(classes.select("class", F.col("embedding").cast("array<float>")), place, meeting)
+    meeting = f"leaf long, asks boolean, class long, embedding {kind}"
+    rows = map_arrow(classes.select("class", "embedding"), place, meeting)
     # each distinct vector among the queries asks once
     asked = usable.where(F.col("vec_id") % step == 0).select("embedding", "vec_id")
     asking = written(asked.join(classes.select("embedding", "class"), "embedding").select(F.col("vec_id").alias("query_id"), "class"), "queries")
-    asked = written(classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", F.col("embedding").cast("array<float>")), "asked")
+    asked = written(classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", "embedding"), "asked")
     total = len(forest.value.centre) << levels
     meet_most = leaves or LEAVES
     if leaves is None and total > LEAVES:
