@@ -81,6 +81,20 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
+_factors = np.random.default_rng(8).integers(1 << 62, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def eights(values: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all runs of eight small integers, each from those of its halves."""
+    h, width = (values + np.uint64(0x51ED27)) * _factors[0], 1
+    for f in _factors[1:]:
+        if len(h) <= width:
+            return np.zeros(0, np.uint64)
+        h = h[:-width] * f + h[width:]
+        width *= 2
+    return mix(h)
+
+
 def pretokens(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Positions at which pretokens start, for texts laid end to end as code points.
 
@@ -290,8 +304,6 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         ids = self.merges.ids
-        if len(piece) <= self.hold:
-            return [ids[t] for t in self.merges.merge(piece)]
         return [ids[t] for part in (self.push(piece), self.flush()) for t in part]
 
 

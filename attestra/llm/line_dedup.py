@@ -7,14 +7,15 @@ no shingles, and are linked with equal ones alone. Of each connected component,
 line that comes first, by doc_id and place, is kept; all others are cut out of their documents.
 
 1. One pass over the texts gives each line a 64-bit id and a MinHash signature: every shingle is hashed
-   once and goes to one of BANDS * ROWS bins, whose minima are the signature; empty bins borrow
-   from others in a fixed order. BANDS groups of ROWS minima are bucket keys.
-2. Each task sorts its own keys: lines that share one are paired with the first of them, which alone
-   goes on, with those of other tasks, to the partition of the key. So a bucket that holds a third
-   of all lines has no more than one entry from each task there.
-3. Those pairs are verified on full sets of shingles. Buckets whose lines, first ones included,
-   remain in different components are compared whole, in blocks, pairs within a component aside.
-4. Components of verified links, and the first place of each.
+   once and goes to one of BINS bins, whose minima (16 bits of them) are the signature; empty bins borrow
+   from others in a fixed order. BANDS groups of ROWS minima are bucket keys. Each task sorts its own
+   keys and pairs lines that share one with the first of them, which alone goes on, packed into 12
+   bytes, to the partition of the key, where the same is done with those of all tasks.
+2. Lines that were paired are read again from one place each. Pairs whose signatures agree in too few
+   bins go: DEVIATIONS standard errors below the threshold, as many bins counted as the emptier line fills.
+3. The others are verified on full sets of shingles. Buckets whose lines remain in different components
+   are compared whole, in blocks (stars.py), pairs within a component aside.
+4. Components of verified links, by large-star and small-star rounds, and the first place of each.
 
 Keys of 3 of 54 bins in 18 bands miss a pair of similarity 0.75 with a probability of 5e-5, one of
 0.9 with 6e-11, if bins are independent. A null text has no lines; an empty text has one empty line, which is kept, as all empty lines
@@ -24,30 +25,32 @@ first. Extra columns are carried along by deduplicated() and ignored otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions, steps, table, text_buffer, written
-from .components import components, hooked
-from .near_dup import FEW_IDS
+from . import stars
+from .common import few, map_arrow, partitions, scratch, steps, table, text_buffer, written
+from .components import components, joined, merged
+from .textvec import eights as grams
 from .textvec import mix, span_hashes
 
 #: LEAST_CHARS of 1 leaves out empty lines alone.
 LEAST_CHARS, SHINGLE, SHARE = 1, 8, 75
 BANDS, ROWS = 18, 3
 BINS = BANDS * ROWS
-BLOCK = 512
+DEVIATIONS = 5
 #: Keys that a task gathers before it pairs them and passes them on.
-GATHER = 3_000_000
+GATHER = 1_000_000
+#: Bytes of text for each partition of keys, at most; bytes of a filter of places.
+PART_BYTES, FILTER_BYTES = 16_000_000, 4_194_304
 NONE = np.uint32(0xFFFFFFFF)
 
-_white = np.zeros(128, bool)
-_white[[9, 11, 12, 13, 32]] = True
 _borrow = np.random.default_rng(7).integers(0, BINS, (BINS, 512))
 
 
@@ -56,15 +59,15 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-        ahead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(points) != len(data) else None
-        bounds = offsets if ahead is None else ahead[offsets]
-        low = np.where((points >= 65) & (points <= 90), points + 32, points)
-        white = _white[np.minimum(low, 127)]
+        bounds = offsets if len(points) == len(data) else offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
+        low = points + ((points - np.uint32(65) < 26).view(np.uint8) << np.uint8(5))
+        white = (points == 32) | ((points - np.uint32(9) < 5) & (points != 10))
         low[white] = 32
-        keep = np.ones(len(low), bool)
-        keep[1:] = ~(white[1:] & white[:-1])
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        self.points, bounds = low[keep], kept[bounds]
+        again = np.flatnonzero(white[1:] & white[:-1]) + 1  # white space after white space
+        if len(again):
+            low = np.delete(low, again)
+            bounds = bounds - np.searchsorted(again, bounds)
+        self.points = low
         breaks = np.flatnonzero(self.points == 10)
         starts = np.sort(np.concatenate([bounds[:-1], breaks + 1]), kind="stable")
         ends = np.sort(np.concatenate([breaks, bounds[1:]]), kind="stable")
@@ -81,41 +84,58 @@ class Lines:
         if some.any():
             h = span_hashes(self.points, starts[some], ends[some])
             self.ids[some] = np.where(h == 0, np.uint64(1), h)
-        self.grams = span_hashes(self.points, np.arange(max(0, len(self.points) - SHINGLE + 1)), np.arange(SHINGLE, len(self.points) + 1)) if len(self.points) >= SHINGLE else np.zeros(0, np.uint64)
+        self.grams = grams(self.points)
 
-    def signatures(self, some: np.ndarray) -> np.ndarray:
-        """Rows of BINS minima for the lines numbered in `some`, all long."""
+    def signatures(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of BINS minima for the lines numbered in `some`, all long, and how many bins each fills itself."""
         sizes = self.ends[some] - self.starts[some] - SHINGLE + 1
         before = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.starts[some] - before[:-1], sizes) + np.arange(before[-1])
+        at = np.repeat(self.starts[some] - before[:-1], sizes)
+        at += np.arange(before[-1])
         h = self.grams[at]
-        cell = np.repeat(np.arange(len(some)) * BINS, sizes) + (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
+        cell = (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
+        cell += np.repeat(np.arange(len(some)) * BINS, sizes)
         out = np.full(len(some) * BINS, NONE, np.uint32)
-        np.minimum.at(out, cell, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        np.minimum.at(out, cell, h.astype(np.uint32))
         out = out.reshape(-1, BINS)
         full = out != NONE
+        row, column = np.nonzero(~full)
         for t in range(_borrow.shape[1]):
-            row, column = np.nonzero(out == NONE)
             if not len(row):
                 break
             source = _borrow[column, t]
             have = full[row, source]
             out[row[have], column[have]] = out[row[have], source[have]] ^ np.uint32(t + 1)
-        return out
+            row, column = row[~have], column[~have]
+        return out.astype(np.uint16), full.sum(axis=1)
+
+
+_SPACES = re.compile(rb"[\t\x0b\x0c\r ]+")
+_ODD = re.compile(rb"[\t\x0b\x0c\r]|  ")
 
-    def line(self, i: int) -> str:
-        """The normal form of a line."""
-        return self.points[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
 
+def normal(line: bytes) -> bytes:
+    """The normal form of a line, as bytes: what isn't UTF-8 is replaced."""
+    if not line.isascii():
+        line = line.decode("utf-8", "replace").encode()
+    low = line.lower()  # of bytes, A-Z alone
+    return (_SPACES.sub(b" ", low) if _ODD.search(low) else low).strip(b" ")
 
-def shingles(line: str) -> np.ndarray:
-    """The sorted distinct shingles of a normal line of at least SHINGLE characters."""
-    points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-    starts = np.arange(len(points) - SHINGLE + 1)
-    return np.unique(span_hashes(points, starts, starts + SHINGLE))
+
+def shingles(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of normal lines end to end, and the n + 1 ends of each line's."""
+    data, offsets = text_buffer(lines.cast(pa.large_binary()).cast(pa.large_string()))
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    if len(points) != len(data):
+        offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    own = np.diff(offsets) - SHINGLE + 1
+    found, sizes = grams(points), np.maximum(own, 0)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return found[np.repeat(offsets[:-1] - before[:-1], sizes) + np.arange(before[-1])], before
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
+    """64-bit keys of rows of minima, a column for each band."""
     x = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), x.shape[:2]).copy()
     for j in range(ROWS):
@@ -123,221 +143,330 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, first ids) of all buckets, and (bucket, first id, id) of their other entries."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])[: len(keys)]
-    keys, ids = keys[new], ids[new]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    lead = np.repeat(ids[first], np.diff(np.append(first, len(keys))))
-    other = np.ones(len(keys), bool)
-    other[first] = False
-    return keys[first], ids[first], (keys[other], lead[other], ids[other])
+DOCUMENT, STAR, BLOB = 0, 1, 2
+_MADE = {"kind": "tinyint", "p": "int", "band": "int", "doc_id": "long", "row": "long", "ids": "array<long>", "bucket": "long", "u": "long", "v": "long", "n": "int", "blob": "binary"}
+_KINDS = {"tinyint": pa.int8(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def _made(kind: int, size: int, **columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+    filled = {"kind": pa.array(np.full(size, kind, np.int8))}
+    for c, x in columns.items():
+        filled[c] = x if isinstance(x, pa.Array) else pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
+    return pa.RecordBatch.from_arrays([filled[c].cast(_KINDS[t]) if c in filled else pa.nulls(size, _KINDS[t]) for c, t in _MADE.items()], names=list(_MADE))
+
+
+def row_of(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def _stars(slot: np.ndarray, key: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the least line of each bucket with its others, from entries in any order; a bucket is a key of a slot."""
+    if not len(key):
+        return
+    both = slot << np.uint64(32) | key
+    order = np.lexsort((ids, both))
+    both, ids = both[order], ids[order]
+    new = np.append(True, (both[1:] != both[:-1]) | (ids[1:] != ids[:-1]))  # equal lines are one
+    both, ids = both[new], ids[new]
+    lead = np.append(True, both[1:] != both[:-1])
+    first = np.flatnonzero(lead)
+    size = np.diff(np.append(first, len(both)))
+    other = np.flatnonzero(~lead)
+    u, n = np.repeat(ids[first], size)[other], np.repeat(size, size)[other]
+    band = (both >> np.uint64(32)) % np.uint64(BANDS)
+    bucket = (mix(both.copy()) & ~np.uint64((1 << stars.BAND_BITS) - 1)) | band
+    for x in range(0, len(other), 20_000):
+        y = other[x : x + 20_000]
+        yield _made(STAR, len(y), p=np.arange(len(y)) % parts, bucket=bucket[y], u=u[x : x + 20_000], v=ids[y], n=n[x : x + 20_000])
 
 
-_MADE = "p int, doc_id long, row long, ids binary, bucket long, u long, v long, keys binary"
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Of keys in order, which ones come more than once."""
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    return same[1:] | same[:-1]
 
 
-def _made(**columns: pa.Array) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    kinds = {"p": pa.int32(), "ids": pa.binary(), "keys": pa.binary()}
-    names = [x.split()[0] for x in _MADE.split(", ")]
-    return pa.RecordBatch.from_arrays([columns[c].cast(kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
+def _packed(key: np.ndarray, ids: np.ndarray) -> bytes:
+    """32 bits of keys, in order, as differences, and ids: byte by byte, so that they compress well."""
+    step = np.diff(key.astype(np.uint32), prepend=np.uint32(0))
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes() + ids.tobytes()
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 12
+    step = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.uint32), np.frombuffer(blob, np.uint64, n, 4 * n)
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, row: hash of the text, ids of its lines, 0 for empty ones) and rows of buckets (bucket, u: its first line, v: another)."""
-    parts = partitions(docs.sparkSession)
-
-    def spread(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        k, i, (bucket, u, v) = _starred(np.concatenate(keys), np.concatenate(ids))
-        for at in range(0, len(bucket), 100_000):
-            s = slice(at, at + 100_000)
-            yield _made(p=pa.array(np.arange(len(bucket[s])) % parts, pa.int32()), bucket=_long(bucket[s]), u=_long(u[s]), v=_long(v[s]))
-        to = (k % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(parts + 1))
-        k, i = k[order], i[order]
-        rows = [(p, k[a:b].tobytes(), i[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-        yield _made(p=pa.array([r[0] for r in rows], pa.int32()), keys=pa.array([r[1] for r in rows], pa.binary()), ids=pa.array([r[2] for r in rows], pa.binary()))
+    """Rows of documents (doc_id, row: hash of the text, ids of its lines, 0 for empty ones) and of stars (bucket, u, v, n: lines with the least one of a bucket)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-total // PART_BYTES))
+
+    def spread(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs within what was gathered, and the first entry of each bucket, packed, for its partition."""
+        band = np.tile(np.arange(BANDS, dtype=np.uint64), len(keys))
+        flat = keys.ravel()
+        both = ((flat & np.uint64(0xFFFFFFFF)) % np.uint64(parts) * np.uint64(BANDS) + band) << np.uint64(32) | flat >> np.uint64(32)
+        order = np.argsort(both)
+        both, own = both[order], ids[order // BANDS]
+        twice = _repeated(both)
+        yield from _stars(both[twice] >> np.uint64(32), both[twice] & np.uint64(0xFFFFFFFF), own[twice], parts)
+        # of a bucket's entries the one with the least id goes on
+        order = np.flatnonzero(twice)
+        order = order[np.lexsort((own[order], both[order]))]
+        lead = np.append(True, both[order][1:] != both[order][:-1])[: len(order)]
+        some = np.sort(np.concatenate([np.flatnonzero(~twice), order[lead]]))
+        both, own = both[some], own[some]
+        slot = both >> np.uint64(32)
+        cut = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        blobs = [_packed(both[a:b] & np.uint64(0xFFFFFFFF), own[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(both)], strict=True)]
+        p, band = np.divmod(slot[cut].astype(np.int64), BANDS)
+        for x in range(0, len(blobs), 256):
+            y = slice(x, x + 256)
+            yield _made(BLOB, len(blobs[y]), p=p[y], band=band[y], blob=pa.array(blobs[y], pa.binary()))
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, held = [], [], 0
+        keys, ids, seen = [], [], set()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            nulls = batch.column(1).is_null().to_pylist()
+            nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for a, b in steps(offsets):
                 x = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                row = span_hashes(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a])
-                ids = [b"" if nulls[a + i] else x.ids[x.first[i] : x.first[i + 1]].tobytes() for i in range(b - a)]
-                yield _made(p=pa.array(np.arange(b - a) % parts, pa.int32()), doc_id=batch.column(0)[a:b], row=_long(row), ids=pa.array(ids, pa.binary()))
+                null = nulls[a:b]
+                here = ~np.repeat(null, np.diff(x.first))
+                counts = np.where(null, 0, np.diff(x.first))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(x.ids[here].view(np.int64)))
+                yield _made(DOCUMENT, b - a, p=np.arange(b - a) % parts, doc_id=batch.column(0)[a:b], row=batch.column(2)[a:b], ids=lists)
                 some = np.flatnonzero(x.long)
-                if len(some):
-                    some = some[np.unique(x.ids[some], return_index=True)[1]]
-                    keys.append(band_keys(x.signatures(some)).ravel())
-                    owners.append(np.repeat(x.ids[some], BANDS))
-                    held += len(keys[-1])
-                if held >= GATHER:
-                    yield from spread(keys, owners)
-                    keys, owners, held = [], [], 0
-        yield from spread(keys, owners)
+                some = some[np.unique(x.ids[some], return_index=True)[1]]
+                some = some[[k not in seen for k in x.ids[some].tolist()]] if len(some) else some
+                for y in range(0, len(some), GATHER // BANDS):
+                    part = some[y : y + GATHER // BANDS]
+                    if (len(seen) + len(part)) * BANDS > GATHER and keys:
+                        yield from spread(np.concatenate(keys), np.concatenate(ids))
+                        keys, ids, seen = [], [], set()
+                    keys.append(band_keys(x.signatures(part)[0]))
+                    ids.append(x.ids[part])
+                    seen.update(x.ids[part].tolist())
+        if keys:
+            yield from spread(np.concatenate(keys), np.concatenate(ids))
+
+    def met(p: int, band: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Pairs of one band in one partition."""
+        found = [_unpacked(x) for x in blobs]
+        key, ids = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        order = np.argsort(key)
+        some = order[_repeated(key[order])]
+        yield from _stars(np.full(len(some), p * BANDS + band, np.uint64), key[some].astype(np.uint64), ids[some], parts)
 
     def consume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
+        """Rows come in order of kind, partition and band."""
+        at, held = None, []
         for batch in batches:
-            blob = batch.column(7).is_valid()
-            for k, i in zip(batch.column(7).filter(blob), batch.column(3).filter(blob), strict=True):
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64).copy())
-                ids.append(np.frombuffer(i.as_buffer(), np.uint64).copy())
+            blob = pa.compute.equal(batch.column(0), BLOB)
             rest = batch.filter(pa.compute.invert(blob))
             if len(rest):
                 yield rest
-        if keys:
-            _, _, (bucket, u, v) = _starred(np.concatenate(keys), np.concatenate(ids))
-            for at in range(0, len(bucket), 100_000):
-                s = slice(at, at + 100_000)
-                yield _made(p=pa.array(np.zeros(len(bucket[s])), pa.int32()), bucket=_long(bucket[s]), u=_long(u[s]), v=_long(v[s]))
+            part = batch.filter(blob)
+            for p, band, x in zip(*(part.column(c) for c in ("p", "band", "blob")), strict=True):
+                key = (p.as_py(), band.as_py())
+                if key != at:
+                    if held:
+                        yield from met(*at, held)
+                    at, held = key, []
+                held.append(x.as_py())
+        if held:
+            yield from met(*at, held)
+
+    schema = ", ".join(f"{c} {t}" for c, t in _MADE.items())
+    made = map_arrow(docs.select(F.col("doc_id").cast("long"), "text", row_of("text")), produce, schema)
+    return written(map_arrow(made.repartition(parts, "p").sortWithinPartitions("kind", "p", "band"), consume, schema).drop("p", "band", "blob"), "lines")
+
+
+def _places(ids: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """64-bit hashes of places of lines."""
+    with np.errstate(over="ignore"):
+        return mix(mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rows.astype(np.uint64)) + places.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Filter:
+    """Which of many places may be wanted: a Bloom filter of at most FILTER_BYTES."""
+
+    def __init__(self, expected: int) -> None:
+        self.bits = min(FILTER_BYTES * 8, 1 << max(10, (12 * expected).bit_length()))
+        self.held = np.zeros(self.bits // 8, np.uint8)
+
+    def _at(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        for k in range(4):
+            yield (hashes >> np.uint64(16 * k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits.bit_length() + 1)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in self._at(hashes):
+            np.bitwise_or.at(self.held, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self._at(hashes):
+            out &= (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _filter(chosen: DataFrame) -> Filter:
+    """A filter of the places (doc_id, row, place) of chosen, gathered from those of all partitions."""
+    expected = chosen.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(expected)
+        for batch in batches:
+            own.add(_places(*(_numbers(batch.column(k)) for k in range(3))))
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([zlib.compress(own.held.tobytes(), 1)], pa.binary())], names=["k", "held"])
 
-    made = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), produce, _MADE)
-    return written(map_arrow(made.repartition(parts, "p"), consume, _MADE).drop("p", "keys"), "lines")
+    whole, most = Filter(expected), max(1, min(16, expected // 50_000))
+    for r in map_arrow(chosen.select("doc_id", "row", "place").coalesce(most), run, "k long, held binary").toLocalIterator():  # FILTER_BYTES at a time
+        whole.held |= np.frombuffer(zlib.decompress(r.held), np.uint8)
+    return whole
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, line of the wanted lines, which are far smaller than their sets; wanted: id, doc_id of a document that has it."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
-    by_doc = F.broadcast(by_doc) if wanted.count() <= FEW_IDS else by_doc
-    held = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(by_doc, F.col("_d").eqNullSafe(F.col("doc_id"))).select("text", "ids")
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).view(np.uint64) if column.null_count else column.cast(pa.int64()).to_numpy().view(np.uint64)
+
+
+def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, content (the normal form), size (bins that it fills), sketch of the wanted lines (node), each from one place that it has.
+
+    All documents are read once more. Their lines' places go through a filter, so that those that are
+    not wanted mostly stay where they are; the others are then joined with the wanted ones.
+    """
+    wanted = few(written(wanted, "wanted"), 16)
+    chosen = written(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "chosen")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            want = batch.column(1).to_pylist()
+            data, offsets = text_buffer(batch.column(1))
+            ids, rows = _numbers(batch.column(0)), _numbers(batch.column(2))
             for a, b in steps(offsets):
-                x = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids, lines = [], []
-                for i in range(b - a):
-                    mine = set(want[a + i])
-                    for j in range(x.first[i], x.first[i + 1]):
-                        k = int(x.ids[j : j + 1].view(np.int64)[0])
-                        if k in mine:
-                            mine.discard(k)
-                            ids.append(k)
-                            lines.append(x.line(j))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
-
-    return map_arrow(held, run, "id long, line string").groupBy("id").agg(F.first("line").alias("line"))
+                base = int(offsets[a])
+                part, bounds = data[base : offsets[b]], offsets[a : b + 1] - base
+                breaks = np.flatnonzero(part == 10)
+                before = np.searchsorted(breaks, bounds)
+                doc = np.repeat(np.arange(b - a), np.diff(before) + 1)
+                starts = np.sort(np.concatenate([bounds[:-1], breaks + 1]), kind="stable")
+                ends = np.sort(np.concatenate([breaks, bounds[1:]]), kind="stable")
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                some = np.flatnonzero(shared.value.may(_places(ids[a:b][doc], rows[a:b][doc], place)))
+                if not len(some):
+                    continue
+                whole = part.tobytes()
+                text = [normal(whole[x:y]) for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                flat, at = text_buffer(pa.array(text, pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))
+                x = Lines(flat, at)
+                long = np.flatnonzero(x.long)
+                sketch, bins = x.signatures(long)
+                take = pa.array(long)
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids[long].view(np.int64)), pa.array(text, pa.binary()).take(take), pa.array(bins, pa.int32()), stars.rows_of(sketch)], names=["node", "content", "size", "sketch"])
+
+    found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text", row_of("text")), run, "node long, content binary, size int, sketch binary")
+    return found.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+
+
+def _likely(share: int) -> stars.Likely:
+    def likely(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        s = share / 100
+        return (a == b).mean(axis=1) >= s - DEVIATIONS * np.sqrt(s * (1 - s) / np.minimum(size_a, size_b))
+
+    return likely
+
+
+def _verify(share: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray]:
+    def verify(lines: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        return stars.alike(*shingles(lines.take(pa.array(some))), place[: len(i)], place[len(i) :], share)
+
+    return verify
+
+
+def _sifted(pairs: DataFrame, share: int) -> DataFrame:
+    """Of pairs with both sketches, u, v and s of those that may be linked."""
+    likely = _likely(share)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_u, size_v = (batch.column(k).to_numpy() for k in (3, 4))
+            keep = likely(stars.matrix(batch.column(5)), size_u, stars.matrix(batch.column(6)), size_v) if len(batch) else np.zeros(0, bool)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
-def _alike(a: np.ndarray, b: np.ndarray, share: int) -> bool:
-    if 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
-        return False
-    both = np.sort(np.concatenate([a, b]))
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= share * (len(both) - common)
+    return map_arrow(pairs.select("u", "v", "s", "sizeu", "sizev", "sketchu", "sketchv"), run, "u long, v long, s int")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, share: int) -> DataFrame:
-    joined = pairs.join(lines.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v").join(lines.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
+def _verified(pairs: DataFrame, share: int) -> DataFrame:
+    """Of pairs with both lines, links that join what those that are alike do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)  # pairs of one bucket's first line come together
         for batch in batches:
-            keep = []
-            for u, lv, lu in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if u != last:
-                    last, held = u, shingles(lu)
-                keep.append(_alike(held, shingles(lv), share))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(joined.select("u", "v", "lv", "lu"), run, "u long, v long")
-
-
-def _rest(shared: DataFrame, links: DataFrame, lines: DataFrame, share: int) -> DataFrame:
-    """Links that join components within buckets, beyond those of the first lines: fewer than the bucket has lines."""
-    nodes = shared.select("bucket", F.col("v").alias("node")).union(shared.select("bucket", F.col("u").alias("node"))).distinct()
-    rows = nodes.join(hooked(links), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
-    open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_, "bucket").join(lines, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = list(map(shingles, pdf["line"]))
-        ids, root, block = pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
-        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        root = pd.factorize(root)[0]
-        out = []
-        for i in range(len(ids)):
-            for j in np.flatnonzero(root[:i] != root[i]).tolist():
-                # what an earlier link has joined meanwhile needs no other
-                if root[j] != root[i] and (not across or block[i] != block[j]) and _alike(sets[i], sets[j], share):
-                    out.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return rows.select("bucket", "lo", "hi", "block", "id", "root", "line").groupBy("bucket", "lo", "hi").applyInPandas(compare, "u long, v long")
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                both = shingles(pa.concat_arrays([part.column(2), part.column(3)]))
+                n = np.arange(len(part))
+                yield part.select([0, 1]).filter(pa.array(stars.alike(*both, n, n + len(part), share)))
+
+    return map_arrow(pairs.select("u", "v", "contentu", "contentv"), lambda batches: joined(run(batches)), "u long, v long")
+
+
+def _lines(made: DataFrame) -> DataFrame:
+    """doc_id, row, place, node of all lines but empty ones."""
+    return made.where(F.col("kind") == DOCUMENT).select("doc_id", "row", F.posexplode("ids").alias("place", "node")).where("node <> 0")
+
+
+def grouped(docs: DataFrame, made: DataFrame, share: int) -> DataFrame:
+    """node, root of the lines that are linked with others."""
+    lines = _lines(made)
+    pairs = made.where(F.col("kind") == STAR).select("bucket", "u", "v", F.col("n").cast("long").alias("n"))
+    found = written(stars.pairs_of(pairs), "pairs")
+    texts = written(_texts(docs, lines, found.select(F.col("u").alias("node")).union(found.select("v")).distinct()), "line-texts")
+    sketches = texts.select("node", "size", "sketch")
+    contents = texts.select("node", "content")
+    likely = written(_sifted(stars.with_both(found, sketches), share), "likely")
+    roots = components(_verified(stars.with_both(likely, contents), share))
+    more = stars.open_links(pairs, roots, sketches, lambda wanted: contents.join(wanted, "node", "left_semi"), "long", ROWS, _likely(share), _verify(share))
+    return merged(roots, more)
 
 
 def cut_lines(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, row (hash of the text), cut (places of the lines to cut out) of documents that lose any."""
-    made = bucketed(docs)
-    held = made.where("ids IS NOT NULL").select("doc_id", "row", "ids")
+    with scratch() as held:
+        return held.keep(_cut(docs, share))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            sizes = [len(x) for x in found]
-            take = pa.array(np.repeat(np.arange(len(found)), sizes))
-            ids = np.concatenate([*found, np.zeros(0, np.int64)])
-            place = np.concatenate([*(np.arange(n) for n in sizes), np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(ids)], names=["doc_id", "row", "place", "id"]).filter(pa.array(ids != 0))
-
-    lines = map_arrow(held, each, "doc_id long, row long, place int, id long")
-    shared = made.where("bucket IS NOT NULL").select("bucket", "u", "v")
-    pairs = shared.select("u", "v").distinct()
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    wanted = written(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    texts = written(_texts(docs, wanted), "line-texts")
-    links = written(_verified(pairs, texts, share), "links")
-    links = links.union(written(_rest(shared, links, texts, share), "links"))
-    named = lines.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row", "place", F.coalesce("root", "id").alias("root"))
-    named = named.distinct()  # repeated rows are one document
+
+def _cut(docs: DataFrame, share: int) -> DataFrame:
+    made = bucketed(docs)
+    lines = _lines(made)
+    roots = grouped(docs, made, share)
+    # a line that occurs once and has no link has no part in what follows
+    again = lines.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node").join(roots, "node", "left_anti")
+    named = few(written(roots.select("node", "root").unionByName(again.select("node", F.col("node").alias("root"))), "repeated"), 16)
+    held = written(lines.join(named, "node").select("root", "doc_id", "row", "place"), "occurrences")
     place = F.struct("doc_id", "row", "place")
-    first = named.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-    lost = named.join(first, "root").where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("first")))
-    return written(lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("cut")), "cut")
+    first = few(written(held.groupBy("root").agg(F.min(place).alias("kept")), "first-lines"), 48)
+    lost = held.join(first, "root").where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "row", "place")
+    return written(lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("cut")), "cut")
 
 
 def deduplicated(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """Rows of docs with all their columns, those lines cut out of text, and _lines and _kept, the numbers of lines before and after."""
-    cut = cut_lines(docs, share)
     names = docs.columns
-    cut = cut.select(F.col("doc_id").alias("_cut_doc"), F.col("row").alias("_cut_row"), F.col("cut").alias("_cut"))
-    size = cut.agg(F.sum(F.size("_cut") + 4)).first()[0] or 0
-    cut = F.broadcast(cut) if size <= FEW_IDS else cut
-    at = names.index("text")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(at))
-            rows = [span_hashes(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a]) for a, b in steps(offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _long(np.concatenate([*rows, np.zeros(0, np.uint64)]))], names=[*batch.schema.names, "_row"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = map_arrow(docs, hashed, f"{fields}, _row long")
-    rows = rows.join(cut, rows["doc_id"].cast("long").eqNullSafe(cut["_cut_doc"]) & (rows["_row"] == cut["_cut_row"]), "left")
-    pieces = F.split("text", "\n", -1)
-    left = F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_cut"), i))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(pieces)), F.lit(0)).cast("long")
-    lost = F.coalesce(F.when(F.col("_cut").isNotNull(), F.size("_cut")), F.lit(0))
-    return rows.select(*(F.col(f"`{c}`") if c != "text" else text.alias("text") for c in names), n.alias("_lines"), (n - lost).alias("_kept"))
+    cut = cut_lines(docs, share).select(F.col("doc_id").alias("_cut_doc"), F.col("row").alias("_cut_row"), F.col("cut").alias("_cut"))
+    cut = few(cut, F.size("_cut") * 4 + 24)
+    rows = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(cut["_cut_doc"]) & (F.xxhash64(docs["text"]) == cut["_cut_row"]), "left")
+    text = rows["text"]
+    pieces = F.split(text, "\n", -1)
+    left = F.filter(pieces, lambda x, i: ~F.array_contains(cut["_cut"], i))
+    after = F.when(cut["_cut"].isNull(), text).otherwise(F.array_join(left, "\n"))
+    n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    lost = F.coalesce(F.when(cut["_cut"].isNotNull(), F.size(cut["_cut"])), F.lit(0))
+    return rows.select(*(docs[f"`{c}`"] if c != "text" else after.alias("text") for c in names), n.alias("_lines"), (n - lost).alias("_kept"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

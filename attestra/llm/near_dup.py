@@ -7,14 +7,14 @@ unions are the greater registers, and equal registers are about as likely as the
 1. Documents of equal sets are one node.
 2. BANDS groups of ROWS registers each are bucket keys. Two nodes of similarity 0.75 share no
    bucket with a probability of about 1e-8.
-3. Star: each bucket's least node is held against all others in it. From the counts of greater,
-   equal and lesser registers and the two set sizes, the similarity of greatest likelihood is
-   estimated; pairs more than SLACK under the threshold go (over 4 standard errors). The others
-   are verified on full sets, read anew from the texts of just those documents.
-4. Buckets in which nodes other than the least aren't joined yet are done whole, in blocks of BLOCK
-   nodes: pairs whose registers make them likely are held against each other on full sets there
-   and then, each in the first bucket that it shares, pairs joined already aside. Only links that
-   join something leave the task: fewer than it has nodes, however many pairs a group has.
+3. Nodes that share a bucket are paired as stars.py says: with the first of a bucket, in each task and
+   then over all tasks. From the counts of greater, equal and lesser registers and the two set sizes,
+   the similarity of greatest likelihood is estimated; pairs more than SLACK under the threshold
+   go (over 4 standard errors). The others are verified on full sets, read anew from the texts of
+   just those documents.
+4. Buckets in which nodes remain in different components are done whole, in blocks: at first by
+   registers, then on full sets of those nodes that may be linked, each pair in the first bucket
+   that it shares. Only links that join something leave the task.
 5. Components of verified links, by large-star and small-star rounds.
 
 A null, empty or wordless text has an empty set: it is linked with nothing and is its own
@@ -26,16 +26,16 @@ null. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, steps, table, text_buffer, written
-from .components import components, hooked
+from . import stars
+from .common import few, map_arrow, scratch, steps, table, text_buffer, written
+from .components import components, joined, merged
 from .textvec import BY_SPACE, shingle_sets
 
 WORDS, SHARE = 5, 75
@@ -43,9 +43,8 @@ BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.001
 SLACK = 0.13
-BLOCK = 512
-#: Ids up to which a list of documents is sent to all executors rather than joined.
-FEW_IDS = 1_000_000
+#: Keys that a task gathers before it pairs them and passes them on.
+GATHER = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 FACTORS = (_rng.integers(0, 1 << 31, REGISTERS, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -64,14 +63,15 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
-    """64-bit bucket keys of rows of registers, a column for each band."""
+    """Bucket numbers of rows of registers, a column for each band; the band is in the lowest bits."""
     x = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), x.shape[:2]).copy()
     for j in range(ROWS):
         h ^= x[:, :, j]
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+    low = np.uint64((1 << stars.BAND_BITS) - 1)
+    return (h & ~low) | np.arange(BANDS, dtype=np.uint64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -104,41 +104,75 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, node binary, registers binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _entries(nodes: DataFrame) -> DataFrame:
+    """Tasks' entries of buckets, as stars.shared() takes them."""
+
+    def spread(keys: list[np.ndarray], names: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        if keys:
+            bucket, name = np.concatenate(keys), pa.concat_arrays(names)
+            first, other, lead, size = stars.starred(bucket, np.repeat(np.arange(len(name)), BANDS))
+            for at in range(0, len(first), 20_000):
+                s = first[at : at + 20_000]
+                yield _entry(bucket[s], name.take(pa.array(s // BANDS)), pa.nulls(len(s), pa.binary()), pa.nulls(len(s), pa.int32()))
+            for at in range(0, len(other), 20_000):
+                s = slice(at, at + 20_000)
+                yield _entry(bucket[other[s]], name.take(pa.array(other[s] // BANDS)), name.take(pa.array(lead[s] // BANDS)), pa.array(size[s], pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, names, held = [], [], 0
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            bands = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(rows).ravel()), bands, batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), BANDS)))], names=["bucket", "band", "node"])
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                keys.append(band_keys(stars.matrix(part.column(1))).ravel())
+                names.append(part.column(0))
+                held += len(keys[-1])
+                if held >= GATHER:
+                    yield from spread(keys, names)
+                    keys, names, held = [], [], 0
+        yield from spread(keys, names)
+
+    return map_arrow(nodes.select("node", "sketch"), run, "bucket long, node binary, u binary, n int")
+
+
+def _entry(bucket: np.ndarray, node: pa.Array, u: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), node, u, n], names=["bucket", "node", "u", "n"])
+
+
+def _likely(share: int) -> stars.Likely:
+    def likely(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        keep = 100 * np.minimum(size_a, size_b).astype(np.int64) >= share * np.maximum(size_a, size_b).astype(np.int64)
+        keep[keep] = (a[keep] == b[keep]).mean(axis=1) >= share / 100 - SLACK - 0.02
+        some = np.flatnonzero(keep)
+        for at in range(0, len(some), 4096):
+            k = some[at : at + 4096]
+            keep[k] = estimate(a[k], b[k], size_a[k], size_b[k]) >= share / 100 - SLACK
+        return keep
 
-    return map_arrow(nodes.select("node", "registers"), run, "bucket long, band int, node binary")
+    return likely
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """Of pairs (u, v), those whose sizes and registers allow the similarity."""
-    a = nodes.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("registers").alias("ru"))
-    b = nodes.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("registers").alias("rv"))
-    joined = pairs.join(b, "v").join(a, "u").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * share)
+def _sifted(pairs: DataFrame, share: int) -> DataFrame:
+    """Of pairs with sizes and registers of both, u, v and s of those that may be linked."""
+    likely = _likely(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (3, 5))
-                keep = estimate(a, b, part.column(2).to_numpy(), part.column(4).to_numpy()) >= share / 100 - SLACK
-                yield part.select([0, 1]).filter(pa.array(keep))
+                yield part.select([0, 1, 2]).filter(pa.array(likely(stars.matrix(part.column(5)), part.column(3).to_numpy(), stars.matrix(part.column(6)), part.column(4).to_numpy())))
 
-    return map_arrow(joined.select("u", "v", "nu", "ru", "nv", "rv"), run, "u binary, v binary")
+    sizes = F.least("sizeu", "sizev").cast("long") * 100 >= F.greatest("sizeu", "sizev").cast("long") * share
+    return map_arrow(pairs.where(sizes).select("u", "v", "s", "sizeu", "sizev", "sketchu", "sketchv"), run, "u binary, v binary, s int")
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is among ids, a table of distinct ones."""
-    few = ids.count() <= FEW_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    ids = few(written(ids, "ids"), 16)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles of the wanted nodes, from a text of each."""
+    """node, content (its shingles) of the wanted nodes, from a text of each."""
     held = nodes.join(wanted, "node", "left_semi").select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,96 +180,57 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             data, offsets = text_buffer(batch.column(1))
             for a, b in steps(offsets):
                 sets = [x for x in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BY_SPACE, WORDS) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "content"])
 
     # rows with a repeated doc_id may give a node more than once, or one that isn't wanted
-    return map_arrow(_among(docs.select(F.col("doc_id").cast("long"), "text"), held), run, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return map_arrow(_among(docs.select(F.col("doc_id").cast("long"), "text"), held), run, "node binary, content binary").groupBy("node").agg(F.first("content").alias("content"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    joined = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
+def _verify(share: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray]:
+    def verify(sets: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        return stars.alike(*_flat(sets.take(pa.array(some))), place[: len(i)], place[len(i) :], share)
+
+    return verify
+
+
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of sets end to end, and the n + 1 ends of each."""
+    raw = sets.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
+
+
+def _verified(pairs: DataFrame, share: int) -> DataFrame:
+    """Of pairs with both sets, links that join what those that are alike do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([a, b]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= share * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(joined.select("u", "v", "su", "sv"), run, "u binary, v binary")
-
-
-def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, band, node, root, n of the buckets whose nodes links haven't joined, as far as hooked() sees."""
-    found = hooked(links)
-    rows = buckets.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
-    return written(rows.join(open_, "bucket"), "open")
-
-
-def _open_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (u, v) that join nodes of open buckets, compared in blocks."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(nodes.select("node", "registers"), "node").join(sets, "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each row goes to the pairs of its block with every block
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        before = int(pdf["band"].iloc[0]) * ROWS
-        node, size = pdf["node"].to_numpy(), np.array([len(x) for x in sets])
-        root, block = pd.factorize(pdf["root"])[0], pdf["block"].to_numpy()
-        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        common = root == np.bincount(root).argmax()
-        u, v = [], []
-        for i in np.flatnonzero(~common).tolist():
-            # a pair outside the commonest root comes up once, at its first row
-            fits = (root != root[i]) & (common | (np.arange(len(root)) > i)) & (100 * np.minimum(size, size[i]) >= share * np.maximum(size, size[i]))
-            if across:
-                fits &= block != block[i]
-            j = np.flatnonzero(fits)
-            same = regs[j] == regs[i]
-            likely = same.mean(axis=1) >= share / 100 - SLACK - 0.02
-            j, same = j[likely], same[likely, :before]
-            j = j[~same.reshape(len(j), before // ROWS, ROWS).all(axis=2).any(axis=1)] if before else j
-            if len(j):
-                j = j[estimate(regs[np.full(len(j), i)], regs[j], np.full(len(j), size[i]), size[j]) >= share / 100 - SLACK]
-            if len(j):
-                flat, mine = np.concatenate([sets[k] for k in j]), sets[i]
-                held = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-                both = np.add.reduceat(held, np.cumsum(np.append(0, size[j][:-1])), dtype=np.int64)
-                for k in j[100 * both >= share * (size[i] + size[j] - both)].tolist():
-                    if root[k] != root[i]:
-                        u.append(node[i])
-                        v.append(node[k])
-                        root[root == root[k]] = root[i]
-        return pd.DataFrame({"u": u, "v": v})
-
-    rows = rows.select("bucket", "band", "lo", "hi", "block", "node", "root", "registers", "shingles")
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(compare, "u binary, v binary")
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                n = np.arange(len(part))
+                yield part.select([0, 1]).filter(pa.array(stars.alike(*_flat(pa.concat_arrays([part.column(2), part.column(3)])), n, n + len(part), share)))
+
+    return map_arrow(pairs.select("u", "v", "contentu", "contentv"), lambda batches: joined(run(batches)), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
+    with scratch() as held:
+        return held.keep(written(_judged(docs, share), "near-duplicates"))
+
+
+def _judged(docs: DataFrame, share: int) -> DataFrame:
     rows = written(sketches(docs), "sketches")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("size"), F.first("registers").alias("sketch"))
     nodes = written(nodes, "nodes")
-    bands = _bands(nodes)
-    stars = bands.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count("*").alias("n")).where("u <> last").select("bucket", "u", "n")
-    shared = written(bands.join(stars, "bucket").where("node <> u"), "buckets")  # rows that share a bucket with a lesser node
-    pairs = written(_likely(shared.select("u", F.col("node").alias("v")).distinct(), nodes, share), "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(shared.where("n > 2").select("node")).distinct()
-    sets = written(_sets(docs, nodes, wanted), "sets")
-    links = written(_verified(pairs, sets, share), "links")
-    buckets = shared.where("n > 2").select("bucket", "band", "node")
-    links = links.union(written(_open_links(_open(buckets, links), nodes, sets, share), "links"))
-    found = components(links)
+    sized = nodes.select("node", "size", "sketch")
+    pairs = written(stars.shared(_entries(nodes)), "shared")
+    likely = written(_sifted(stars.with_both(written(stars.pairs_of(pairs), "pairs"), sized), share), "likely")
+    sets = written(_sets(docs, nodes, likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()), "sets")
+    roots = components(_verified(stars.with_both(likely, sets), share))
+    found = merged(roots, stars.open_links(pairs, roots, sized, lambda wanted: _sets(docs, nodes, wanted), "binary", ROWS, _likely(share), _verify(share)))
     ids = nodes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = found.join(ids, "root").select("node", "component_id")
+    named = found.join(written(ids, "component-ids"), "root").select("node", "component_id")
     alone = nodes.join(found, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "node").join(named.unionByName(alone), "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))

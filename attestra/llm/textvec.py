@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .bytepair import mix, span_hashes
+from .bytepair import eights, mix, span_hashes
 
 #: Bytes with A-Z lower-cased.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -67,4 +67,4 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, k:
     return out
 
 
-__all__ = ["ALPHANUMERIC", "BY_SPACE", "LOWER", "byte_class", "gram_hashes", "inside_text", "mix", "shingle_sets", "span_hashes", "words"]
+__all__ = ["ALPHANUMERIC", "BY_SPACE", "LOWER", "byte_class", "eights", "gram_hashes", "inside_text", "mix", "shingle_sets", "span_hashes", "words"]

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from attestra.llm import line_dedup
+from attestra.llm import line_dedup, stars
 from attestra.llm.common import table
 
 from .conftest import DATA
@@ -15,7 +15,7 @@ def normal(line):
     return re.sub(r"[\t\x0b\x0c\r ]+", " ", line).strip(" ")
 
 
-def brute(rows):
+def brute(rows, keep_order=False):
     """(doc_id, text) of documents, repeated ones once -> their texts after dedup."""
     rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     lines = [(i, j, normal(x)) for i, (_, t) in enumerate(rows) if t is not None for j, x in enumerate(t.split("\n"))]
@@ -51,7 +51,7 @@ def brute(rows):
     for i, (k, t) in enumerate(rows):
         kept = None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in cut.get(i, ()))
         out.append((k, 0 if t is None else t.count("\n") + 1, 0 if t is None else t.count("\n") + 1 - len(cut.get(i, ())), kept))
-    return sorted(out, key=str)
+    return out if keep_order else sorted(out, key=str)
 
 
 def run(docs):
@@ -87,7 +87,9 @@ def test_hot_group_and_blocks(spark, monkeypatch):
         for _ in range(r.choice([0, 1, 2, 3, 5])):
             words[r.randrange(40)] = f"other{r.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(stars, "BLOCK", 16)
+    monkeypatch.setattr(stars, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(stars, "HUB", 10)
     monkeypatch.setattr(line_dedup, "GATHER", 100)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got, want = run(docs), brute(rows)
@@ -120,7 +122,7 @@ def test_few_pairs_are_missed_by_bands():
         x = line_dedup.Lines.__new__(line_dedup.Lines)
         x.grams, x.starts = h.ravel(), np.arange(len(h)) * h.shape[1]
         x.ends = x.starts + h.shape[1] + line_dedup.SHINGLE - 1
-        return line_dedup.band_keys(x.signatures(np.arange(len(h))))
+        return line_dedup.band_keys(x.signatures(np.arange(len(h)))[0])
 
     a, b = keys(h[:, :35]), keys(np.concatenate([h[:, :30], h[:, 35:]], axis=1))
     assert (~(a == b).any(axis=1)).sum() <= 3
@@ -138,8 +140,10 @@ def test_every_pair_of_a_bucket(spark, monkeypatch):
     # x has the greatest id, so that it is the first line of no task it shares
     found = next(t for t in map(three, "abcdefghijklmnopqrstuvwxyz") if t[1] == max(t))
     (a, x, w), texts = [t for _, t in found], [t for _, t in sorted(found)]
-    monkeypatch.setattr(line_dedup, "band_keys", lambda rows: line_dedup.np.full((len(rows), 1), 5, line_dedup.np.uint64))
+    monkeypatch.setattr(line_dedup, "band_keys", lambda rows: line_dedup.np.zeros((len(rows), 1), line_dedup.np.uint64))
     monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "ROWS", line_dedup.BINS)
+    monkeypatch.setattr(line_dedup.Lines, "signatures", lambda self, some: (line_dedup.np.zeros((len(some), line_dedup.BINS), line_dedup.np.uint16), line_dedup.np.full(len(some), line_dedup.BINS)))
     sets = lambda t: {t[k : k + 8] for k in range(len(t) - 7)}
     alike = lambda p, q: len(sets(p) & sets(q)) / len(sets(p) | sets(q)) >= 0.75
     assert alike(a, x) and alike(x, w) and not alike(a, w)
@@ -155,3 +159,30 @@ def _buffer(text):
     import pyarrow as pa
 
     return text_buffer(pa.array([text]))
+
+
+def test_filter_forgets_nothing(monkeypatch):
+    np = line_dedup.np
+    r = np.random.default_rng(2)
+    wanted, others = (r.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
+    own = line_dedup.Filter(5000)
+    own.add(wanted)
+    assert own.may(wanted).all() and own.may(others).mean() < 0.02
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 1024)
+    full = line_dedup.Filter(5000)
+    full.add(wanted)
+    assert len(full.held) == 1024 and full.may(wanted).all()
+
+
+def test_full_filter_changes_nothing(spark, monkeypatch):
+    docs = table(spark, DATA, "documents")
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 128)
+    assert run(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_packed_entries():
+    np = line_dedup.np
+    r = np.random.default_rng(3)
+    key, ids = np.sort(r.integers(0, 2**32, 300, dtype=np.uint64)), r.integers(0, 2**64, 300, dtype=np.uint64)
+    got = line_dedup._unpacked(line_dedup._packed(key, ids))
+    assert (got[0] == key).all() and (got[1] == ids).all()

@@ -5,9 +5,9 @@ import re
 
 import numpy as np
 
-from attestra.llm import near_dup
+from attestra.llm import near_dup, stars
 from attestra.llm.common import table
-from attestra.llm.components import components
+from attestra.llm.components import components, joined
 
 from .conftest import DATA
 
@@ -71,7 +71,10 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
         for _ in range(r.choice([1, 2, 3, 4, 6])):
             words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    monkeypatch.setattr(stars, "BLOCK", 64)
+    monkeypatch.setattr(stars, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(stars, "HUB", 30)
+    monkeypatch.setattr(near_dup, "GATHER", 500)
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
@@ -115,5 +118,23 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     want = {x: find(x) for a, b in links if a != b for x in (a, b)}
-    got = {x.node: x.root for x in components(spark.createDataFrame(links + [(5, None)], "u long, v long")).collect()}
-    assert got == want
+    frame = spark.createDataFrame(links + [(5, None)], "u long, v long").repartition(5)
+    fewer = frame.where("v IS NOT NULL").mapInArrow(joined, "u long, v long")
+    for some in (frame, fewer):
+        assert {x.node: x.root for x in components(some).collect()} == want
+    text = spark.createDataFrame([(f"é{a}", f"é{b}") for a, b in links], "u string, v string")
+    assert {(x.node, x.root) for x in components(text).collect()} == {(x.node, x.root) for x in components(text.mapInArrow(joined, "u string, v string")).collect()}
+
+
+def test_alike_both_ways(monkeypatch):
+    r = np.random.default_rng(8)
+    pool = r.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [r.choice(pool, r.integers(0, 60)) for _ in range(30)] + [pool[:200], pool[:160], pool[:150], pool[:0]]
+    flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum(list(map(len, sets)))])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    want = [bool(a | b) and 100 * len(a & b) >= 75 * len(a | b) for a, b in ((set(sets[x]), set(sets[y])) for x, y in zip(i, j))]
+    for outline, held in ((4096, 8_000_000), (64, 8_000_000), (64, 1000), (4096, 0)):
+        monkeypatch.setattr(stars, "OUTLINE", outline)
+        monkeypatch.setattr(stars, "OUTLINE_BYTES", held)
+        monkeypatch.setattr(stars, "STEP_SETS", 100 if held else 500_000)
+        assert stars.alike(flat, bounds, i, j, 75).tolist() == want
