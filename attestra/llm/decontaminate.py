@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, steps, table, text_buffer, written
+from .common import few, map_arrow, steps, table, text_buffer, written
 from .textvec import ALPHANUMERIC, gram_hashes, inside_text, words
 
 #: Words of a window; words that a fingerprint's hash covers.
 LENGTH, K = 10, 5
-#: Text of items up to which their index is sent to all executors.
-INDEX_BYTES = 16_000_000
+#: Text of items up to which their index, of some 20 bytes for each word, is sent to all executors.
+INDEX_BYTES = 8_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -53,29 +53,42 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 
 class Index:
-    """Fingerprints of items, and the items of each window, by window length."""
+    """Fingerprints of items, and the items of each window, by window length, all in flat arrays."""
 
     def __init__(self, items: list[tuple[str, str]]) -> None:
-        windows: dict[int, dict[int, set[str]]] = {}
+        self.names = sorted({key for key, _ in items})
+        number = {key: i for i, key in enumerate(self.names)}
         data, offsets = text_buffer(pa.array([t for _, t in items], pa.large_string()))
         _, _, hashes, bounds = words(data, offsets, ALPHANUMERIC)
-        prints = fingerprints(hashes, bounds)[1]
-        self.prints = np.unique(prints)
-        for i, (key, _) in enumerate(items):
-            own = hashes[bounds[i] : bounds[i + 1]]
-            k = min(LENGTH, len(own))
-            if k:
-                of = windows.setdefault(k, {})
-                for h in gram_hashes(own, k).tolist():
-                    of.setdefault(h, set()).add(key)
-        self.windows = {k: np.array(sorted(of), np.uint64) for k, of in windows.items()}
-        self.items = {k: [sorted(of[h]) for h in sorted(of)] for k, of in windows.items()}
+        self.prints = np.unique(fingerprints(hashes, bounds)[1])
+        owner = np.array([number[key] for key, _ in items], np.int32)
+        size = np.diff(bounds)
+        #: Of each window length: distinct windows, where their items begin, and the items' numbers.
+        self.windows: dict[int, np.ndarray] = {}
+        self.begins: dict[int, np.ndarray] = {}
+        self.items: dict[int, np.ndarray] = {}
+        for k in sorted({int(min(LENGTH, n)) for n in size if n}):
+            grams = gram_hashes(hashes, k)
+            mine = np.repeat(np.where(np.minimum(size, LENGTH) == k, owner, -1), size)[: len(grams)]
+            keep = inside_text(bounds, k, len(grams)) & (mine >= 0)
+            grams, mine = grams[keep], mine[keep]
+            order = np.lexsort((mine, grams))
+            grams, mine = grams[order], mine[order]
+            new = np.append(True, (grams[1:] != grams[:-1]) | (mine[1:] != mine[:-1]))
+            grams, mine = grams[new], mine[new]
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            self.windows[k], self.begins[k], self.items[k] = grams[first], np.append(first, len(grams)), mine
         self.near = {k: self._near(x) for k, x in (*self.windows.items(), (0, self.prints))}
 
+    def of(self, k: int, window: int) -> list[str]:
+        """The ids of the items that have a window, by its number."""
+        a, b = self.begins[k][window : window + 2]
+        return [self.names[i] for i in self.items[k][a:b]]
+
     @staticmethod
     def _near(hashes: np.ndarray) -> np.ndarray:
         """A table by some bits of a hash, to rule most others out."""
-        bits = max(16, min(26, 4 + len(hashes).bit_length()))
+        bits = max(16, min(24, 3 + len(hashes).bit_length()))
         table = np.zeros(1 << bits, bool)
         table[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
         return table
@@ -127,30 +140,65 @@ def _result(keys: pa.Array, n_words: np.ndarray, n_hit: np.ndarray, items: list[
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
 
+def _hits(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[set[str]]]]:
+    """(from, to, words, words hit, items) of the texts of a batch, step by step."""
+    data, offsets = text_buffer(texts)
+    for a, b in steps(offsets):
+        _, _, hashes, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALPHANUMERIC)
+        hit = np.zeros(len(hashes) + 1, np.int32)
+        items: list[set[str]] = [set() for _ in range(b - a)]
+        for k, starts, numbers in occurring(hashes, bounds, index):
+            np.add.at(hit, starts, 1)
+            np.add.at(hit, starts + k, -1)
+            for i, x in set(zip((np.searchsorted(bounds, starts, side="right") - 1).tolist(), numbers.tolist(), strict=True)):
+                items[i].update(index.of(k, x))
+        total = np.zeros(len(hashes) + 1, np.int64)
+        np.cumsum(np.cumsum(hit[:-1]) > 0, out=total[1:])
+        yield a, b, np.diff(bounds), np.diff(total[bounds]), items
+
+
 def _by_index(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            for a, b in steps(offsets):
-                _, _, hashes, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALPHANUMERIC)
-                hit = np.zeros(len(hashes) + 1, np.int32)
-                items: list[set[str]] = [set() for _ in range(b - a)]
-                for k, starts, numbers in occurring(hashes, bounds, index):
-                    np.add.at(hit, starts, 1)
-                    np.add.at(hit, starts + k, -1)
-                    of = index.items[k]
-                    for i, x in set(zip((np.searchsorted(bounds, starts, side="right") - 1).tolist(), numbers.tolist(), strict=True)):
-                        items[i].update(of[x])
-                total = np.zeros(len(hashes) + 1, np.int64)
-                np.cumsum(np.cumsum(hit[:-1]) > 0, out=total[1:])
-                yield _result(batch.column(0)[a:b], np.diff(bounds), np.diff(total[bounds]), items)
+            for a, b, n_words, n_hit, items in _hits(batch.column(1), shared.value):
+                yield _result(batch.column(0)[a:b], n_words, n_hit, items)
 
     return map_arrow(docs, run, RESULT)
 
 
+def _index_of(items: DataFrame, index_bytes: int) -> Index | None:
+    """The items' index, if they are at most index_bytes of text."""
+    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > index_bytes:
+        return None
+    return Index([(r.id or "", r.text or "") for r in items.collect()])
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("text"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    items = _items(benchmark)
+    if (index := _index_of(items, index_bytes)) is None:
+        name = "_row"
+        while name in docs.columns:
+            name = f"_{name}"
+        rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+        lost = written(_by_join(rows.select(F.col(name).alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias(name)), "lost")
+        return rows.join(few(lost, 16), name, "left_anti").drop(name)
+    at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [n_hit == 0 for _, _, _, n_hit, _ in _hits(batch.column(at), shared.value)]
+            yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _windows(df: DataFrame, lengths: list[int] | None) -> DataFrame:
     """doc_id, row, n_words and probes of each text: at (start), k (length), print (a fingerprint in it; its own hash if short), window.
 
@@ -202,11 +250,9 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Per document: its words, those hit, the items whose windows occur."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("text"))
-    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) <= index_bytes:
-        return _by_index(docs, Index([(r.id or "", r.text or "") for r in items.collect()]))
-    return _by_join(docs, items)
+    docs, items = docs.select(F.col("doc_id").cast("long"), "text"), _items(benchmark)
+    index = _index_of(items, index_bytes)
+    return _by_join(docs, items) if index is None else _by_index(docs, index)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
