@@ -5,9 +5,14 @@ Format, all in Parquet under one folder:
   document's id stream, so equal passages give equal chunks. A row says that document (doc_id, row)
   has the chunk at pos; exactly one row of each digest holds the payload, the ids as zstd-compressed
   little-endian unsigned integers (16 bits if the vocabulary allows). digest is their sha256.
-- recipes: documents in ascending order of doc_id, a file for each range: start (ids of all
+- recipes: documents in ascending order of doc_id, a file for each range (_part): start (ids of all
   documents before it), n_tokens, chunks in order, and the Merkle root over their digests.
-- manifest: the Merkle root over each recipe file's roots.
+- manifest: for each range, its documents, their ids, and the Merkle root over doc_id, start, n_tokens
+  and root of each; with _part -1, the same over all ranges.
+
+Reading holds all of it against the manifest: each chunk against its digest, each document's root made
+anew from the chunks read, each range's root and the root over all made anew from the documents. A lost,
+damaged or changed chunk, recipe, recipe file or manifest raises an error.
 
 A null text is empty; an empty text has the end id alone. Rows with equal doc_id are documents of
 their own, in an arbitrary fixed order; a null doc_id comes first. Extra columns are ignored.
@@ -28,13 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bytepair import Cached, classes, library_encoder, span_hashes, split_special
-from .common import fresh_path, map_arrow, partitions, range_slots, steps, table, text_buffer, written
+from .bytepair import Cached, classes, eights, library_encoder, split_special
+from .common import drop_written, fresh_path, map_arrow, partitions, range_slots, steps, table, text_buffer
 
 FILE = "byte_bpe_50k.json"
 END_ID = 2
 #: Ids that decide a cut; the mean number of ids between cuts; the least and the most.
 WINDOW, MEAN, LEAST, MOST = 8, 2048, 128, 16384
+#: Distinct pretokens that a worker remembers.
+REMEMBERED = 1_500_000
+#: Bytes of text that are handled at once: what that takes fits a core's cache.
+STEP = 200_000
 #: Digests whose payload a task remembers to have sent.
 SENT = 200_000
 
@@ -47,7 +56,7 @@ class Ids:
         classes(tokenizer.pre_tokenizer)
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
-        self.cached, self.end_id = Cached(library_encoder(tokenizer)), end_id
+        self.cached, self.end_id = Cached(library_encoder(tokenizer), REMEMBERED), end_id
         self._reset()
 
     def _reset(self) -> None:
@@ -103,11 +112,20 @@ class Ids:
         return np.insert(ids, ends[1:], self.end_id), ends + np.arange(len(ends))
 
 
+_coders: dict[tuple[str, int], Ids] = {}
+
+
+def coder_of(path: str, end_id: int) -> Ids:
+    """A worker's own, which its next tasks use again: what it remembers is bounded."""
+    if (path, end_id) not in _coders:
+        _coders[path, end_id] = Ids(path, end_id)
+    return _coders[path, end_id]
+
+
 def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """Positions in `ids` at which each document's chunks end."""
     n = len(ids)
-    ends = np.arange(WINDOW, n + 1)
-    marked = ends[(span_hashes(ids, ends - WINDOW, ends) % np.uint64(MEAN)) == 0] if n >= WINDOW else ends[:0]
+    marked = np.flatnonzero((eights(ids) % np.uint64(MEAN)) == 0) + WINDOW
     lo, hi = np.searchsorted(marked, offsets[:-1] + LEAST), np.searchsorted(marked, offsets[1:] - LEAST)
     out = []
     for i in range(len(offsets) - 1):
@@ -125,12 +143,12 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 def chunk_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, squeeze, sent = Ids(path, end_id), zstandard.ZstdCompressor(1), set()
+        coder, squeeze, sent = coder_of(path, end_id), zstandard.ZstdCompressor(1), set()
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             keys = batch.column(0).to_pylist()
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 ids, bounds = coder.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 out: list[list] = [[] for _ in range(6)]
                 for i, ends in enumerate(cuts(ids, bounds)):
@@ -162,17 +180,71 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-def _roots(df: DataFrame, leaves: str, schema: str) -> DataFrame:
-    """df with the column root, the Merkle root over the array column `leaves`."""
+class Tree:
+    """The same root from leaves that come one after the other, with a node for each level at most."""
+
+    def __init__(self) -> None:
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def push(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == level:
+            node = hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+            level += 1
+        self.peaks.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        out = self.peaks[-1][1]
+        for _, node in reversed(self.peaks[:-1]):
+            out = hashlib.sha256(b"\1" + node + out).digest()
+        return out
+
+
+def _rooted(df: DataFrame, schema: str) -> DataFrame:
+    """df with the column root, the Merkle root over the array column `digests`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [merkle(x) for x in batch.column(batch.schema.get_field_index(leaves)).to_pylist()]
+            found = [merkle(x) for x in batch.column(batch.schema.get_field_index("digests")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "root"])
 
     return map_arrow(df, run, schema)
 
 
+def _leaf(*numbers: int | None) -> bytes:
+    return b"".join(b"-" if x is None else b"%d" % x + b"," for x in numbers)
+
+
+def _manifest(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """_part, documents, ids, root of each range of recipes, and of all as _part -1; as many rows as there are recipe files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, n, ids, tree = [], None, 0, 0, Tree()
+        for batch in batches:
+            for part, key, start, size, root in zip(*(batch.column(c).to_pylist() for c in ("_part", "doc_id", "start", "n_tokens", "root")), strict=True):
+                if part != at:
+                    if n:
+                        out.append((at, n, ids, tree.root()))
+                    at, n, ids, tree = part, 0, 0, Tree()
+                n, ids = n + 1, ids + size
+                tree.push(_leaf(key, start, size) + root)
+        if n:
+            out.append((at, n, ids, tree.root()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["_part", "documents", "ids", "root"])
+
+    rows = recipes.select("_part", "doc_id", "row", "start", "n_tokens", "root").repartition(partitions(recipes.sparkSession), "_part").sortWithinPartitions("_part", "start", "doc_id", "row")
+    found = sorted((r._part, r.documents, r.ids, bytes(r.root)) for r in map_arrow(rows, run, _MANIFEST).collect())
+    whole = Tree()
+    for part, n, ids, root in found:
+        whole.push(_leaf(part, n, ids) + root)
+    return [(-1, sum(r[1] for r in found), sum(r[2] for r in found), whole.root()), *found]
+
+
+_MANIFEST = "_part int, documents long, ids long, root binary"
+
+
 def write_store(docs: DataFrame, to: str, path: str, end_id: int = END_ID) -> None:
     """Encode every text and write the store.
 
@@ -193,16 +265,30 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = END_ID) -> No
     # as many rows as there are files
     sums = ordered.groupBy("_part").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.sum("ids").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     running = Window.partitionBy("_part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _roots(ordered, "digests", f"{kinds}, root binary").join(sums.select("_part", "before"), "_part")
+    placed = _rooted(ordered, f"{kinds}, root binary").join(sums.select("_part", "before"), "_part")
     placed = placed.withColumn("start", F.coalesce("before", F.lit(0)) + F.coalesce(F.sum("n_tokens").over(running), F.lit(0)))
     final = placed.select("_part", "doc_id", "row", "start", "n_tokens", "chunks", "root").repartitionByRange(partitions(spark), "_part").sortWithinPartitions("_part", "doc_id", "row")
     final.write.parquet(f"{to}/recipes")
-    tops = spark.read.parquet(f"{to}/recipes").groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "row", "root"))).alias("x")).select("_part", F.col("x.root").alias("roots"))
-    _roots(tops, "roots", "_part int, roots array<binary>, root binary").drop("roots").write.parquet(f"{to}/manifest")
+    drop_written(spark, ordered)
+    spark.createDataFrame(_manifest(spark.read.parquet(f"{to}/recipes")), _MANIFEST).coalesce(1).write.parquet(f"{to}/manifest")
+
+
+def checked_recipes(spark: SparkSession, at: str) -> DataFrame:
+    """The recipes, held against the manifest."""
+    recipes = spark.read.parquet(f"{at}/recipes")
+    said = sorted((r._part, r.documents, r.ids, bytes(r.root)) for r in spark.read.parquet(f"{at}/manifest").collect())
+    if said != _manifest(recipes):
+        raise ValueError(f"the recipes in {at} aren't those of its manifest")
+    return recipes
 
 
-def _unpack(payload: bytes, n: int) -> np.ndarray:
+def _unpack(digest: bytes, payload: bytes | None, n: int) -> np.ndarray:
+    """The ids of a chunk, held against its digest."""
+    if payload is None:
+        raise ValueError(f"chunk {digest.hex()} is missing")
     raw = zstandard.decompress(payload)
+    if hashlib.sha256(raw).digest() != digest or len(raw) not in (2 * n, 4 * n):
+        raise ValueError(f"chunk {digest.hex()} is damaged")
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
@@ -213,10 +299,7 @@ def checked_chunks(spark: SparkSession, at: str) -> DataFrame:
         for batch in batches:
             digests, found = batch.column(0).to_pylist(), []
             for digest, n, payload in zip(digests, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = _unpack(payload, n)
-                if hashlib.sha256(ids.tobytes()).digest() != digest:
-                    raise ValueError(f"chunk {digest.hex()} is damaged")
-                found.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                found.append(zlib.crc32(_unpack(digest, payload, n).astype("<u4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["digest", "crc"])
 
     return map_arrow(spark.read.parquet(f"{at}/chunks").where("payload IS NOT NULL").select("digest", "n", "payload"), run, "digest binary, crc long")
@@ -263,9 +346,11 @@ def read_digests(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone.
 
     Every stored chunk is read once and held against its digest; every document's root is made
-    anew from its chunks and held against its recipe.
+    anew from the chunks found and held against its recipe, recipes against the manifest. Both sides of
+    the join by digest are plain tables, so a chunk that many documents share is dealt over several
+    tasks as Spark does with skewed keys.
     """
-    recipes = spark.read.parquet(f"{at}/recipes")
+    recipes = checked_recipes(spark, at)
     refs = recipes.select("doc_id", "row", "start", "n_tokens", "root", F.explode("chunks").alias("c")).select("doc_id", "row", "start", "n_tokens", "root", "c.*")
     joined = refs.join(checked_chunks(spark, at), "digest", "left")
     whole = joined.groupBy("doc_id", "row").agg(F.max("start").alias("start"), F.max("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "n", "digest", "crc"))).alias("chunks"))
@@ -275,6 +360,8 @@ def read_digests(spark: SparkSession, at: str) -> DataFrame:
             keys, start, n_tokens, root, chunks = (batch.column(i) for i in range(5))
             crcs, offsets = np.zeros(len(keys), np.uint32), chunks.offsets.to_numpy().astype(np.int64)
             flat = chunks.flatten()
+            if flat.field("crc").null_count:
+                raise ValueError(f"chunk {flat.field('digest').filter(flat.field('crc').is_null())[0].as_py().hex()} is missing")
             crc, n, digest = flat.field("crc").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False), flat.field("digest").to_pylist()
             offsets = offsets - offsets[0]
             for i, want in enumerate(root.to_pylist()):
@@ -292,15 +379,19 @@ def read_digests(spark: SparkSession, at: str) -> DataFrame:
 def read_ids(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start and the ids of each document."""
     stored = spark.read.parquet(f"{at}/chunks").where("payload IS NOT NULL").select("digest", "payload")
-    refs = spark.read.parquet(f"{at}/recipes").select("doc_id", "row", "start", F.explode("chunks").alias("c")).select("doc_id", "row", "start", "c.*")
-    whole = refs.join(stored, "digest", "left").groupBy("doc_id", "row", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "payload"))).alias("x"))
+    refs = checked_recipes(spark, at).select("doc_id", "row", "start", "root", F.explode("chunks").alias("c")).select("doc_id", "row", "start", "root", "c.*")
+    whole = refs.join(stored, "digest", "left").groupBy("doc_id", "row", "start").agg(F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "n", "digest", "payload"))).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([_unpack(c["payload"], c["n"]) for c in x]).astype(np.int64) for x in batch.column(2).to_pylist()]
+            ids = []
+            for key, want, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids.append(np.concatenate([_unpack(c["digest"], c["payload"], c["n"]) for c in x]).astype(np.int64))
+                if merkle([c["digest"] for c in x]) != want:
+                    raise ValueError(f"document {key} can't be put together")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    return map_arrow(whole.select("doc_id", "start", "x"), run, "doc_id long, start long, ids array<long>")
+    return map_arrow(whole.select("doc_id", "start", "x", "root"), run, "doc_id long, start long, ids array<long>")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

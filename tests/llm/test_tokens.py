@@ -101,16 +101,54 @@ def test_store_reads_back(spark, library, edge_docs):
         assert stored.count() == stored.select("digest").distinct().count()
 
 
-def test_damage_is_found(spark, edge_docs):
-    from pyspark.sql import functions as F
+def test_tree_grows_as_merkle():
+    for n in range(40):
+        leaves = [bytes([i, n]) for i in range(n)]
+        tree = token_store.Tree()
+        for x in leaves:
+            tree.push(x)
+        assert tree.root() == token_store.merkle(leaves)
+
 
+@pytest.fixture(scope="module")
+def stored(spark):
     at = fresh_path(spark, "store")
-    token_store.write_store(edge_docs, at, PATH)
-    chunks = spark.read.parquet(f"{at}/chunks")
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 5 + 1)) for i in range(40)] + [(50, "a long one " * 9000), (51, "text 3 " * 4)], "doc_id long, text string")
+    token_store.write_store(docs, at, PATH)
+    assert token_store.read_digests(spark, at).count() == 42
+    return at
+
+
+CHANGES = {
+    "digest": ("chunks", "damaged|missing", lambda d, F: d.withColumn("digest", F.when(F.col("n") > 1000, F.lit(b"x" * 32)).otherwise(F.col("digest")))),
+    "payload": ("chunks", "damaged", lambda d, F: d.withColumn("payload", F.when(F.col("payload").isNotNull(), F.max("payload").over(__import__("pyspark").sql.Window.partitionBy(F.lit(1)))))),
+    "lost payload": ("chunks", "missing", lambda d, F: d.withColumn("payload", F.when(F.col("doc_id") != 7, F.col("payload")))),
+    "lost chunk": ("chunks", "missing", lambda d, F: d.where("doc_id <> 7")),
+    "lost recipe": ("recipes", "manifest", lambda d, F: d.where("doc_id <> 7")),
+    "repeated recipe": ("recipes", "manifest", lambda d, F: d.unionByName(d.where("doc_id = 7"))),
+    "start": ("recipes", "manifest", lambda d, F: d.withColumn("start", F.col("start") + (F.col("doc_id") == 7).cast("int"))),
+    "number of ids": ("recipes", "manifest", lambda d, F: d.withColumn("n_tokens", F.col("n_tokens") + (F.col("doc_id") == 7).cast("int"))),
+    "root": ("recipes", "manifest", lambda d, F: d.withColumn("root", F.when(F.col("doc_id") == 7, F.lit(b"x" * 32)).otherwise(F.col("root")))),
+    "chunks": ("recipes", "put together", lambda d, F: d.withColumn("chunks", F.when(F.col("doc_id") == 50, F.reverse(F.transform("chunks", lambda c, i: F.struct((-i).alias("pos"), c["n"].alias("n"), c["digest"].alias("digest"))))).otherwise(F.col("chunks")))),
+    "manifest": ("manifest", "manifest", lambda d, F: d.where("_part <> 0")),
+    "top": ("manifest", "manifest", lambda d, F: d.where("_part >= 0")),
+}
+
+
+@pytest.mark.parametrize("what", sorted(CHANGES))
+def test_damage_is_found(spark, stored, what):
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    part, says, change = CHANGES[what]
     bad = fresh_path(spark, "damaged")
-    chunks.withColumn("digest", F.when(F.col("n") > 1000, F.lit(b"x" * 32)).otherwise(F.col("digest"))).write.parquet(f"{bad}/chunks")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.checked_chunks(spark, bad).collect()
+    shutil.copytree(stored.removeprefix("file:"), bad.removeprefix("file:"))
+    shutil.rmtree(f"{bad}/{part}".removeprefix("file:"))
+    change(spark.read.parquet(f"{stored}/{part}"), F).write.parquet(f"{bad}/{part}")
+    for read in (token_store.read_digests, token_store.read_ids):
+        with pytest.raises(Exception, match=says):
+            read(spark, bad).collect()
 
 
 def test_crc_of_parts():
