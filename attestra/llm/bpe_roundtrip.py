@@ -3,7 +3,8 @@
 Encoding: pretokens as the tokenizer file's pattern cuts them; each goes through a transducer that
 holds at most twice the merge list's sufficient lookahead, computed once from the list, and emits
 a token as soon as no later byte can change it. Decoding: token bytes go through an incremental
-machine that gives out characters once they are complete. Equal pretokens are encoded once.
+machine that gives out characters once they are complete. Equal pretokens are encoded once; ids and
+decoded text are digested as they come, so that neither is ever held whole.
 Contents of special tokens in a text are those tokens, as in the tokenizers library.
 
 A null text is empty; an empty text has no ids and decodes to an empty text. Texts of any length
@@ -25,8 +26,12 @@ from .bytepair import Cached, Decoder, Merges, Transducer, classes, split_specia
 from .common import map_arrow, steps, table, text_buffer
 
 FILE = "byte_bpe_50k.json"
-#: Token bytes that go through the decoder at once.
-DECODE_BYTES = 1 << 16
+#: Pretokens that are digested at once.
+AT_ONCE = 4096
+#: Distinct pretokens that a worker remembers.
+REMEMBERED = 400_000
+#: Bytes of text that are handled at once: what that takes fits a core's cache.
+STEP = 200_000
 
 
 class RoundTrip:
@@ -36,7 +41,7 @@ class RoundTrip:
         self.merges = Merges(path)
         classes(Tokenizer.from_file(path).pre_tokenizer)
         self.transducer = Transducer(self.merges)
-        self.cached = Cached(self._pieces)
+        self.cached = Cached(self._pieces, REMEMBERED)
 
     def _pieces(self, pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
         encode, decode = self.transducer.encode, self.merges.bytes_of
@@ -46,51 +51,67 @@ class RoundTrip:
             out.append((len(ids), b"".join([b"%d," % i for i in ids]), b"".join([decode[i] for i in ids])))
         return out
 
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
-        """For each text: number of ids, parts of its ids as decimal text with a comma after each, parts of its token bytes."""
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Iterator[list[tuple[int, bytes, bytes]]]]:
+        """For each text, its pretokens in lists of at most AT_ONCE: number of ids, ids as decimal text with a comma after each, token bytes."""
         marks = [s.encode() for s in self.merges.special]
         whole = data.tobytes() if marks else b""
         special = any(m in whole for m in marks)
         numbers, bounds, values = self.cached.batch(data, offsets)
-        numbers, bounds = numbers.tolist(), bounds.tolist()
         for i in range(len(offsets) - 1):
             text = whole[offsets[i] : offsets[i + 1]] if special else b""
             if special and any(m in text for m in marks):
-                count, ids, parts = 0, [], []
-                for piece in split_special(text.decode("utf-8", "replace"), self.merges.special):
-                    if isinstance(piece, int):
-                        got = [(1, b"%d," % piece, self.merges.bytes_of[piece])]
-                    else:
-                        raw = np.frombuffer(piece.encode(), np.uint8)
-                        own, _, values = self.cached.batch(raw, np.array([0, len(raw)]))
-                        got = [values[k] for k in own.tolist()]
-                    count += sum(x[0] for x in got)
-                    ids += [x[1] for x in got]
-                    parts += [x[2] for x in got]
-                yield count, ids, parts
+                yield iter([list(self._around_special(text))])
                 numbers, bounds, values = self.cached.batch(data, offsets)
-                numbers, bounds = numbers.tolist(), bounds.tolist()
             else:
-                got = [values[k] for k in numbers[bounds[i] : bounds[i + 1]]]
-                yield sum([x[0] for x in got]), [x[1] for x in got], [x[2] for x in got]
+                yield self._lists(numbers[bounds[i] : bounds[i + 1]], values)
+
+    @staticmethod
+    def _lists(numbers: np.ndarray, values: list) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        for at in range(0, len(numbers), AT_ONCE):
+            yield [values[k] for k in numbers[at : at + AT_ONCE].tolist()]
+
+    def _around_special(self, text: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+        for piece in split_special(text.decode("utf-8", "replace"), self.merges.special):
+            if isinstance(piece, int):
+                yield 1, b"%d," % piece, self.merges.bytes_of[piece]
+            else:
+                raw = np.frombuffer(piece.encode(), np.uint8)
+                own, _, values = self.cached.batch(raw, np.array([0, len(raw)]))
+                yield from [values[k] for k in own.tolist()]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         data, offsets = text_buffer(pa.array(texts, pa.string()))
-        return [[int(x) for x in b"".join(ids).split(b",")[:-1]] for a, b in steps(offsets) for _, ids, _ in self.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        return [[int(x) for some in parts for _, ids, _ in some for x in ids.split(b",")[:-1]] for a, b in steps(offsets, STEP) for parts in self.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
 
     def decode(self, ids: list[int]) -> str:
         decoder = Decoder()
         return "".join([decoder.push(self.merges.bytes_of[i]) for i in ids]) + decoder.flush()
 
 
-def digests(ids: list[bytes], parts: list[bytes]) -> tuple[str, str]:
-    """sha256 of the ids as comma-separated decimals and of the decoded text."""
-    joined = b"".join(ids)
-    text, decoder, raw = hashlib.sha256(), Decoder(), b"".join(parts)
-    for at in range(0, len(raw), DECODE_BYTES):
-        text.update(decoder.push(raw[at : at + DECODE_BYTES]).encode())
+_coders: dict[str, RoundTrip] = {}
+
+
+def coder_of(path: str) -> RoundTrip:
+    """A worker's own, which its next tasks use again: what it remembers is bounded."""
+    if path not in _coders:
+        _coders[path] = RoundTrip(path)
+    return _coders[path]
+
+
+def digests(parts: Iterator[list[tuple[int, bytes, bytes]]], keep: list | None = None) -> tuple[int, str, str]:
+    """Number of ids, sha256 of them as comma-separated decimals, and of the decoded text, made piece by piece; keep gets the pieces."""
+    n, ids, text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder()
+    for some in parts:
+        listed = b"".join([x[1] for x in some])
+        if n:
+            ids.update(b",")
+        ids.update(memoryview(listed)[:-1])
+        n += sum([x[0] for x in some])
+        text.update(decoder.push(b"".join([x[2] for x in some])).encode())
+        if keep is not None:
+            keep += some
     text.update(decoder.flush().encode())
-    return hashlib.sha256(memoryview(joined)[:-1] if joined else b"").hexdigest(), text.hexdigest()
+    return n, ids.hexdigest(), text.hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
@@ -98,16 +119,17 @@ def round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RoundTrip(path)
+        coder = coder_of(path)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 out: list[list] = [[] for _ in range(6 if texts else 4)]
                 out[0] = batch.column(0)[a:b]
-                for n, ids, parts in coder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    row = [n, *digests(ids, parts)]
-                    if texts:
-                        row += [[int(x) for x in b"".join(ids).split(b",")[:-1]], b"".join(parts).decode("utf-8", "replace")]
+                for parts in coder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    kept: list | None = [] if texts else None
+                    row: list = list(digests(parts, kept))
+                    if kept is not None:
+                        row += [[int(x) for _, ids, _ in kept for x in ids.split(b",")[:-1]], b"".join([x[2] for x in kept]).decode("utf-8", "replace")]
                     for column, x in zip(out[1:], row, strict=True):
                         column.append(x)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]

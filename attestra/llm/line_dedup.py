@@ -45,6 +45,8 @@ LEAST_CHARS, SHINGLE, SHARE = 1, 8, 75
 BANDS, ROWS = 18, 3
 BINS = BANDS * ROWS
 DEVIATIONS = 5
+#: Bytes of text that are handled at once: what that takes fits a core's cache.
+STEP = 200_000
 #: Keys that a task gathers before it pairs them and passes them on.
 GATHER = 1_000_000
 #: Bytes of text for each partition of keys, at most; bytes of a filter of places.
@@ -232,7 +234,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 x = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 null = nulls[a:b]
                 here = ~np.repeat(null, np.diff(x.first))
@@ -294,9 +296,12 @@ def _places(ids: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray
 class Filter:
     """Which of many places may be wanted: a Bloom filter of at most FILTER_BYTES."""
 
-    def __init__(self, expected: int) -> None:
-        self.bits = min(FILTER_BYTES * 8, 1 << max(10, (12 * expected).bit_length()))
-        self.held = np.zeros(self.bits // 8, np.uint8)
+    def __init__(self, bits: int) -> None:
+        self.bits, self.held = bits, np.zeros(bits // 8, np.uint8)
+
+    @staticmethod
+    def bits_for(expected: int) -> int:
+        return min(FILTER_BYTES * 8, 1 << max(10, (12 * expected).bit_length()))
 
     def _at(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         for k in range(4):
@@ -316,14 +321,15 @@ class Filter:
 def _filter(chosen: DataFrame) -> Filter:
     """A filter of the places (doc_id, row, place) of chosen, gathered from those of all partitions."""
     expected = chosen.count()
+    bits = Filter.bits_for(expected)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(expected)
+        own = Filter(bits)
         for batch in batches:
             own.add(_places(*(_numbers(batch.column(k)) for k in range(3))))
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([zlib.compress(own.held.tobytes(), 1)], pa.binary())], names=["k", "held"])
 
-    whole, most = Filter(expected), max(1, min(16, expected // 50_000))
+    whole, most = Filter(bits), max(1, min(16, expected // 50_000))
     for r in map_arrow(chosen.select("doc_id", "row", "place").coalesce(most), run, "k long, held binary").toLocalIterator():  # FILTER_BYTES at a time
         whole.held |= np.frombuffer(zlib.decompress(r.held), np.uint8)
     return whole
@@ -347,7 +353,7 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids, rows = _numbers(batch.column(0)), _numbers(batch.column(2))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 base = int(offsets[a])
                 part, bounds = data[base : offsets[b]], offsets[a : b + 1] - base
                 breaks = np.flatnonzero(part == 10)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import few, map_arrow, partitions, written
 
 BAND_BITS = 6
-HUB, BLOCK, BLOCK_BYTES = 2000, 2048, 8_000_000
+HUB, BLOCK, BLOCK_BYTES = 2000, 1024, 8_000_000
 #: Bytes of sketches that are compared at once.
 STEP_BYTES = 8_000_000
 #: Pairs that are verified before it is looked again which are joined by now.

@@ -165,11 +165,11 @@ def test_filter_forgets_nothing(monkeypatch):
     np = line_dedup.np
     r = np.random.default_rng(2)
     wanted, others = (r.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
-    own = line_dedup.Filter(5000)
+    own = line_dedup.Filter(line_dedup.Filter.bits_for(5000))
     own.add(wanted)
     assert own.may(wanted).all() and own.may(others).mean() < 0.02
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", 1024)
-    full = line_dedup.Filter(5000)
+    full = line_dedup.Filter(line_dedup.Filter.bits_for(5000))
     full.add(wanted)
     assert len(full.held) == 1024 and full.may(wanted).all()
 
