@@ -394,7 +394,26 @@ def reason_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.coalesce(X.reason_error(F.col("text")), F.lit("none")).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query()
+def _last(text: str, mark: str) -> str:
+    """SQL of the place, from 0, of the last mark in a text; null if there is none."""
+    return f"CASE WHEN contains({text}, {mark}) THEN length({text}) - strpos(reverse({text}), reverse({mark})) + 1 - length({mark}) END"
+
+
+_STRETCH = "substring(x, {0} + 451, 450)"
+
+
+def _end(a: str) -> str:
+    cuts = ", ".join(f"{a} + 450 + {kept} + {_last(_STRETCH.format(a), mark)}" for mark, kept in (("chr(10)", 0), ("'. '", 2), ("' '", 1)))
+    return f"CASE WHEN {a} + 900 >= n THEN n ELSE coalesce({cuts}, {a} + 900) END"
+
+
+_BACK = "greatest(b - 150, a + 1)"
+_NEXT = f"coalesce(a + 2 + {_last(f'substring(x, a + 2, {_BACK} - a - 1)', "' '")}, {_BACK})"
+
+
+@query(
+    f"WITH RECURSIVE t AS (SELECT doc_id, x, length(x) n FROM (SELECT CAST(doc_id AS VARCHAR) doc_id, regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') x FROM documents)), s(doc_id, a, b) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST({_end('0')} AS BIGINT) FROM t WHERE n > 0 UNION ALL SELECT doc_id, c, CAST({_end('c')} AS BIGINT) FROM (SELECT doc_id, CAST({_NEXT} AS BIGINT) c, x, n FROM s JOIN t USING (doc_id) WHERE b < n)), p AS (SELECT doc_id, regexp_replace(substring(x, a + 1, b - a), '^\\s+|\\s+$', '', 'g') p FROM s JOIN t USING (doc_id)) SELECT doc_id, CAST(count(*) AS BIGINT) AS chunks, CAST(max(length(p)) AS INT) AS longest FROM p WHERE p <> '' GROUP BY 1"
+)
 def chunk_at_boundaries(spark: SparkSession, d: str) -> DataFrame:
     chunks = X.documents_in_chunks(table(spark, d, "documents"))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
@@ -461,7 +480,12 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+_ALIKE = "len(list_intersect(y.w, r.w)) / nullif(len(list_distinct(list_concat(y.w, r.w))), 0) > 0.6"
+
+
+@query(
+    f"WITH RECURSIVE r AS (SELECT query_id, rank, id, source d, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-\\.]*')) w FROM ({_BM25.replace('k <= 6', 'k <= 18')}) b JOIN documents ON doc_id = id), s AS (SELECT DISTINCT query_id, 0 AS k, CAST([] AS STRUCT(id BIGINT, d VARCHAR, w VARCHAR[])[]) kept FROM r UNION ALL SELECT s.query_id, s.k + 1, CASE WHEN len(kept) >= 6 OR len(list_filter(kept, lambda y: y.d = r.d)) >= 2 OR len(list_filter(kept, lambda y: coalesce({_ALIKE}, false))) > 0 THEN kept ELSE list_append(kept, {{'id': r.id, 'd': r.d, 'w': r.w}}) END FROM s JOIN r ON r.query_id = s.query_id AND r.rank = s.k + 1), e AS (SELECT query_id, arg_max(kept, k) kept FROM s GROUP BY 1) SELECT query_id, CAST(i AS INT) AS position, kept[i + 1].id AS id, kept[i + 1].d AS doc_id FROM e, range(0, 6) t(i) WHERE i < len(kept)"
+)
 def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.array_distinct(E.tokens(F.col("text"), "lexemes")).alias("words"))
     ranked = retrieval.top(retrieval.bm25(passages(spark, d), asked(spark, d)), 18).select("query_id", "rank", "id").join(docs, "id")
