@@ -62,4 +62,32 @@ g AS (SELECT doc_id, string_agg(DISTINCT n, ',' ORDER BY n) l, count(*) m, min(n
 SELECT doc_id, coalesce(l, '') AS licences, CAST(coalesce(m, 0) AS BIGINT) AS n_matches, z AS whole FROM documents LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op2_near_dup": NEAR_DUP, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES}
+#: Lines by their normal forms; linked ones are joined by their least number; the first line of each group stays.
+LINE_DEDUP = f"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) raw, generate_subscripts(string_split(text, chr(10)), 1) place FROM d WHERE text IS NOT NULL),
+n AS (SELECT doc_id, text, raw, place, trim(regexp_replace(translate(raw, '{_UPPER}', '{_LOWER}'), '[\\t\\x0B\\f\\r ]+', ' ', 'g'), ' ') x FROM l),
+u AS (SELECT x, row_number() OVER (ORDER BY x) id FROM (SELECT DISTINCT x FROM n WHERE x <> '')),
+g AS (SELECT DISTINCT id, substring(x, CAST(i AS BIGINT), 8) g FROM u, unnest(range(1, length(x) - 6)) r(i) WHERE length(x) >= 8),
+z AS (SELECT id, count(*) z FROM g GROUP BY 1),
+c AS (SELECT a.id x, b.id y, count(*) k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN z p ON p.id = x JOIN z q ON q.id = y WHERE 100 * k >= 75 * (p.z + q.z - k)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT x, x FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x),
+m AS (SELECT x id, min(y) root FROM r GROUP BY 1),
+t AS (SELECT n.*, coalesce(m.root, u.id) root FROM n LEFT JOIN u USING (x) LEFT JOIN m USING (id)),
+f AS (SELECT *, x = '' OR row_number() OVER (PARTITION BY root ORDER BY doc_id, place) = 1 kept FROM t),
+o AS (SELECT doc_id, text, count(*) n, count(*) FILTER (WHERE kept) k, string_agg(raw, chr(10) ORDER BY place) FILTER (WHERE kept) s FROM f GROUP BY 1, 2)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_kept, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(s, '') END AS text FROM documents LEFT JOIN o USING (doc_id, text)
+"""
+
+#: The pages hold no canonical links or refreshes, so that rules alone decide.
+URL_RULES = f"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END r FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path FROM p),
+k(rh, rp, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) rule, arg_max(verdict, length(rh || rp)) verdict FROM h JOIN k ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (page_id)
+"""
+
+SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES}
