@@ -22,66 +22,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .bytepair import Cached, Decoder, Merges, Transducer, classes, split_special
+from .bytepair import Decoder, Merges, PackedIds, Transducer, classes
 from .common import map_arrow, steps, table, text_buffer
 
 FILE = "byte_bpe_50k.json"
-#: Pretokens that are digested at once.
+#: Ids that are digested at once.
 AT_ONCE = 4096
 #: Distinct pretokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Bytes of text that are handled at once: what that takes fits a core's cache.
 STEP = 200_000
 
 
 class RoundTrip:
-    """Ids of texts, as a list or as decimal text, and the decoded text's bytes."""
+    """Ids of texts by the transducer, and what they decode to."""
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
         classes(Tokenizer.from_file(path).pre_tokenizer)
-        self.transducer = Transducer(self.merges)
-        self.cached = Cached(self._pieces, REMEMBERED)
-
-    def _pieces(self, pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
-        encode, decode = self.transducer.encode, self.merges.bytes_of
-        out = []
-        for p in pieces:
-            ids = encode(p.encode("utf-8", "replace"))
-            out.append((len(ids), b"".join([b"%d," % i for i in ids]), b"".join([decode[i] for i in ids])))
-        return out
-
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Iterator[list[tuple[int, bytes, bytes]]]]:
-        """For each text, its pretokens in lists of at most AT_ONCE: number of ids, ids as decimal text with a comma after each, token bytes."""
-        marks = [s.encode() for s in self.merges.special]
-        whole = data.tobytes() if marks else b""
-        special = any(m in whole for m in marks)
-        numbers, bounds, values = self.cached.batch(data, offsets)
-        for i in range(len(offsets) - 1):
-            text = whole[offsets[i] : offsets[i + 1]] if special else b""
-            if special and any(m in text for m in marks):
-                yield iter([list(self._around_special(text))])
-                numbers, bounds, values = self.cached.batch(data, offsets)
-            else:
-                yield self._lists(numbers[bounds[i] : bounds[i + 1]], values)
-
-    @staticmethod
-    def _lists(numbers: np.ndarray, values: list) -> Iterator[list[tuple[int, bytes, bytes]]]:
-        for at in range(0, len(numbers), AT_ONCE):
-            yield [values[k] for k in numbers[at : at + AT_ONCE].tolist()]
-
-    def _around_special(self, text: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-        for piece in split_special(text.decode("utf-8", "replace"), self.merges.special):
-            if isinstance(piece, int):
-                yield 1, b"%d," % piece, self.merges.bytes_of[piece]
-            else:
-                raw = np.frombuffer(piece.encode(), np.uint8)
-                own, _, values = self.cached.batch(raw, np.array([0, len(raw)]))
-                yield from [values[k] for k in own.tolist()]
+        transducer = Transducer(self.merges)
+        size = 1 + max(self.merges.bytes_of, default=0)
+        self.decimals, self.tokens = [b"%d" % i for i in range(size)], [self.merges.bytes_of.get(i, b"") for i in range(size)]
+        self.packed = PackedIds(lambda pieces: [transducer.encode(p.encode("utf-8", "replace")) for p in pieces], self.merges.special, size, REMEMBERED)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        ids, bounds = self.packed.of(data, offsets)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield ids[a:b]
+
+    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
+        """Number of ids, sha256 of them as comma-separated decimals, and of the decoded text, made piece by piece."""
+        listed, text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder()
+        for at in range(0, len(ids), AT_ONCE):
+            some = ids[at : at + AT_ONCE].tolist()
+            listed.update((b"," if at else b"") + b",".join([self.decimals[i] for i in some]))
+            text.update(decoder.push(b"".join([self.tokens[i] for i in some])).encode())
+        text.update(decoder.flush().encode())
+        return len(ids), listed.hexdigest(), text.hexdigest()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         data, offsets = text_buffer(pa.array(texts, pa.string()))
-        return [[int(x) for some in parts for _, ids, _ in some for x in ids.split(b",")[:-1]] for a, b in steps(offsets, STEP) for parts in self.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        return [ids.tolist() for a, b in steps(offsets, STEP) for ids in self.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
 
     def decode(self, ids: list[int]) -> str:
         decoder = Decoder()
@@ -98,22 +80,6 @@ def coder_of(path: str) -> RoundTrip:
     return _coders[path]
 
 
-def digests(parts: Iterator[list[tuple[int, bytes, bytes]]], keep: list | None = None) -> tuple[int, str, str]:
-    """Number of ids, sha256 of them as comma-separated decimals, and of the decoded text, made piece by piece; keep gets the pieces."""
-    n, ids, text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder()
-    for some in parts:
-        listed = b"".join([x[1] for x in some])
-        if n:
-            ids.update(b",")
-        ids.update(memoryview(listed)[:-1])
-        n += sum([x[0] for x in some])
-        text.update(decoder.push(b"".join([x[2] for x in some])).encode())
-        if keep is not None:
-            keep += some
-    text.update(decoder.flush().encode())
-    return n, ids.hexdigest(), text.hexdigest()
-
-
 def round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts, also the ids and the decoded text."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
@@ -125,11 +91,10 @@ def round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
             for a, b in steps(offsets, STEP):
                 out: list[list] = [[] for _ in range(6 if texts else 4)]
                 out[0] = batch.column(0)[a:b]
-                for parts in coder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    kept: list | None = [] if texts else None
-                    row: list = list(digests(parts, kept))
-                    if kept is not None:
-                        row += [[int(x) for _, ids, _ in kept for x in ids.split(b",")[:-1]], b"".join([x[2] for x in kept]).decode("utf-8", "replace")]
+                for ids in coder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    row: list = list(coder.digests(ids))
+                    if texts:
+                        row += [ids.tolist(), coder.decode(ids.tolist())]
                     for column, x in zip(out[1:], row, strict=True):
                         column.append(x)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]

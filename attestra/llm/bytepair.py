@@ -191,6 +191,72 @@ class Cached:
         return got, np.searchsorted(starts, bounds), self.values
 
 
+class PackedIds:
+    """Ids of pretokens laid in one array, for whole batches of texts.
+
+    encode: ids of each of some pretokens; special: ids of contents that are no pretokens; vocabulary:
+    more than any id; most: pretokens that are remembered; end_id: an id after each text, if any.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int], vocabulary: int, most: int, end_id: int | None = None) -> None:
+        self.special, self.end_id = special, end_id
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.cached = Cached(encode, most)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.seen, self.used, self.source = 0, 0, None
+        self.flat, self.at = np.zeros(1 << 16, self.kind), np.zeros((1 << 16) + 1, np.int64)
+
+    def _follow(self, values: list) -> None:
+        if values is not self.source:  # the cache has started afresh
+            self._reset()
+            self.source = values
+        new = values[self.seen :]
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        total = self.used + int(lengths.sum())
+        while len(self.flat) < total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.at) < len(values) + 1:
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[self.used : total] = [i for x in new for i in x]
+        self.at[self.seen + 1 : len(values) + 1] = self.used + np.cumsum(lengths)
+        self.seen, self.used = len(values), total
+        for i in range(len(values) - len(new), len(values)):
+            values[i] = ()
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, the end id after each, and the n + 1 offsets of the texts."""
+        marks = [s.encode() for s in self.special]
+        whole = data.tobytes() if marks else b""
+        if any(m in whole for m in marks):
+            parts = [self._one(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self._plain(data, offsets, self.end_id is not None)
+
+    def _one(self, text: bytes) -> np.ndarray:
+        parts = []
+        for piece in split_special(text.decode("utf-8", "replace"), self.special):
+            if isinstance(piece, int):
+                parts.append(np.array([piece], self.kind))
+            else:
+                raw = np.frombuffer(piece.encode(), np.uint8)
+                parts.append(self._plain(raw, np.array([0, len(raw)]), False)[0])
+        return np.concatenate([*parts, np.array([] if self.end_id is None else [self.end_id], self.kind)])
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray]:
+        numbers, bounds, values = self.cached.batch(data, offsets)
+        self._follow(values)
+        first, count = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        before = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(count, out=before[1:])
+        ids = self.flat[np.repeat(first - before[:-1], count) + np.arange(before[-1])]
+        ends = before[bounds]
+        if not end:
+            return ids, ends
+        return np.insert(ids, ends[1:], self.end_id), ends + np.arange(len(ends))
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in a byte-level vocabulary, as its format fixes them."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

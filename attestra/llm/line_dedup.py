@@ -11,8 +11,9 @@ line that comes first, by doc_id and place, is kept; all others are cut out of t
    from others in a fixed order. BANDS groups of ROWS minima are bucket keys. Each task sorts its own
    keys and pairs lines that share one with the first of them, which alone goes on, packed into 12
    bytes, to the partition of the key, where the same is done with those of all tasks.
-2. Lines that were paired are read again from one place each. Pairs whose signatures agree in too few
-   bins go: DEVIATIONS standard errors below the threshold, as many bins counted as the emptier line fills.
+2. Lines that were paired are read again from one place each, and joined with their pairs. Pairs whose
+   signatures agree in too few bins go: DEVIATIONS standard errors below the threshold, as many bins
+   counted as the emptier line fills.
 3. The others are verified on full sets of shingles. Buckets whose lines remain in different components
    are compared whole, in blocks (stars.py), pairs within a component aside.
 4. Components of verified links, by large-star and small-star rounds, and the first place of each.
@@ -49,8 +50,8 @@ DEVIATIONS = 5
 STEP = 200_000
 #: Keys that a task gathers before it pairs them and passes them on.
 GATHER = 1_000_000
-#: Bytes of text for each partition of keys, at most; bytes of a filter of places.
-PART_BYTES, FILTER_BYTES = 16_000_000, 4_194_304
+#: Bytes of stored documents for each partition of keys; bytes of a filter of places.
+PART_BYTES, OVER, FILTER_BYTES = 10_000_000, 16, 4_194_304
 NONE = np.uint32(0xFFFFFFFF)
 
 _borrow = np.random.default_rng(7).integers(0, BINS, (BINS, 512))
@@ -203,8 +204,9 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def bucketed(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, row: hash of the text, ids of its lines, 0 for empty ones) and of stars (bucket, u, v, n: lines with the least one of a bucket)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(partitions(docs.sparkSession), -(-total // PART_BYTES))
+    # by the planner's estimate, which costs no scan; one that is far too great makes no more than OVER times the usual partitions
+    total, usual = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), partitions(docs.sparkSession)
+    parts = max(usual, min(OVER * usual, -(-total // PART_BYTES)))
 
     def spread(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs within what was gathered, and the first entry of each bucket, packed, for its partition."""
@@ -347,6 +349,7 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     wanted = few(written(wanted, "wanted"), 16)
     chosen = written(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "chosen")
+    named = few(chosen.select("node"), 16)
     shared = docs.sparkSession.sparkContext.broadcast(_filter(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +378,7 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x.ids[long].view(np.int64)), pa.array(text, pa.binary()).take(take), pa.array(bins, pa.int32()), stars.rows_of(sketch)], names=["node", "content", "size", "sketch"])
 
     found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text", row_of("text")), run, "node long, content binary, size int, sketch binary")
-    return found.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    return found.join(named, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
 
 
 def _likely(share: int) -> stars.Likely:
@@ -394,31 +397,22 @@ def _verify(share: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarr
     return verify
 
 
-def _sifted(pairs: DataFrame, share: int) -> DataFrame:
-    """Of pairs with both sketches, u, v and s of those that may be linked."""
+def _linked(pairs: DataFrame, share: int) -> DataFrame:
+    """Of pairs with sketches and lines of both, links that join what those that are alike do."""
     likely = _likely(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size_u, size_v = (batch.column(k).to_numpy() for k in (3, 4))
-            keep = likely(stars.matrix(batch.column(5)), size_u, stars.matrix(batch.column(6)), size_v) if len(batch) else np.zeros(0, bool)
-            yield batch.select([0, 1, 2]).filter(pa.array(keep))
-
-    return map_arrow(pairs.select("u", "v", "s", "sizeu", "sizev", "sketchu", "sketchv"), run, "u long, v long, s int")
-
-
-def _verified(pairs: DataFrame, share: int) -> DataFrame:
-    """Of pairs with both lines, links that join what those that are alike do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                both = shingles(pa.concat_arrays([part.column(2), part.column(3)]))
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                keep = likely(stars.matrix(part.column(4)), part.column(2).to_numpy(), stars.matrix(part.column(5)), part.column(3).to_numpy())
+                part = part.filter(pa.array(keep))
                 n = np.arange(len(part))
+                both = shingles(pa.concat_arrays([part.column(6), part.column(7)]))
                 yield part.select([0, 1]).filter(pa.array(stars.alike(*both, n, n + len(part), share)))
 
-    return map_arrow(pairs.select("u", "v", "contentu", "contentv"), lambda batches: joined(run(batches)), "u long, v long")
+    columns = ["u", "v", "sizeu", "sizev", "sketchu", "sketchv", "contentu", "contentv"]
+    return map_arrow(pairs.select(columns), lambda batches: joined(run(batches)), "u long, v long")
 
 
 def _lines(made: DataFrame) -> DataFrame:
@@ -434,8 +428,7 @@ def grouped(docs: DataFrame, made: DataFrame, share: int) -> DataFrame:
     texts = written(_texts(docs, lines, found.select(F.col("u").alias("node")).union(found.select("v")).distinct()), "line-texts")
     sketches = texts.select("node", "size", "sketch")
     contents = texts.select("node", "content")
-    likely = written(_sifted(stars.with_both(found, sketches), share), "likely")
-    roots = components(_verified(stars.with_both(likely, contents), share))
+    roots = components(_linked(stars.with_both(found, texts), share))
     more = stars.open_links(pairs, roots, sketches, lambda wanted: contents.join(wanted, "node", "left_semi"), "long", ROWS, _likely(share), _verify(share))
     return merged(roots, more)
 

@@ -45,6 +45,8 @@ BASE = 1.001
 SLACK = 0.13
 #: Keys that a task gathers before it pairs them and passes them on.
 GATHER = 1_000_000
+#: Bytes of text that are handled at once.
+STEP = 400_000
 
 _rng = np.random.default_rng(20240229)
 FACTORS = (_rng.integers(0, 1 << 31, REGISTERS, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -95,7 +97,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BY_SPACE, WORDS)
                 nodes = [hashlib.blake2b(x, digest_size=16).digest() if len(x) else None for x in sets]
                 found = [registers(x).tobytes() if len(x) else None for x in sets]
@@ -178,7 +180,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 sets = [x for x in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BY_SPACE, WORDS) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "content"])
 
