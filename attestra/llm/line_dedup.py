@@ -47,7 +47,7 @@ BANDS, ROWS = 18, 3
 BINS = BANDS * ROWS
 DEVIATIONS = 5
 #: Bytes of text that are handled at once: what that takes fits a core's cache.
-STEP = 200_000
+STEP = 120_000
 #: Keys that a task gathers before it pairs them and passes them on.
 GATHER = 1_000_000
 #: Bytes of stored documents for each partition of keys; bytes of a filter of places.
