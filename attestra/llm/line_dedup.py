@@ -47,7 +47,7 @@ BANDS, ROWS = 18, 3
 BINS = BANDS * ROWS
 DEVIATIONS = 5
 #: Bytes of text that are handled at once: what that takes fits a core's cache.
-STEP = 120_000
+STEP = 200_000
 #: Keys that a task gathers before it pairs them and passes them on.
 GATHER = 1_000_000
 #: Bytes of stored documents for each partition of keys; bytes of a filter of places.
@@ -235,14 +235,13 @@ def bucketed(docs: DataFrame) -> DataFrame:
         keys, ids, seen = [], [], set()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            nulls, lists = batch.column(1).is_null().to_numpy(zero_copy_only=False), []
             for a, b in steps(offsets, STEP):
                 x = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 null = nulls[a:b]
                 here = ~np.repeat(null, np.diff(x.first))
                 counts = np.where(null, 0, np.diff(x.first))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(x.ids[here].view(np.int64)))
-                yield _made(DOCUMENT, b - a, p=np.arange(b - a) % parts, doc_id=batch.column(0)[a:b], row=batch.column(2)[a:b], ids=lists)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(x.ids[here].view(np.int64))))
                 some = np.flatnonzero(x.long)
                 some = some[np.unique(x.ids[some], return_index=True)[1]]
                 some = some[[k not in seen for k in x.ids[some].tolist()]] if len(some) else some
@@ -254,6 +253,8 @@ def bucketed(docs: DataFrame) -> DataFrame:
                     keys.append(band_keys(x.signatures(part)[0]))
                     ids.append(x.ids[part])
                     seen.update(x.ids[part].tolist())
+            if lists:
+                yield _made(DOCUMENT, len(batch), p=np.arange(len(batch)) % parts, doc_id=batch.column(0), row=batch.column(2), ids=pa.concat_arrays(lists))
         if keys:
             yield from spread(np.concatenate(keys), np.concatenate(ids))
 
@@ -355,7 +356,7 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            ids, rows = _numbers(batch.column(0)), _numbers(batch.column(2))
+            ids, rows, found = _numbers(batch.column(0)), _numbers(batch.column(2)), []
             for a, b in steps(offsets, STEP):
                 base = int(offsets[a])
                 part, bounds = data[base : offsets[b]], offsets[a : b + 1] - base
@@ -375,7 +376,9 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
                 long = np.flatnonzero(x.long)
                 sketch, bins = x.signatures(long)
                 take = pa.array(long)
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids[long].view(np.int64)), pa.array(text, pa.binary()).take(take), pa.array(bins, pa.int32()), stars.rows_of(sketch)], names=["node", "content", "size", "sketch"])
+                found.append([pa.array(x.ids[long].view(np.int64)), pa.array(text, pa.binary()).take(take), pa.array(bins, pa.int32()), stars.rows_of(sketch)])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found, strict=True)], names=["node", "content", "size", "sketch"])
 
     found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text", row_of("text")), run, "node long, content binary, size int, sketch binary")
     return found.join(named, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
