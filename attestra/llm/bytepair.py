@@ -48,19 +48,6 @@ def classes(pre_tokenizer=None) -> np.ndarray:
     return _tables["classes"]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    have = _tables.get("powers")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-        for name, x in (("powers", base), ("inverses", inverse)):
-            a = np.full(size, x, np.uint64)
-            a[0] = 1
-            _tables[name] = np.multiply.accumulate(a)
-    return _tables["powers"][:n], _tables["inverses"][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place."""
     h ^= h >> np.uint64(30)
@@ -71,14 +58,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Random weights of places in a span.
+WEIGHTS = np.random.default_rng(2011).integers(0, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1)
+#: What each byte counts.
+BYTES = np.random.default_rng(2012).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of an array of small integers."""
-    pw, inv = powers(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
+    """64-bit hashes of the spans [start, end) of an array of small integers; spans are in order and don't overlap.
+
+    Multilinear hashing: values, mixed, times random weights of their places in the span. The weights
+    were drawn independently, so no pattern of values cancels out as it does with powers of one number; two
+    different spans have one hash with a probability of about 2**-60, whatever their lengths.
+    """
+    n, lengths = len(values), ends - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    place[starts[0] :] -= np.repeat(starts.astype(place.dtype), np.diff(np.append(starts, n)))
+    if values.dtype == np.uint8:
+        x = BYTES[values]
+    else:
+        x = values * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x51ED27)
+        x ^= x >> np.uint64(32)
+    if lengths.max() > len(WEIGHTS):
+        x *= mix((place // len(WEIGHTS)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        place %= len(WEIGHTS)
+    x *= WEIGHTS.take(place, mode="clip")
+    sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93) * pw[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    np.cumsum(x, out=sums[1:])
+    return mix(sums[ends] - sums[starts] ^ lengths.astype(np.uint64) << np.uint64(40))
 
 
 _factors = np.random.default_rng(8).integers(1 << 62, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .bytepair import eights, mix, span_hashes
+from .bytepair import WEIGHTS, eights, mix, span_hashes
 
 #: Bytes with A-Z lower-cased.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,8 +41,11 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, whichever texts they are in; empty if there are fewer than k."""
     if len(hashes) < k:
         return np.zeros(0, np.uint64)
-    starts = np.arange(len(hashes) - k + 1)
-    return span_hashes(hashes, starts, starts + k)
+    n = len(hashes) - k + 1
+    h = hashes[:n] * WEIGHTS[0]
+    for j in range(1, k):
+        h += (hashes[j : n + j] ^ hashes[j : n + j] >> np.uint64(32)) * WEIGHTS[j]
+    return mix(h)
 
 
 def inside_text(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
