@@ -90,4 +90,18 @@ f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) rule, arg_max(verdict,
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (page_id)
 """
 
-SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES}
+#: Pieces, their words, counts of 1 to 4 words; cuts with both parts' counts; what longer candidates mostly hold goes.
+COLLOCATIONS = f"""
+WITH p AS (SELECT lang, row_number() OVER () id, p FROM (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) p FROM documents)),
+w AS (SELECT lang, id, regexp_extract_all(p, '[^\\x20\\x09]+') ws FROM p),
+f AS (SELECT lang, k, array_to_string(ws[CAST(i AS INT):CAST(i AS INT) + k - 1], ' ') phrase, count(*) f FROM w, (VALUES (1), (2), (3), (4)) s(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) r(i) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f) n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') ws, f a FROM f WHERE k > 1 AND f >= 30),
+h AS (SELECT lang, array_to_string(ws[CAST(i AS INT):CAST(i AS INT) + m - 1], ' ') phrase, max(a) m FROM c, (VALUES (2), (3)) s(m), unnest(range(1, greatest(k - m + 2, 1))) r(i) WHERE m < k GROUP BY 1, 2),
+e AS (SELECT c.* FROM c LEFT JOIN h USING (lang, phrase) WHERE h.m IS NULL OR 100 * h.m < 80 * a),
+s AS (SELECT e.lang, e.phrase, e.a, j, l.f l, r.f r, CAST(e.a AS HUGEINT) * 2000000 // (l.f + r.f) score FROM e, unnest(range(1, e.k)) x(j), f l, f r WHERE l.lang = e.lang AND r.lang = e.lang AND l.k = j AND r.k = e.k - j AND l.phrase = array_to_string(e.ws[1:CAST(j AS INT)], ' ') AND r.phrase = array_to_string(e.ws[CAST(j AS INT) + 1:e.k], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES, "op13_collocations": COLLOCATIONS}

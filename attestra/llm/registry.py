@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .bpe_roundtrip import op4_bpe_roundtrip
+from .collocations import op13_collocations
 from .decontaminate import op8_decontaminate
 from .licences import op10_licences
 from .line_dedup import op3_line_dedup
@@ -16,6 +17,6 @@ from .url_rules import op7_url_rules
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_store, op2_near_dup, op3_line_dedup, op4_bpe_roundtrip, op5_neighbours, op6_quality, op7_url_rules, op8_decontaminate, op9_shards, op10_licences)
+    for f in (op1_token_store, op2_near_dup, op3_line_dedup, op4_bpe_roundtrip, op5_neighbours, op6_quality, op7_url_rules, op8_decontaminate, op9_shards, op10_licences, op13_collocations)
 }
 ORACLE_SQL: dict[str, str] = oracles.SQL
