@@ -12,17 +12,24 @@ def _words(column: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
-NEAR_DUP = f"""
+
+def _linked(k: int, share: int) -> str:
+    """Rows with their components by sets of k-word shingles that have share percent in common."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_words("text", "[^\\x20\\x09-\\x0D]+")} ws FROM documents),
-s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[CAST(i AS INT):CAST(i AS INT) + 4], ' ') END g FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) r(i) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {k} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[CAST(i AS INT):CAST(i AS INT) + {k - 1}], ' ') END g FROM w, unnest(range(1, greatest(len(ws) - {k - 1}, 1) + 1)) r(i) WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id x, b.doc_id y, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= {share} * (p.n + q.n - k)),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 m AS (SELECT x doc_id, min(y) component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
 
+
+NEAR_DUP = _linked(5, 75)
+JACCARD_JOIN = f"SELECT doc_id, n_shingles, component_id FROM ({_linked(3, 90)})"
+
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 DECONTAMINATE = f"""
 WITH d AS (SELECT doc_id, {_words("text", _ALNUM)} ws FROM documents),
@@ -104,4 +111,4 @@ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m) JOIN n USING (lang) WHERE rank <= 2000
 """
 
-SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES, "op13_collocations": COLLOCATIONS}
+SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES, "op12_jaccard_join": JACCARD_JOIN, "op13_collocations": COLLOCATIONS}
