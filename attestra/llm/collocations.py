@@ -36,7 +36,7 @@ SCALE = 2_000_000
 ENDS = [*b".,;:!?", *range(0x0A, 0x0E)]
 IS_WORD = byte_class([0x20, 0x09, *ENDS])
 #: Words of a shard; bytes of text handled at once; the most bits of a bitmap (8 MB).
-SHARD, STEP, BITS = 1_000_000, 1_000_000, 1 << 26
+SHARD, STEP, BITS = 700_000, 500_000, 1 << 26
 UNKNOWN = "und"
 
 
@@ -58,14 +58,16 @@ class Shard:
         last = bounds[1:][bounds[1:] > bounds[:-1]] - 1
         follows[last] = False
         own = np.repeat(lang, np.diff(bounds))
-        self.parts.append((data, starts + self.at, ends + self.at, hashes, follows, own))
+        self.parts.append((data, (starts + self.at).astype(np.int32), (ends + self.at).astype(np.int32), hashes, follows, own))
         self.size, self.at = self.size + len(starts), self.at + len(data)
 
     def closed(self) -> Shard:
         data, self.starts, self.ends, hashes, self.follows, self.lang = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.text, self.own, self.parts = data, hashes, []
+        del data
         key = mix(hashes ^ mix((self.lang.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
-        self.places, self.words = np.unique(key, return_index=True, return_inverse=True)[1:]
+        self.places, numbers = np.unique(key, return_index=True, return_inverse=True)[1:]
+        self.words = numbers.astype(np.int32)
         return self
 
     def intervals(self, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -76,14 +78,11 @@ class Shard:
         """
         n = len(self.words)
         yield 1, self.places, np.bincount(self.words, minlength=len(self.places))
-        rank, width, valid = self.words + 1, 1, np.ones(n, bool)
+        rank, width = self.words + np.int32(1), 1
         while width < depth:
-            far = np.zeros(n, np.int64)  # the rank of what follows after `width` words, 0 where the piece ends before
-            on = valid.copy()
-            on[: n - 1] &= self.follows[: n - 1]
-            if n:
-                on[n - 1] = False
-            for j in range(1, width):
+            far = np.zeros(n, np.int32)  # the rank of what follows after `width` words, 0 where the piece ends before
+            on = np.ones(n, bool)
+            for j in range(width):
                 on[: n - 1 - j] &= self.follows[j : n - 1]
                 on[max(0, n - 1 - j) :] = False
             far[: n - width] = np.where(on[: n - width], rank[width:], 0)
@@ -91,7 +90,7 @@ class Shard:
             order = np.argsort(both, kind="stable")
             yield from self._between(order, width, depth)
             first = np.append(True, both[order][1:] != both[order][:-1])[: len(order)]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(first)
             width *= 2
 
@@ -129,32 +128,32 @@ class Shard:
         return columns[0] if k == 1 else pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()))
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts as they are; one that is longer than STEP in parts of about that size, cut where pieces end."""
-    if len(offsets) > 2 or len(data) <= STEP:
+def _cut(data: np.ndarray, offsets: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts as they are; one that is longer than a step in parts of about that size, cut where pieces end."""
+    if len(offsets) > 2 or len(data) <= step:
         yield data, offsets
         return
     at = 0
     while at < len(data):
-        to = min(len(data), at + STEP)
+        to = min(len(data), at + step)
         while to < len(data) and data[to] not in ENDS:
-            ahead = np.flatnonzero(np.isin(data[to : to + STEP], ENDS))
-            to += int(ahead[0]) if len(ahead) else min(STEP, len(data) - to)
+            ahead = np.flatnonzero(np.isin(data[to : to + step], ENDS))
+            to += int(ahead[0]) if len(ahead) else min(step, len(data) - to)
         yield data[at:to], np.array([0, to - at])
         at = to
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, list[str]]]:
-    """Shards of the texts in (text, lang) batches, with the languages that their numbers stand for."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int, step: int) -> Iterator[tuple[Shard, list[str]]]:
+    """Shards of the texts of about `most` words in (text, lang) batches, with the languages that their numbers stand for."""
     shard, number = Shard(), {}
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         names = batch.column(1).to_pylist()
-        for a, b in steps(offsets, STEP):
-            lang = np.array([number.setdefault(x, len(number)) for x in names[a:b]], np.int64)
-            for some, ends in _cut(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+        for a, b in steps(offsets, step):
+            lang = np.array([number.setdefault(x, len(number)) for x in names[a:b]], np.int32)
+            for some, ends in _cut(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], step):
                 shard.add(some, ends, lang)
-                if shard.size >= SHARD:
+                if shard.size >= most:
                     yield shard.closed(), list(number)
                     shard = Shard()
     if shard.size:
@@ -171,9 +170,10 @@ ROWS = 50_000
 
 def _pairs(docs: DataFrame) -> DataFrame:
     """lang, word (null for pairs), key (null for words), n of each shard."""
+    sizes = SHARD, STEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, names in _shards(batches):
+        for shard, names in _shards(batches, *sizes):
             keys = _language_keys(names)
             for k, at, n in shard.intervals(2):
                 for x in range(0, len(at), ROWS):
@@ -219,11 +219,11 @@ def _marked(pairs: DataFrame, least: int) -> np.ndarray:
 
 def _phrases(docs: DataFrame, marked: np.ndarray) -> DataFrame:
     """lang, phrase, k, n of each shard, of phrases all of whose pairs are marked."""
-    shared = docs.sparkSession.sparkContext.broadcast(marked)
+    shared, sizes = docs.sparkSession.sparkContext.broadcast(marked), (SHARD, STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
-        for shard, names in _shards(batches):
+        for shard, names in _shards(batches, *sizes):
             languages = _language_keys(names)
             often = np.zeros(len(shard.words) + 1, bool)
             some = np.flatnonzero(shard.follows)

@@ -6,14 +6,17 @@ union in common are linked.
 1. Rows of equal columns are one node. Each task counts how many of its rows have a column, in SLOTS counters
    by the column's hash; the sums over all tasks put columns in an order, rare ones first.
 2. A linked row has at least ceil(SHARE n / 100) columns in common with one of n, so two linked rows share
-   one of the first n - ceil(SHARE n / 100) + 1 columns of each. Only these columns are multiplied: the rows of a
-   column meet as stars.py says, each with the column's first row at first. Frequent columns come last in
-   the order, so that they are multiplied only for rows that have little else.
+   one of the first n - ceil(SHARE n / 100) + 1 columns of each, and of the smaller one about half as many do.
+   Only these columns are multiplied, and only for rows of like sizes: a column is divided by classes of sizes
+   (classes()), and the rows of a column and class meet as stars.py says, each with the first row at first.
+   Frequent columns come last in the order: they are multiplied only for rows that have little else.
 3. Bounds by sizes drop pairs: n and m columns can't have enough in common if the smaller is under SHARE
    percent of the greater, or if the product of both rows with columns folded to OUTLINE bits, plus what one of
-   them lost by folding, is too little. Overlaps of the others are counted on whole rows, made anew from the texts.
+   them lost by folding, is too little; of large rows a part of the columns is folded, and what that part differs
+   in counts against the pair. Overlaps of the others are counted on whole rows, made anew from the texts.
 4. Columns whose rows then remain in different components are multiplied whole, in blocks of rows: folded at first,
-   then the rows themselves that may be linked (stars.py).
+   then the rows themselves that may be linked (stars.py). One in ROUND columns is done before the others: it
+   joins most of what belongs together, so that few columns are left open.
 5. Components of links, by large-star and small-star rounds.
 
 No step misses a link: what is folded or left out is bounded from above. Columns are 64-bit hashes. A null, empty
@@ -39,7 +42,11 @@ from .textvec import BY_SPACE, mix, shingle_sets
 
 WORDS, SHARE = 3, 90
 #: Counters of columns, by the highest bits of their hashes; bits of a folded row.
-SLOTS, OUTLINE = 1 << 18, 2048
+SLOTS, OUTLINE = 1 << 20, 2048
+#: Columns up to which a row is folded whole; of larger ones, those whose highest PART_BITS bits are 0.
+WHOLE, PART_BITS = 2000, 3
+#: One in so many columns is multiplied whole before the others.
+ROUND = 16
 #: Counters that are added up in one place at most.
 TOGETHER = 16
 #: Entries that a task gathers before it pairs them and passes them on; bytes of text handled at once.
@@ -56,10 +63,14 @@ def _slots(columns: np.ndarray) -> np.ndarray:
 
 
 def outlines(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows folded to OUTLINE bits, as 16-bit words."""
-    held = np.zeros((len(bounds) - 1, OUTLINE), bool)
-    held[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), (flat & np.uint64(OUTLINE - 1)).astype(np.int64)] = True
-    return np.packbits(held, axis=1).view(np.uint16)
+    """Rows folded to OUTLINE bits, as 16-bit words, and in two more words how many columns were folded."""
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    some = (size[owner] <= WHOLE) | (flat >> np.uint64(64 - PART_BITS) == 0)
+    held = np.zeros((len(size), OUTLINE), bool)
+    held[owner[some], (flat[some] & np.uint64(OUTLINE - 1)).astype(np.int64)] = True
+    n = np.bincount(owner[some], minlength=len(size)).astype(np.uint32)
+    return np.concatenate([np.packbits(held, axis=1).view(np.uint16), n.view(np.uint16).reshape(-1, 2)], axis=1)
 
 
 def _rows(batch_texts: pa.Array, words: int) -> Iterator[tuple[int, int, list[np.ndarray], list[bytes | None]]]:
@@ -111,13 +122,28 @@ def frequencies(counters: DataFrame) -> np.ndarray:
     return np.log2(total + 1).astype(np.uint8)
 
 
+def classes(size: np.ndarray, share: int) -> np.ndarray:
+    """Numbers of classes of sizes: of rows that may be linked, the greater is of the same class as the smaller or of the next."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / share) + 1e-9).astype(np.int64)
+
+
 def leading(flat: np.ndarray, bounds: np.ndarray, order: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """The columns of each row that are multiplied, with the number of the row."""
+    """Keys (column and class) under which each row is multiplied, with the number of the row.
+
+    Under its own class a row meets those of its class and smaller ones, of which some may need it by all of its
+    prefix. Under the next class it meets greater ones: it has at least 2 SHARE / (100 + SHARE) of its columns in
+    common with them, so fewer will do. Rounding at a class's edge may make a class more: so one more is taken.
+    """
     size = np.diff(bounds)
     owner = np.repeat(np.arange(len(size)), size)
-    place = np.lexsort((flat, order[_slots(flat)], owner))
-    keep = np.arange(len(flat)) - bounds[:-1][owner] <= (size - needed(size, share))[owner]
-    return flat[place[keep]], owner[keep]
+    at = np.lexsort((flat, order[_slots(flat)], owner))
+    nth = np.arange(len(flat)) - bounds[:-1][owner]
+    own = at[nth <= (size - needed(size, share))[owner]]
+    fewer = at[nth <= (size - -(-2 * share * size // (100 + share)))[owner]]
+    level = classes(size, share)
+    keys = [mix(flat[own] ^ (level[owner[own]] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+    keys.append(mix(flat[fewer] ^ (level[owner[fewer]] + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(keys), np.concatenate([owner[own], owner[fewer]])
 
 
 def _entries(docs: DataFrame, order: np.ndarray, words: int, share: int) -> DataFrame:
@@ -146,7 +172,7 @@ def _entries(docs: DataFrame, order: np.ndarray, words: int, share: int) -> Data
                         seen.add(x)
                         new.append(i)
                 columns, owner = leading(*_laid([sets[i] for i in new]), shared.value, share)
-                keys.append(mix(columns))
+                keys.append(columns)
                 own.append(owner + len(names))
                 names += [nodes[i] for i in new]
                 held += len(columns)
@@ -168,12 +194,18 @@ def _likely(share: int) -> stars.Likely:
     def likely(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
         size_a, size_b = size_a.astype(np.int64), size_b.astype(np.int64)
         keep = 100 * np.minimum(size_a, size_b) >= share * np.maximum(size_a, size_b)
-        some = np.flatnonzero(keep)
+        some = np.flatnonzero(keep & ((size_a <= WHOLE) == (size_b <= WHOLE)))
+        words = OUTLINE // 16
+        bits = lambda z: np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+        folded = lambda z: z[:, words].astype(np.int64) | z[:, words + 1].astype(np.int64) << 16
         for at in range(0, len(some), 8192):
             k = some[at : at + 8192]
             x, y = a[k], b[k]
-            bits = lambda z: np.bitwise_count(z).sum(axis=1, dtype=np.int64)
-            most = bits(x & y) + np.minimum(size_a[k] - bits(x), size_b[k] - bits(y))
+            n, m = folded(x), folded(y)
+            x, y = x[:, :words], y[:, :words]
+            common = bits(x & y) + np.minimum(n - bits(x), m - bits(y))  # of what was folded, at most
+            differ = np.maximum(n - common, 0) + np.maximum(m - common, 0)
+            most = (size_a[k] + size_b[k] - differ) // 2
             keep[k] = 100 * most >= share * (size_a[k] + size_b[k] - most)
         return keep
 
@@ -252,7 +284,8 @@ def _joined(docs: DataFrame, words: int, share: int) -> DataFrame:
     likely = written(_sifted(stars.with_both(written(stars.pairs_of(pairs), "pairs"), sized), share), "likely")
     whole = written(_whole(docs, nodes, likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct(), words), "whole")
     roots = components(_links(stars.with_both(likely, whole), share))
-    found = merged(roots, stars.open_links(pairs, roots, sized, lambda wanted: _whole(docs, nodes, wanted, words), "binary", 0, _likely(share), _product(share)))
+    open_ = lambda some, roots: merged(roots, stars.open_links(some, roots, sized, lambda wanted: _whole(docs, nodes, wanted, words), "binary", 0, _likely(share), _product(share)))
+    found = open_(pairs, open_(pairs.where(F.pmod(F.col("bucket"), F.lit(ROUND)) == 0), roots))
     ids = written(nodes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
     named = found.join(ids, "root").select("node", "component_id")
     alone = nodes.join(found, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))

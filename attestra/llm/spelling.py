@@ -158,7 +158,7 @@ def grams(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def gram_order(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each gram in the order, rare ones first; in how many words it comes): BASE ** Q entries each."""
+    """(place of each gram in the order, rare ones first; whether over HOT words have it): BASE ** Q entries each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BASE**Q, np.int64)
@@ -173,11 +173,11 @@ def gram_order(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     count[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     place = np.empty(BASE**Q, np.int64)
     place[np.argsort(count, kind="stable")] = np.arange(BASE**Q)
-    return place, count
+    return place, count > HOT
 
 
-def posted(numbers: np.ndarray, bounds: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, asks, word): under which keys words are posted, and those (asks) that they look up besides."""
+def posted(numbers: np.ndarray, bounds: np.ndarray, place: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, asks, word): under which keys words are posted, and those (asks) that they look up besides; often: which grams' postings are divided."""
     gram, owner, at = grams(numbers, bounds)
     order = np.lexsort((at, place[gram], owner))
     gram, owner, at = gram[order], owner[order], at[order]
@@ -185,7 +185,7 @@ def posted(numbers: np.ndarray, bounds: np.ndarray, place: np.ndarray, count: np
     first = np.concatenate([[0], np.cumsum(size - Q + 1)])
     nth = np.arange(len(gram)) - first[:-1][owner]
     lead = np.flatnonzero(nth <= Q)
-    plain, hot = lead[count[gram[lead]] <= HOT], lead[count[gram[lead]] > HOT]
+    plain, hot = lead[~often[gram[lead]]], lead[often[gram[lead]]]
     later = first[:-1][owner[hot]] + Q + 1 - hot  # grams after this one, up to the one numbered Q + 1
     x = np.repeat(hot, later)
     y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
@@ -199,16 +199,16 @@ def posted(numbers: np.ndarray, bounds: np.ndarray, place: np.ndarray, count: np
     return np.concatenate(keys), np.concatenate(asks), np.concatenate(who)
 
 
-def _index(words: DataFrame, place: np.ndarray, count: np.ndarray) -> DataFrame:
+def _index(words: DataFrame, place: np.ndarray, often: np.ndarray) -> DataFrame:
     """key, asks, word, n of the index."""
-    shared = words.sparkSession.sparkContext.broadcast((place.astype(np.int32), np.minimum(count, HOT + 1).astype(np.int32)))
+    shared = words.sparkSession.sparkContext.broadcast((place.astype(np.int32), often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, often = shared.value
+        order, divided = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 part = batch.slice(lo, 4096)
-                key, asks, who = posted(*letters(part.column(0)), order, often)
+                key, asks, who = posted(*letters(part.column(0)), order, divided)
                 for x in range(0, len(key), ROWS):
                     y = pa.array(who[x : x + ROWS])
                     yield pa.RecordBatch.from_arrays([pa.array(key[x : x + ROWS].view(np.int64)), pa.array(asks[x : x + ROWS]), part.column(0).take(y), part.column(1).take(y)], names=["key", "asks", "word", "n"])
