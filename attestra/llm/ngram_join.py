@@ -7,17 +7,18 @@ union in common are linked.
    by the column's hash; the sums over all tasks put columns in an order, rare ones first.
 2. A linked row has at least ceil(SHARE n / 100) columns in common with one of n, so two linked rows share
    one of the first n - ceil(SHARE n / 100) + 1 columns of each, and of the smaller one about half as many do.
-   Only these columns are multiplied, and only for rows of like sizes: a column is divided by classes of sizes
-   (classes()), and the rows of a column and class meet as stars.py says, each with the first row at first.
-   Frequent columns come last in the order: they are multiplied only for rows that have little else.
+   Only rows that meet in these columns are candidates, and only those of like sizes: a column is divided by
+   classes of sizes (classes()). Frequent columns come last in the order: rows that have little else meet in them.
 3. Bounds by sizes drop pairs: n and m columns can't have enough in common if the smaller is under SHARE
    percent of the greater, or if the product of both rows with columns folded to OUTLINE bits, plus what one of
    them lost by folding, is too little; of large rows a part of the columns is folded, and what that part differs
-   in counts against the pair. Overlaps of the others are counted on whole rows, made anew from the texts.
-4. Columns whose rows then remain in different components are multiplied whole, in blocks of rows: folded at first,
-   then the rows themselves that may be linked (stars.py). One in ROUND columns is done before the others: it
-   joins most of what belongs together, so that few columns are left open.
-5. Components of links, by large-star and small-star rounds.
+   in counts against the pair. Rows of a column and class meet as stars.py says, each with the first row at
+   first; where that leaves several groups, all of them, group by group (reached()). The outcome is groups
+   of rows outside of which nobody has a partner: components of what may be linked.
+4. Each group is multiplied in blocks of rows, made anew from the texts of just those: columns that two rows of
+   a block have become bits, and the product of two rows is the number of bits in common, added up COLUMNS at a
+   time. It is exact; pairs that are joined by then are left out. A group of any size is pairs of blocks.
+5. Components of links, by large-star and small-star rounds. Only links that join something leave a task.
 
 No step misses a link: what is folded or left out is bounded from above. Columns are 64-bit hashes. A null, empty
 or wordless text has no columns and is linked with nothing. Fewer words than WORDS are one column, the
@@ -28,7 +29,7 @@ component's id if it is linked, else null. An empty table gives no rows. Extra c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ WORDS, SHARE = 3, 90
 SLOTS, OUTLINE = 1 << 20, 2048
 #: Columns up to which a row is folded whole; of larger ones, those whose highest PART_BITS bits are 0.
 WHOLE, PART_BITS = 2000, 3
-#: One in so many columns is multiplied whole before the others.
-ROUND = 16
+#: Bytes and rows of a block; columns that are multiplied at once.
+BLOCK_BYTES, BLOCK, COLUMNS = 8_000_000, 2048, 1 << 14
 #: Counters that are added up in one place at most.
 TOGETHER = 16
 #: Entries that a task gathers before it pairs them and passes them on; bytes of text handled at once.
@@ -243,28 +244,122 @@ def _contents(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
 
 
-def _product(share: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray]:
-    """Whether rows i and j of a block are linked, from counts of their common columns."""
-
-    def verify(rows: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        return stars.alike(*_contents(rows.take(pa.array(some)).to_pylist()), place[: len(i)], place[len(i) :], share)
-
-    return verify
+def reached(sketch: np.ndarray, size: np.ndarray, root: np.ndarray, apart: np.ndarray | None, likely: stars.Likely) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows found from it) of a walk through rows that may be linked and have different roots.
 
+    A row that is found isn't looked at again but as one to look from, so alike rows cost one look at all others.
+    apart: for a pair of blocks, which block each row is of: only pairs of one and the other are looked at.
+    """
+    left = np.ones(len(size), bool)
+    for start in range(len(size)):
+        if not left[start]:
+            continue
+        left[start], walk = False, [start]
+        while walk:
+            i = walk.pop()
+            j = np.flatnonzero(left & (root != root[i]) & (apart != apart[i] if apart is not None else True))
+            if not len(j):
+                continue
+            at = np.full(len(j), i)
+            found = j[likely(sketch[at], size[at], sketch[j], size[j])]
+            if len(found):
+                left[found] = False
+                walk += found.tolist()
+                yield i, found
+
+
+def _groups(pairs: DataFrame, sized: DataFrame, share: int) -> DataFrame:
+    """node, root of groups outside of which no row has a partner."""
+    likely = _likely(share)
+    near = _sifted(stars.with_both(written(stars.pairs_of(pairs), "pairs"), sized), share).select("u", "v")
+    roots = components(map_arrow(near, joined, "u binary, v binary"), "groups")
+    held = stars._open(pairs, roots).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").join(sized, "node")
 
-def _links(pairs: DataFrame, share: int) -> DataFrame:
-    """Of pairs with both rows, links that join what those that are linked do."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in stars.whole_groups(batches, 3):
+            names = rows.column("node").combine_chunks()
+            root = rows.column("root").combine_chunks().dictionary_encode()
+            root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
+            sketch, size, block = stars.matrix(rows.column("sketch").combine_chunks()), rows.column("size").to_numpy(), rows.column("block").to_numpy()
+            across = (rows.column("lo").to_numpy() != rows.column("hi").to_numpy())[starts]
+            u, v = [], []
+            for a, b, two in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], across.tolist(), strict=True):
+                if b - a > 1:
+                    for i, found in reached(sketch[a:b], size[a:b], root[a:b], block[a:b] if two else None, likely):
+                        u.append(np.full(len(found), a + i))
+                        v.append(a + found)
+            if u:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(x))) for x in (u, v)], names=["u", "v"])
+
+    columns = ["bucket", "lo", "hi", "block", "node", "root", "size", "sketch"]
+    more = map_arrow(stars._blocked(held).select(columns), lambda batches: joined(run(batches)), "u binary, v binary")
+    return merged(roots, _of_roots(more, roots))
+
+
+def _of_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between nodes as links between their roots, or themselves if they have none."""
+    links = written(links, "more")
+    named = lambda end: few(roots, 48).select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    both = links.join(named("u"), "u", "left").join(named("v"), "v", "left")
+    return both.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+
+
+def product(flat: np.ndarray, bounds: np.ndarray, apart: np.ndarray | None, share: int) -> list[tuple[int, int]]:
+    """Links between rows of a block, those that join something; apart: as in reached()."""
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat, kind="stable")
+    column, row = flat[order], owner[order]
+    new = np.append(True, column[1:] != column[:-1])[: len(column)]
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number, minlength=1)[number] > 1  # a column that one row alone has adds nothing
+    row, number = row[shared], (np.cumsum(new[shared]) - 1 if shared.any() else number[shared])
+    wide = -(-min(COLUMNS, int(number.max(initial=0)) + 1) // 64) * 64
+    parts = []
+    for at in range(0, int(number.max(initial=0)) + 1, wide):
+        here = (number >= at) & (number < at + wide)
+        bits = np.zeros((len(size), wide), bool)
+        bits[row[here], number[here] - at] = True
+        parts.append(np.packbits(bits, axis=1).view(np.uint64))
+    label, out = np.arange(len(size)), []
+    for i in range(len(size)):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[100 * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])]
+        if apart is not None:
+            j = j[apart[j] != apart[i]]
+        if not len(j):
+            continue
+        common = np.zeros(len(j), np.int64)
+        for bits in parts:
+            step = max(1, BLOCK_BYTES // (8 * bits.shape[1]))
+            for at in range(0, len(j), step):
+                common[at : at + step] += np.bitwise_count(bits[j[at : at + step]] & bits[i]).sum(axis=1, dtype=np.int64)
+        for k in j[100 * common >= share * (size[i] + size[j] - common)].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                out.append((i, k))
+    return out
+
+
+def _links(groups: DataFrame, sized: DataFrame, whole: DataFrame, share: int) -> DataFrame:
+    """Links within groups, from the product of each pair of blocks."""
+    held = groups.select("node", F.xxhash64("root").alias("bucket")).join(sized.select("node", "size"), "node")
+    count = held.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    held = held.join(written(count, "blocks"), "bucket").join(whole, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                n = np.arange(len(part))
-                raw = part.column(2).to_pylist() + part.column(3).to_pylist()
-                yield part.select([0, 1]).filter(pa.array(stars.alike(*_contents(raw), n, n + len(part), share)))
+        for rows, starts in stars.whole_groups(batches, 3):
+            names, content = rows.column("node").combine_chunks(), rows.column("content").combine_chunks()
+            block, across = rows.column("block").to_numpy(), (rows.column("lo").to_numpy() != rows.column("hi").to_numpy())[starts]
+            u, v = [], []
+            for a, b, two in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], across.tolist(), strict=True):
+                if b - a > 1:
+                    for i, j in product(*_contents(content[a:b].to_pylist()), block[a:b] if two else None, share):
+                        u.append(a + i)
+                        v.append(a + j)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (u, v)], names=["u", "v"])
 
-    return map_arrow(pairs.select("u", "v", "contentu", "contentv"), lambda batches: joined(run(batches)), "u binary, v binary")
+    return map_arrow(stars._blocked(held).select("bucket", "lo", "hi", "block", "node", "content"), lambda batches: joined(run(batches)), "u binary, v binary")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -281,11 +376,9 @@ def _joined(docs: DataFrame, words: int, share: int) -> DataFrame:
     nodes = written(nodes, "nodes")
     sized = nodes.select("node", "size", "sketch")
     pairs = written(stars.shared(_entries(docs, order, words, share)), "shared")
-    likely = written(_sifted(stars.with_both(written(stars.pairs_of(pairs), "pairs"), sized), share), "likely")
-    whole = written(_whole(docs, nodes, likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct(), words), "whole")
-    roots = components(_links(stars.with_both(likely, whole), share))
-    open_ = lambda some, roots: merged(roots, stars.open_links(some, roots, sized, lambda wanted: _whole(docs, nodes, wanted, words), "binary", 0, _likely(share), _product(share)))
-    found = open_(pairs, open_(pairs.where(F.pmod(F.col("bucket"), F.lit(ROUND)) == 0), roots))
+    groups = written(_groups(pairs, sized, share), "groups")
+    whole = _whole(docs, nodes, groups.select("node"), words)
+    found = written(components(_links(groups, sized, whole, share)), "found")
     ids = written(nodes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
     named = found.join(ids, "root").select("node", "component_id")
     alone = nodes.join(found, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))

@@ -14,8 +14,9 @@ one inserted, deleted or replaced code point makes one the other.
    words must meet: of the grams in common, the first is among the first Q + 1 of each. Postings of grams that
    over HOT words have are divided by the next gram in common, which is among the first Q + 2. Spark deals
    postings out and sorts them, so each is merged in one place, in blocks of STEP pairs.
-4. The count filter keeps pairs of a posting with enough grams in common at fitting positions; they are verified
-   by comparing the words from both ends. A pair met in several postings counts once.
+4. One edit changes at most two of the letters that a word has; pairs of a posting whose sets of letters differ in
+   more go at once. The count filter keeps those with enough grams in common at fitting positions; they are
+   verified by comparing the words from both ends. A pair met in several postings counts once.
 5. form is a table join of each word with its near words; roots follow forms by doubling, in tables.
 
 A null text has no words. A null doc_id is written as nothing before the colon. Rows with equal doc_id and text
@@ -45,7 +46,7 @@ LETTERS = [*range(97, 123), *range(0xC0, 0x100)]
 BASE = len(LETTERS)
 #: Words that may have a gram before its postings are divided.
 HOT = 20_000
-#: Bytes of text, and code points of words that are compared, at once; rows of an Arrow batch sent back.
+#: Bytes of text, and pairs of words that are looked at, at once; rows of an Arrow batch sent back.
 STEP, COMPARED, ROWS = 1_000_000, 1_000_000, 50_000
 
 _number = np.full(0x100, -1, np.int64)
@@ -216,6 +217,11 @@ def _index(words: DataFrame, place: np.ndarray, often: np.ndarray) -> DataFrame:
     return map_arrow(words.select("word", "n"), run, "key long, asks boolean, word string, n long")
 
 
+def letter_sets(numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A bit for each letter that a word has; some letters share one."""
+    return np.bitwise_or.reduceat(np.uint64(1) << (numbers & 63).astype(np.uint64), bounds[:-1])
+
+
 def one_edit(numbers: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether words i and j, of which j is as long or longer by one, are near: count filter, then verification."""
     size = np.diff(bounds)
@@ -259,9 +265,9 @@ def _near(index: DataFrame) -> DataFrame:
         left = np.maximum(end - begin, 0)
         before, at = np.concatenate([[0], np.cumsum(left)]), 0
         while at < len(left):
-            to = max(at + 1, int(np.searchsorted(before, before[at] + COMPARED // 10, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(before, before[at] + COMPARED, side="right")) - 1)
             i = np.repeat(np.arange(at, to), left[at:to])
-            yield i, begin[i] + np.arange(len(i)) - np.repeat(before[at:to] - before[at], left[at:to])
+            yield i, np.arange(len(i)) + np.repeat(begin[at:to] - before[at:to] + before[at], left[at:to])
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +284,12 @@ def _near(index: DataFrame) -> DataFrame:
             words, counts, asks = words.take(pa.array(some)), counts.take(pa.array(some)), asks[some]
             words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
             numbers, bounds = letters(words)
+            held = letter_sets(numbers, bounds)
             for i, j in pairs(lead, asks):
-                if not len(i):
+                alike = np.flatnonzero(np.bitwise_count(held[i] ^ held[j]) <= 2)
+                if not len(alike):
                     continue
+                i, j = i[alike], j[alike]
                 near = one_edit(numbers, bounds, i, j)
                 for x, y in ((i[near], j[near]), (j[near], i[near])):
                     x, y = pa.array(x), pa.array(y)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from attestra.llm import collocations, ngram_join, oracles, spelling, stars
+from attestra.llm import collocations, ngram_join, oracles, spelling
 from attestra.llm.common import table, text_buffer
 
 from .conftest import DATA
@@ -167,8 +167,8 @@ def test_join_of_near_copies(spark):
 
 def test_join_in_blocks(spark, monkeypatch):
     """A group that is compared block by block, and one column that many unlike rows have."""
-    monkeypatch.setattr(stars, "BLOCK", 8)
-    monkeypatch.setattr(stars, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
     r = random.Random(3)
     rows = near_copies(3, 3, 60)
     rows += [(1000 + i, f"same old words {' '.join(f'u{r.randrange(30)}' for _ in range(r.randint(0, 4)))}") for i in range(120)]
@@ -209,6 +209,47 @@ def test_folded_rows_bound_overlaps():
         assert not (linked & ~found).any()
 
 
+@pytest.mark.parametrize("columns", [64, 1 << 16])
+def test_product_of_blocks(monkeypatch, columns):
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    r = np.random.default_rng(9)
+    base = [r.integers(0, 1 << 64, 200, np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[: 200 - int(k)], r.integers(0, 1 << 64, int(r.integers(0, 14)), np.uint64)])) for b in base for k in r.integers(0, 20, 15)] + [base[0][:1]]
+    apart = r.integers(0, 2, len(sets))
+    for blocks in (None, apart):
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (blocks is None or blocks[i] != blocks[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+        got = ngram_join.product(*ngram_join._laid(sets), blocks, 90)
+        assert set(got) <= want and 0 < len(got) < len(sets)
+
+        def joined(links):
+            root = list(range(len(sets)))
+            for _ in sets:
+                for i, j in links:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        assert joined(got) == joined(want)
+
+
+def test_walk_finds_all_that_may_be_linked():
+    r = np.random.default_rng(4)
+    place = r.random(80)
+    likely = lambda a, _, b, __: np.abs(a[:, 0] - b[:, 0]) < 0.02
+    root, apart = r.integers(0, 12, 80), r.integers(0, 2, 80)
+    for blocks in (None, apart):
+        links = [(i, j) for i, found in ngram_join.reached(place[:, None], np.ones(80), root, blocks, likely) for j in found.tolist()]
+        want = [(i, j) for i in range(80) for j in range(80) if abs(place[i] - place[j]) < 0.02 and root[i] != root[j] and (blocks is None or blocks[i] != blocks[j])]
+
+        def joined(pairs):
+            at = list(range(80))
+            for _ in range(80):
+                for i, j in pairs:
+                    at[i] = at[j] = min(at[i], at[j])
+            return at
+
+        assert joined(links) == joined(want)
+
+
 def test_counters_add_up_in_steps(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TOGETHER", 2)
     docs = table(spark, DATA, "documents").select("doc_id", "text").repartition(9)
