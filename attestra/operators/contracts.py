@@ -12,6 +12,11 @@ WHERE_FIELDS, WHERE_MOST = ["where", "why", "note", "evidence"], 150
 #: Names under which a framework is asked for. Fixed values.
 FRAMEWORKS = {"MGF_Agentic": "MGF Agentic", "ISO42001": "ISO 42001", "NIST_AI_RMF": "NIST AI RMF"}
 LEVELS = ["none", "partial", "full"]
+#: How cells are written: the fields of a play's header, the ids of test steps and of elements, an element's
+#: scope, and where a requirement's sentences and clauses end. Fixed values.
+HEADER_FIELDS = ["Trigger", "Frequency", "Owner", "Exit gate"]
+STEP_ID, ELEMENT_ID, SCOPE = r"^[DO]\d+", r"^e\d+\.", r"\s\[([^\]]+)\]$"
+SENTENCE_END, CLAUSE_END, LEAST_CLAUSE = r"(?<=[.;])\s+", r",\s+and\s+|,\s+(?=which\b|that\b)", 12
 
 
 def squeezed(c: Column) -> Column:
@@ -24,9 +29,11 @@ def bare_id(c: Column) -> Column:
 
 
 def header_field(header: Column, name: str) -> Column:
-    """What a play's header says after a field's name, up to the next field."""
-    found = F.regexp_extract(F.coalesce(header, F.lit("")), rf"(?is){name}\s*[—–:-]+\s*(.+?)(?=\s*\|\s*(?:Trigger|Frequency|Owner|Exit gate)|$)", 1)
-    return squeezed(found)
+    """What a play's header says after a field's name: of the parts that bars divide, the first that begins with or holds it; a bar before no field divides nothing."""
+    fields = "|".join(HEADER_FIELDS)
+    parts = F.split(F.coalesce(header, F.lit("")), rf"(?i)\s*\|\s*(?={fields})")
+    said = F.filter(F.transform(parts, lambda x: F.split(x, rf"(?i){name}\s*[—–:-]+", 2)), lambda x: (F.size(x) == 2) & (F.trim(x[1]) != ""))
+    return F.coalesce(squeezed(F.get(said, F.lit(0))[1]), F.lit(""))
 
 
 def lines_of(c: Column) -> Column:
@@ -39,17 +46,34 @@ def items_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;\n•]+"), lambda x: F.regexp_replace(x, "^[ -]+|[ -]+$", "")), lambda x: x != "")
 
 
+def _told(line: Column, number: Column, mark: str, letter: str) -> tuple[Column, Column]:
+    """The id that a line begins with, or one by its number, and what the line says after it."""
+    own = F.regexp_extract(line, mark, 0)
+    rest = F.when(own != "", F.ltrim(F.substr(line, F.length(own) + 1))).otherwise(line)
+    return F.when(own != "", F.rtrim(F.translate(own, ".", ""))).otherwise(F.concat(F.lit(letter), number + 1)), rest
+
+
 def step_list(c: Column) -> Column:
     """id, text of a cell's test steps, one a line: D1 or O2 before it is its id, else s and its number."""
-    first = lambda x, i: F.regexp_extract(x, r"^([DO]\d+)[.:]?\s*(.*)", i)
-    return F.transform(lines_of(c), lambda x, i: F.when(first(x, 1) != "", F.struct(first(x, 1).alias("id"), F.trim(first(x, 2)).alias("text"))).otherwise(F.struct(F.concat(F.lit("s"), i + 1).alias("id"), x.alias("text"))))
+
+    def step(line: Column, i: Column) -> Column:
+        own, rest = _told(line, i, STEP_ID, "s")
+        return F.struct(own.alias("id"), F.when(F.startswith(own, F.lit("s")), rest).otherwise(F.trim(F.regexp_replace(rest, "^[.:]", ""))).alias("text"))
+
+    return F.transform(lines_of(c), step)
 
 
 def element_list(c: Column) -> Column:
-    """id, text, scope of a cell's elements, one a line: `e1. text [scope]`."""
-    part = lambda x, i: F.regexp_extract(x, r"(?i)^(e\d+)\.\s*(.*?)(?:\s+\[([^\]]+)\])?$", i)
-    given = lambda x, i: F.struct(F.when(part(x, 1) != "", part(x, 1)).otherwise(F.concat(F.lit("e"), i + 1)).alias("id"), F.trim(F.when(part(x, 1) != "", part(x, 2)).otherwise(x)).alias("text"), F.when(part(x, 3) != "", part(x, 3)).otherwise("model").alias("scope"))
-    return F.transform(lines_of(c), given)
+    """id, text, scope of a cell's elements, one a line: `e1. text [scope]`. A line without an id has the scope `model`."""
+
+    def element(line: Column, i: Column) -> Column:
+        marked = line.rlike("(?i)" + ELEMENT_ID)
+        own, rest = _told(line, i, "(?i)" + ELEMENT_ID, "e")
+        scope = F.when(marked, F.regexp_extract(line, SCOPE, 1)).otherwise("")
+        text = F.when(scope != "", F.regexp_replace(rest, SCOPE, "")).otherwise(rest)
+        return F.struct(own.alias("id"), F.trim(text).alias("text"), F.when(scope != "", scope).otherwise("model").alias("scope"))
+
+    return F.transform(lines_of(c), element)
 
 
 def boundary_text(none: Column, partial: Column, full: Column) -> Column:
@@ -59,12 +83,12 @@ def boundary_text(none: Column, partial: Column, full: Column) -> Column:
 
 
 def requirement_parts(c: Column) -> Column:
-    """Sentences and clauses of a requirement that have at least 12 characters; the whole if there are none."""
+    """Sentences and clauses of a requirement, of LEAST_CLAUSE characters or more; the whole if there are none."""
     text = squeezed(c)
-    sentences = F.split(F.regexp_replace(text, r"([.;])\s+", "$1\n"), "\n")
-    clauses = F.flatten(F.transform(sentences, lambda s: F.split(s, r",\s+and\s+|,\s+(?=which\b|that\b)")))
-    parts = F.filter(F.transform(clauses, lambda x: F.regexp_replace(x, "^[ ,.;]+|[ ,.;]+$", "")), lambda x: F.length(x) >= 12)
-    return F.when(F.size(parts) > 0, parts).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    clauses = F.flatten(F.transform(F.split(text, SENTENCE_END), lambda s: F.split(s, CLAUSE_END)))
+    bare = F.transform(clauses, lambda x: F.btrim(x, F.lit(" ,.;")))
+    long = F.filter(bare, lambda x: F.length(x) >= LEAST_CLAUSE)
+    return F.when(F.size(long) > 0, long).otherwise(F.filter(F.array(text), lambda x: x != ""))
 
 
 def artefact_names(c: Column) -> Column:

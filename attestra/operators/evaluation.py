@@ -84,6 +84,27 @@ def incumbent(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("run_at"), F.desc("run_id")).limit(1)
 
 
+def compared_runs(runs: DataFrame) -> DataFrame:
+    """case_id, corpus_sha, run_id, incumbent_agree, challenger_agree, quarantined, regressed of the newest run's cases.
+
+    runs: run_id, run_at, corpus_sha, case_id, run_index, want, got; got is null where there was no answer. A case
+    whose answers differ between repetitions is quarantined: it neither agrees nor regresses. The incumbent is
+    the newest earlier run of the same corpus; without one nothing has regressed.
+    """
+    answer = F.coalesce("got", F.lit(""))
+    cases = runs.groupBy("run_id", "run_at", "corpus_sha", "case_id").agg(F.count_distinct(answer).alias("_n"), F.bool_and(F.coalesce(F.col("got") == F.col("want"), F.lit(False))).alias("_agree"))
+    cases = cases.select("run_id", "run_at", "corpus_sha", "case_id", (F.col("_n") > 1).alias("quarantined"), ((F.col("_n") == 1) & F.col("_agree")).alias("agree"))
+    newest = runs.agg(F.max(F.struct("run_at", "run_id", "corpus_sha")).alias("x")).select("x.*")
+    now = cases.join(F.broadcast(newest), ["run_at", "run_id", "corpus_sha"], "left_semi")  # one row
+    earlier = cases.join(F.broadcast(newest.select("corpus_sha", F.struct("run_at", "run_id").alias("_newest"))), "corpus_sha").where(F.struct("run_at", "run_id") < F.col("_newest"))
+    # of each case, the answer in the newest earlier run of this corpus, if that run had it
+    last = earlier.agg(F.max(F.struct("run_at", "run_id")).alias("x")).select("x.*")
+    prior = earlier.join(F.broadcast(last), ["run_at", "run_id"], "left_semi").select("case_id", F.col("agree").alias("incumbent_agree"))  # one row
+    rows = now.join(prior, "case_id", "left")
+    lost = F.coalesce(F.col("incumbent_agree") & ~F.col("agree") & ~F.col("quarantined"), F.lit(False))
+    return rows.select("case_id", "corpus_sha", "run_id", "incumbent_agree", F.col("agree").alias("challenger_agree"), "quarantined", lost.alias("regressed"))
+
+
 def status(scored: Column, least: int, stale: Column) -> Column:
     return F.when(stale | (scored < least), "NOT_TESTABLE").otherwise("SCORED")
 

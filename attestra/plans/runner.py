@@ -8,11 +8,11 @@ from functools import reduce
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions.exprs import SEVERITY_RANK
-from attestra.operators.checks import CHECKS, fixed
+from attestra.operators.checks import CHECKS, fixed, fused
 from attestra.plans.catalog import Catalog
 
 FREQUENCIES = ("on_commit", "on_deploy", "daily", "weekly", "monthly", "quarterly")
@@ -68,25 +68,36 @@ def due(controls: list[dict], trigger: str) -> list[dict]:
     return [c for c in controls if c["frequency"] in RUNS[trigger]]
 
 
+def _named(control: dict, floor: int) -> list[Column]:
+    return [F.lit(control["id"]).alias("control_id"), F.lit(control.get("severity", "medium")).alias("severity"), F.lit(control["frequency"]).alias("frequency"), F.lit(control["check"]).alias("check_name"), F.lit(floor).alias("floor")]
+
+
 def run_controls(catalog: Catalog, controls: list[dict], policy: dict, as_of: str, trigger: str = "manual") -> DataFrame:
-    """A row for each control that is due: all of them are one plan.
+    """A row for each control that is due: all of them are one plan, in which controls of one source are one aggregate.
 
     A PASS over a smaller population than its floor becomes NOT_TESTABLE; a FAIL stays. A control
-    that can't be planned is NOT_TESTABLE and stops no other.
+    that can't be planned is NOT_TESTABLE and stops no other. A control may have an as_of of its own.
     """
-    rows = []
-    for c in due(controls, trigger):
+    together: dict[str, list] = {}
+    alone = []
+    for i, c in enumerate(due(controls, trigger)):
+        named = _named(c, floor_of(c, policy))
         try:
-            result = CHECKS[c["check"]](catalog, bind(c["params"], policy), as_of).result
+            found = CHECKS[c["check"]](catalog, bind(c["params"], policy), c.get("as_of", as_of), f"_{i}")
+            found.result.schema  # noqa: B018  analysis happens here, before it is put together with others
+            if found.part is not None:
+                together.setdefault(found.part.source, []).append((found.part, named))
+            else:
+                alone.append(found.result.select(*named, "*"))
         except Exception as e:  # noqa: BLE001
-            result = fixed(catalog.spark, "NOT_TESTABLE", f"{type(e).__name__}: {str(e)[:160]}")
-        floor = floor_of(c, policy)
-        low = (F.col("verdict") == "PASS") & (F.col("in_scope") < floor)
-        detail = F.when(low, F.format_string(f"only %d were in scope, the floor is {floor}; %s", "in_scope", "detail")).otherwise(F.col("detail"))
-        rows.append(result.select(F.lit(c["id"]).alias("control_id"), F.lit(c.get("severity", "medium")).alias("severity"), F.lit(c["frequency"]).alias("frequency"), F.lit(c["check"]).alias("check_name"), F.when(low, "NOT_TESTABLE").otherwise(F.col("verdict")).alias("verdict"), detail.alias("detail"), "examined", "in_scope", "n_findings", F.lit(floor).alias("floor")))
+            alone.append(fixed(catalog.spark, "NOT_TESTABLE", f"{type(e).__name__}: {str(e)[:160]}").select(*named, "*"))
+    rows = [fused(catalog, parts) for parts in together.values()] + alone
     if not rows:
         return catalog.spark.createDataFrame([], "control_id string, severity string, frequency string, check_name string, verdict string, detail string, examined long, in_scope long, n_findings long, floor int")
-    return reduce(DataFrame.unionByName, rows)
+    results = reduce(DataFrame.unionByName, rows)
+    low = (F.col("verdict") == "PASS") & (F.col("in_scope") < F.col("floor"))
+    detail = F.when(low, F.format_string("only %d were in scope, the floor is %d; %s", "in_scope", "floor", "detail")).otherwise(F.col("detail"))
+    return results.select("control_id", "severity", "frequency", "check_name", F.when(low, "NOT_TESTABLE").otherwise(F.col("verdict")).alias("verdict"), detail.alias("detail"), "examined", "in_scope", "n_findings", "floor")
 
 
 def excepted(exceptions: DataFrame, controls: list[dict], policy: dict, today: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,40 +69,53 @@ def last_seen(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_run")).withColumn("max_days", 1 + F.col("user_id") % 7)
 
 
-#: name: (check, as_of, sources, params, SQL)
-SPECS: dict[str, tuple] = {
+#: Sources by name, of all checks below: what several of them ask about is read once in a pack.
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "orders": lambda s, d: table(s, d, "orders").select("*", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("state"), (F.col("o_custkey") % 2 == 0).alias("o_custkey_even"), F.expr("o_orderdate + INTERVAL 365 DAYS").alias("expires_on"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("owner")),
+    "spans": order_ends,
+    "lineitem": lambda s, d: table(s, d, "lineitem"),
+    "months": monthly,
+    "customer": lambda s, d: table(s, d, "customer").select("*", (F.col("c_nationkey") % 5).alias("region"), (F.col("c_custkey") % 7).alias("who")),
+    "members": lambda s, d: table(s, d, "customer").where("c_custkey % 3 <> 0"),
+    "supplier": lambda s, d: table(s, d, "supplier").withColumn("who", F.col("s_suppkey") % 7),
+    "nation": lambda s, d: table(s, d, "nation"),
+    "part": lambda s, d: table(s, d, "part").withColumn("pinned", F.col("p_size") <= 25),
+    "events": lambda s, d: table(s, d, "events").withColumn("failed", F.col("event_type") == "error"),
+    "days": daily_errors,
+    "users": last_seen,
+    "views": lambda s, d: table(s, d, "events").where("event_type = 'view'"),
+    "purchases": lambda s, d: table(s, d, "events").where("event_type = 'purchase'"),
+}
+
+#: name: (check, as_of, params, SQL)
+SPECS: dict[str, tuple[str, str, dict, str]] = {
     "check_field_present": (
         "field_present",
         ORDERS_AS_OF,
-        lambda s, d: {"orders": table(s, d, "orders").withColumn("state", F.nullif(F.col("o_orderstatus"), F.lit("P")))},
         {"source": "orders", "fields": ["state", "o_orderpriority"], "where": {"field": "o_custkey_even", "equals": True}},
         verdict_sql("SELECT count(*) n, count(*) FILTER (WHERE o_custkey % 2 = 0) s, count(*) FILTER (WHERE o_custkey % 2 = 0 AND (o_orderstatus = 'P' OR o_orderpriority IS NULL OR o_orderpriority = '')) f FROM orders"),
     ),
     "check_field_equals": (
         "field_equals",
         ORDERS_AS_OF,
-        lambda s, d: {"customer": table(s, d, "customer").withColumn("region", F.col("c_nationkey") % 5), "nation": table(s, d, "nation")},
         {"left": {"source": "customer", "field": "region"}, "right": {"source": "nation", "field": "n_regionkey"}, "join": {"left_key": "c_nationkey", "right_key": "n_nationkey"}},
         verdict_sql("SELECT count(*) n, count(*) s, count(*) FILTER (WHERE n_nationkey IS NULL OR c_nationkey % 5 IS DISTINCT FROM n_regionkey) f FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     ),
     "check_values_subset": (
         "values_subset",
         EVENTS_AS_OF,
-        lambda s, d: {"events": table(s, d, "events"), "customer": table(s, d, "customer").where("c_custkey % 3 <> 0")},
-        {"subset": {"source": "events", "field": "user_id"}, "superset": {"source": "customer", "field": "c_custkey"}},
+        {"subset": {"source": "events", "field": "user_id"}, "superset": {"source": "members", "field": "c_custkey"}},
         verdict_sql("SELECT count(*) n, count(*) s, count(*) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)) f FROM events"),
     ),
     "check_timestamp_before": (
         "timestamp_before",
         ORDERS_AS_OF,
-        lambda s, d: {"orders": table(s, d, "orders"), "lineitem": table(s, d, "lineitem")},
         {"earlier": {"source": "orders", "field": "o_orderdate"}, "later": {"source": "lineitem", "field": "l_shipdate"}, "join": {"left_key": "o_orderkey", "right_key": "l_orderkey"}},
         verdict_sql("SELECT count(*) n, count(*) s, count(*) FILTER (WHERE l_shipdate IS NULL OR m IS NULL OR m >= l_shipdate) f FROM lineitem LEFT JOIN (SELECT o_orderkey, min(o_orderdate) m FROM orders GROUP BY 1) ON l_orderkey = o_orderkey"),
     ),
     "check_within_tolerance": (
         "within_tolerance",
         ORDERS_AS_OF,
-        lambda s, d: {"months": monthly(s, d)},
         {"source": "months", "order_by": "month", "metrics": {"discount": {"max_drop": 0.0001, "max_rise": 0.0001}, "quantity": {"max_rise": 0.1}, "tax": {"max_drop": 0.5}}},
         verdict_sql(
             "WITH m AS (SELECT date_trunc('month', l_shipdate) mo, avg(l_discount) d, avg(l_quantity) q, avg(l_tax) t FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY mo DESC) k, count(*) OVER () n FROM m), p AS (SELECT max(n) n, max(d) FILTER (WHERE k = 1) d1, max(d) FILTER (WHERE k = 2) d2, max(q) FILTER (WHERE k = 1) q1, max(q) FILTER (WHERE k = 2) q2, max(t) FILTER (WHERE k = 1) t1, max(t) FILTER (WHERE k = 2) t2 FROM r) SELECT n, least(n, 2) s, CAST(d2 - d1 > 0.0001 AS INT) + CAST(d1 - d2 > 0.0001 AS INT) + CAST(q1 - q2 > 0.1 AS INT) + CAST(t2 - t1 > 0.5 AS INT) f FROM p"
@@ -112,87 +124,85 @@ SPECS: dict[str, tuple] = {
     "check_identity_disjoint": (
         "identity_disjoint",
         ORDERS_AS_OF,
-        lambda s, d: {"customer": table(s, d, "customer").withColumn("who", F.col("c_custkey") % 7), "supplier": table(s, d, "supplier").withColumn("who", F.col("s_suppkey") % 7)},
         {"left": {"source": "customer", "field": "who"}, "right": {"source": "supplier", "field": "who"}, "join": {"left_key": "c_nationkey", "right_key": "s_nationkey"}},
         verdict_sql("SELECT (SELECT count(*) FROM customer) n, count(*) s, count(*) FILTER (WHERE c_custkey % 7 = s_suppkey % 7) f FROM customer JOIN supplier ON c_nationkey = s_nationkey"),
     ),
     "check_date_not_passed": (
         "date_not_passed",
         ORDERS_AS_OF,
-        lambda s, d: {"orders": table(s, d, "orders").withColumn("expires_on", F.expr("o_orderdate + INTERVAL 365 DAYS")).withColumn("owner", F.nullif(F.col("o_orderstatus"), F.lit("P")))},
         {"source": "orders", "field": "expires_on", "require_fields": ["owner"], "where": {"field": "o_orderpriority", "equals": "1-URGENT"}},
         verdict_sql("SELECT count(*) n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') s, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND (o_orderdate + INTERVAL 365 DAY < TIMESTAMP '2001-12-01' OR o_orderstatus = 'P')) f FROM orders"),
     ),
     "check_all_pinned": (
         "all_pinned",
         ORDERS_AS_OF,
-        lambda s, d: {"part": table(s, d, "part").withColumn("pinned", F.col("p_size") <= 25)},
         {"source": "part"},
         verdict_sql("SELECT count(*) n, count(*) s, count(*) FILTER (WHERE NOT p_size <= 25) f FROM part"),
     ),
     "check_elapsed_most_recent": (
         "elapsed_within",
         EVENTS_AS_OF,
-        lambda s, d: {"events": table(s, d, "events")},
         {"source": "events", "field": "ts", "max_days": 1, "mode": "most_recent"},
         verdict_sql(f"SELECT count(*) n, count(ts) s, CAST(greatest(0, {days_sql("TIMESTAMP '2024-02-01'", 'max(ts)')}) > 1 AS INT) f FROM events"),
     ),
     "check_elapsed_each": (
         "elapsed_within",
         ORDERS_AS_OF,
-        lambda s, d: {"orders": order_ends(s, d)},
-        {"source": "orders", "start_field": "started", "end_field": "ended", "max_days": 120, "mode": "each"},
+        {"source": "spans", "start_field": "started", "end_field": "ended", "max_days": 120, "mode": "each"},
         verdict_sql(f"SELECT count(*) n, count(*) s, count(*) FILTER (WHERE CASE WHEN e IS NULL THEN {days_sql("TIMESTAMP '2001-12-01'", 'o_orderdate')} ELSE {days_sql('e', 'o_orderdate')} END > 120) f FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) e FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"),
     ),
     "check_threshold_met": (
         "threshold_met",
         EVENTS_AS_OF,
-        lambda s, d: {"days": daily_errors(s, d)},
         {"source": "days", "order_by": "day", "field": "share", "max": 0.2},
         verdict_sql("WITH d AS (SELECT date_trunc('day', ts) t, avg(CAST(event_type = 'error' AS INT)) x FROM events GROUP BY 1) SELECT count(*) n, least(1, count(*)) s, CAST(arg_max(x, t) > 0.2 AS INT) f FROM d"),
     ),
     "check_record_count": (
         "record_count",
         ORDERS_AS_OF,
-        lambda s, d: {"lineitem": table(s, d, "lineitem")},
         {"source": "lineitem", "where": {"field": "l_returnflag", "equals": "R"}, "max": 100},
         verdict_sql("SELECT count(*) n, count(*) s, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 100 THEN count(*) FILTER (WHERE l_returnflag = 'R') ELSE 0 END f FROM lineitem"),
     ),
     "check_recency_each": (
         "recency_each",
         EVENTS_AS_OF,
-        lambda s, d: {"users": last_seen(s, d)},
         {"source": "users", "field": "last_run", "max_days_field": "max_days"},
         verdict_sql(f"SELECT count(*) n, count(*) s, count(*) FILTER (WHERE {days_sql("TIMESTAMP '2024-02-01'", 'm')} > 1 + user_id % 7) f FROM (SELECT user_id, max(ts) m FROM events GROUP BY 1)"),
     ),
     "check_preceded_within": (
         "preceded_within",
         EVENTS_AS_OF,
-        lambda s, d: {"views": table(s, d, "events").where("event_type = 'view'"), "purchases": table(s, d, "events").where("event_type = 'purchase'")},
         {"earlier": {"source": "views", "field": "ts"}, "later": {"source": "purchases", "field": "ts"}, "max_days": 1},
         verdict_sql(f"WITH p AS (SELECT a.ts, b.ts b FROM (SELECT ts FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'view') b ON a.ts >= b.ts) SELECT count(*) n, count(*) s, count(*) FILTER (WHERE b IS NULL OR {days_sql('ts', 'b')} > 1) f FROM p"),
     ),
     "check_rate_within": (
         "rate_within",
         EVENTS_AS_OF,
-        lambda s, d: {"events": table(s, d, "events").withColumn("failed", F.col("event_type") == "error")},
         {"source": "events", "field": "failed", "date_field": "ts", "since_days": 7, "max": 0.15, "min_records": 5},
         verdict_sql("SELECT count(*) n, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') s, CASE WHEN count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') >= 5 AND count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25' AND event_type = 'error') * 1.0 / count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') > 0.15 THEN 1 ELSE 0 END f FROM events"),
     ),
 }
 
 
-def _sources(name: str, spark: SparkSession, d: str) -> Catalog:
+def _asked(params: object) -> set[str]:
+    """The sources that params name."""
+    if not isinstance(params, dict):
+        return set()
+    return ({params["source"]} if "source" in params else set()).union(*map(_asked, params.values()))
+
+
+def _sources(names: list[str], spark: SparkSession, d: str) -> Catalog:
+    """A catalog of what some checks ask about."""
     catalog = Catalog(spark)
-    for source, df in SPECS[name][2](spark, d).items():
-        catalog.add(source, df.withColumn("o_custkey_even", F.col("o_custkey") % 2 == 0) if "o_custkey" in df.columns else df)
+    for source in sorted(set().union(*(_asked(SPECS[n][2]) for n in names))):
+        catalog.add(source, SOURCES[source](spark, d))
     return catalog
 
 
 def _add_checks() -> None:
-    for name, (kind, as_of, _, params, sql) in SPECS.items():
+    for name, (kind, as_of, params, sql) in SPECS.items():
         def run(spark: SparkSession, d: str, name=name, kind=kind, as_of=as_of, params=params) -> DataFrame:
-            return CHECKS[kind](_sources(name, spark, d), params, as_of).result.select(*SHORT)
+            return CHECKS[kind](_sources([name], spark, d), params, as_of).result.select(*SHORT)
 
         run.__name__ = name
         query(sql)(run)
@@ -203,19 +213,15 @@ _add_checks()
 #: (control, check above, severity, floor)
 PACK = [(f"CTL-{i:02d}", name, ("low", "medium", "high", "critical")[i % 4], (0, 1, 1000, 10_000_000)[i % 4]) for i, name in enumerate(SPECS)]
 _FLOOR = "CASE WHEN verdict = 'PASS' AND in_scope < {1} THEN 'NOT_TESTABLE' ELSE verdict END"
-PACK_SQL = " UNION ALL ".join(f"SELECT '{c}' AS control_id, '{sev}' AS severity, {_FLOOR.format('', floor)} AS verdict, examined, in_scope, n_findings FROM ({SPECS[name][4]})" for c, name, sev, floor in PACK)
+PACK_SQL = " UNION ALL ".join(f"SELECT '{c}' AS control_id, '{sev}' AS severity, {_FLOOR.format('', floor)} AS verdict, examined, in_scope, n_findings FROM ({SPECS[name][3]})" for c, name, sev, floor in PACK)
 
 
 def pack(spark: SparkSession, d: str) -> DataFrame:
-    """All checks above and one whose source is missing, as one plan."""
-    parts = []
-    for control, name, severity, floor in PACK:
-        policy = {"evidence_floor": {"overrides": {control: floor}}}
-        one = {"id": control, "check": SPECS[name][0], "params": SPECS[name][3], "frequency": "on_commit", "severity": severity}
-        parts.append(runner.run_controls(_sources(name, spark, d), [one], policy, SPECS[name][1]))
+    """All checks above and one whose source is missing, as one plan that aggregates each source once."""
+    policy = {"evidence_floor": {"overrides": {control: floor for control, _, _, floor in PACK}}}
+    controls = [{"id": control, "check": SPECS[name][0], "params": SPECS[name][2], "as_of": SPECS[name][1], "frequency": "on_commit", "severity": severity} for control, name, severity, _ in PACK]
     gone = {"id": "CTL-99", "check": "record_count", "params": {"source": "absent", "max": 0}, "frequency": "on_commit", "severity": "high"}
-    parts.append(runner.run_controls(Catalog(spark), [gone], {}, ORDERS_AS_OF))
-    return reduce(DataFrame.unionByName, parts)
+    return runner.run_controls(_sources(list(SPECS), spark, d), [*controls, gone], policy, ORDERS_AS_OF)
 
 
 PACK_SQL += " UNION ALL SELECT 'CTL-99', 'high', 'NOT_TESTABLE', 0, 0, 0"
@@ -238,7 +244,7 @@ def gate_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN m IS NULL THEN 'no earlier record' ELSE 'earlier record not before later' END AS reason, CAST(count(*) AS BIGINT) AS n FROM lineitem LEFT JOIN (SELECT o_orderkey, min(o_orderdate) m FROM orders GROUP BY 1) ON l_orderkey = o_orderkey WHERE m IS NULL OR m >= l_shipdate GROUP BY ALL")
 def findings_timestamp_before(spark: SparkSession, d: str) -> DataFrame:
-    found = CHECKS["timestamp_before"](_sources("check_timestamp_before", spark, d), SPECS["check_timestamp_before"][3], ORDERS_AS_OF).findings
+    found = CHECKS["timestamp_before"](_sources(["check_timestamp_before"], spark, d), SPECS["check_timestamp_before"][2], ORDERS_AS_OF).findings
     return found.groupBy("l_orderkey", "l_linenumber", F.col("_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -637,3 +643,5 @@ def register_audit(spark: SparkSession, d: str) -> DataFrame:
 
 import attestra.registry_contracts  # noqa: E402, F401  add their queries to those above
 import attestra.registry_registers  # noqa: E402, F401
+import attestra.registry_records  # noqa: E402, F401
+import attestra.registry_search  # noqa: E402, F401

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import exprs as E
+from attestra.operators.carry import carried
 from attestra.operators.text import windows
 from attestra.plans.catalog import Catalog
 
@@ -312,14 +313,12 @@ def exception_status(register: DataFrame, required: list[str], max_days: int, to
     return rows.withColumn("ok", F.col("complete") & F.col("within_max_life"))
 
 
-def plays(rows: DataFrame) -> DataFrame:
-    """Steps of a sheet (ordinal, head, text) with the play above them: rows whose head is PLAY n begin one."""
-    from pyspark.sql import Window
-
+def plays(rows: DataFrame, block: int = 10_000) -> DataFrame:
+    """Steps of a sheet (ordinal, head, text) with the play above them: rows whose head is PLAY n begin one. A task sorts `block` rows at most."""
     number = F.regexp_extract("head", r"(?i)^\s*PLAY\s+(\d+)", 1)
     marked = rows.withColumn("_play", F.when(number != "", number))
-    above = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)  # a sheet, which is small
-    return marked.withColumn("play", F.last("_play", ignorenulls=True).over(above)).where("_play IS NULL AND play IS NOT NULL").drop("_play")
+    filled = carried(marked, ["ordinal"], F.col("_play"), F.floor(F.col("ordinal") / block), "play")
+    return filled.where("_play IS NULL AND play IS NOT NULL").drop("_play")
 
 
 def control_references(rows: DataFrame, column: str) -> DataFrame:

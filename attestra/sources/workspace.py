@@ -12,13 +12,17 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.operators import registers
+from attestra.operators import evaluation, registers
+from attestra.plans import runner
 from attestra.plans.catalog import Catalog
-from attestra.sources import readers
+from attestra.sources import commits, readers
 
 #: Where a workspace keeps its records, and what a program's default provider looks like. Fixed values.
 RECORDS = {"ticket_export": "governance/tickets.csv", "model_registry": "governance/model_registry.csv", "exception_register": "governance/exceptions.csv", "eval_results": "governance/eval_results.json", "rollback_log": "governance/rollback_log.csv"}
 POLICY, HISTORY, DEPLOYED, COMPONENTS, USE_CASES, DECISIONS = "policy/ai-lifecycle.yaml", "policy/history.csv", "deploy.yml", "governance/uc_components.csv", "governance/use_cases.json", "governance/step_decisions.jsonl"
+RUNS, LOG = "governance/eval_runs.jsonl", "governance/git_log.txt"
+#: Where a policy names the paths that a commit must not touch together. Fixed values.
+APART = ["evaluation.promotion.assessor_input_paths", "evaluation.promotion.corpus_paths"]
 PROGRAM, PROVIDER = "assessor.py", r"""ASSESSOR_PROVIDER["']?\s*,\s*["'](\w+)["']"""
 
 
@@ -157,7 +161,23 @@ def catalog(spark: SparkSession, target: str, today: str, environment: str | Non
     def labelled() -> DataFrame:
         return registers.matrix_cells(matrices(spark, corpus or at("eval/corpus")))
 
+    def compared() -> DataFrame:
+        rows = spark.read.schema("run_id string, run_at string, corpus_sha string, case_id string, run_index int, want string, got string").json(_there(at(RUNS)))
+        return evaluation.compared_runs(rows)
+
+    def committed() -> DataFrame:
+        found = runner.resolve(policy(), "golden_state") or {}
+        rules = found.get("governed_paths") or []
+        return commits.git_log(spark, _there(at(LOG)), [str(p) for p in rules])
+
+    def ranged() -> DataFrame:
+        first, second = ([str(p) for p in runner.resolve(policy(), path) or []] for path in APART)
+        return commits.commit_range(committed(), None, None, first, second)
+
     for name, read in {
+        "eval_runs": compared,
+        "git_log": committed,
+        "commit_range": ranged,
         "deploy_manifest": deployed,
         "lock_file": lambda: readers.lock_file(spark, _there(at("requirements.txt"))),
         "runtime_config": configured,

@@ -2,11 +2,9 @@ from __future__ import annotations
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import contracts, evaluation
-from attestra.plans import review, runner
 from attestra.sources import readers
 
 
@@ -46,33 +44,6 @@ def test_contracts(spark):
     assert {(r.query_id, r.text) for r in contracts.query_text(controls).collect()} == {("M1", "Owners Name them"), ("M2", "Logs Keep them")}
 
 
-def test_signatures(spark):
-    results = spark.createDataFrame([("A", "FAIL"), ("B", "PASS")], "control_id string, verdict string")
-    made = runner.bundle(results, {"run_at": "now"})
-    signed = review.signed(made, "A", " ann ", "ACCEPT", "2026-01-01", "because")
-    assert runner.intact(signed) and signed["results"][0]["human_verdict"]["reviewer"] == "ann" and "human_verdict" not in made["results"][0]
-    assert review.unsigned(signed, "A")["results"][0]["human_verdict"] is None and runner.intact(review.unsigned(signed, "A"))
-    for change in ({"disposition": "fine"}, {"reviewer": " "}, {"control_id": "Z"}):
-        with pytest.raises((ValueError, KeyError)):
-            review.signed(**({"bundle": made, "control_id": "A", "reviewer": "ann", "disposition": "ACCEPT", "at": "now"} | change))
-    made["results"][0]["verdict"] = "PASS"
-    with pytest.raises(RuntimeError):
-        review.signed(made, "A", "ann", "ACCEPT", "now")
-    a, b = (review.identity("1", "m", {"x": x, "y": None}) for x in (b"1", b"2"))
-    assert a["assessment_id"] != b["assessment_id"] and a == review.identity("1", "m", {"y": None, "x": b"1"}) | {"artefact_sha256": a["artefact_sha256"]}
-
-
-def test_drafts():
-    current = {"version": "1", "controls": {"A": 1, "B": 2}}
-    made = review.draft(current, {"B": 3, "C": 4}, "Notice", "N1", "2026-01-01")
-    assert made["change_impact"] == {"added": ["C"], "removed": ["A"], "changed": ["B"], "control_count": 2} and review.draft_errors(made) == []
-    assert review.draft_errors(made | {"draft": False, "controls": {}, "regulatory_change": {}})[-2:] == ["a draft has status draft and draft true", "there are no controls"]
-    assert review.promoted(made, "ann", "T1", "2026-02-01")["status"] == "approved"
-    for bad in (("", "T1"), ("ann", "")):
-        with pytest.raises(ValueError):
-            review.promoted(made, *bad, "2026-02-01")
-
-
 def test_reports(spark, tmp_path):
     (tmp_path / "new.jsonl").write_text('not json\n{"entry_type": "eval", "probe": "p", "detector": "d", "total": 5, "passed": 3}\n{"entry_type": "attempt"}\n')
     (tmp_path / "old.jsonl").write_text('{"entry_type": "attempt"}\n{"entry_type": "attempt"}\n')

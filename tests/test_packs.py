@@ -83,7 +83,7 @@ golden_state:
     results = spark.createDataFrame([("M1", "PASS", ["P1.1"]), ("M2", "NOT_TESTABLE", ["P1.9"])], "control_id string, machine_verdict string, play_refs array<string>")
     catalog = workspace.catalog(spark, str(tmp_path), "2026-09-15T00:00:00Z", "Local", results, {"controls": {"M1": {"text": "x"}}})
     status = {r.source: r.status for r in catalog.summary().collect()}
-    assert {k for k, v in status.items() if v != "ok"} == {"rollback_log", "lock_file"} and status["lock_file"] == "missing"
+    assert {k for k, v in status.items() if v != "ok"} == {"rollback_log", "lock_file", "eval_runs", "git_log", "commit_range"} and status["lock_file"] == "missing"
     assert {(r.provider, r.source) for r in catalog.get("runtime_config").collect()} == {("local", "program default"), ("local", "environment"), ("cloud", "deployed v1")}
     assert {(r.provider, r.basis) for r in catalog.get("policy_providers").collect()} == {("local", "policy"), ("cloud", "exception E1")} | {("other", "exception E2")}
     assert {(r.model_id, r.artefact, r.present) for r in catalog.get("artefact_status").collect()} == {("m1", "model_card", True), ("m2", "model_card", True), ("m1", "stress_test_pre_release", True)}
