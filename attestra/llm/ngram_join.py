@@ -3,7 +3,7 @@
 A document's row has its distinct WORDS-word shingles as columns. Rows that have SHARE percent of their
 union in common are linked.
 
-1. Rows of equal columns are one node. Each task counts how many of its rows have a column, in SLOTS counters
+1. Rows of equal columns are one node, told apart by 128-bit digests and named by 64 bits of them (clashes()). Each task counts how many of its rows have a column, in SLOTS counters
    by the column's hash; the sums over all tasks put columns in an order, rare ones first.
 2. A linked row has at least ceil(SHARE n / 100) columns in common with one of n, so two linked rows share
    one of the first n - ceil(SHARE n / 100) + 1 columns of each, and of the smaller one about half as many do.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stars
@@ -43,9 +43,9 @@ from .textvec import BY_SPACE, mix, shingle_sets
 
 WORDS, SHARE = 3, 90
 #: Counters of columns, by the highest bits of their hashes; bits of a folded row.
-SLOTS, OUTLINE = 1 << 20, 2048
+SLOTS, OUTLINE = 1 << 20, 1024
 #: Columns up to which a row is folded whole; of larger ones, those whose highest PART_BITS bits are 0.
-WHOLE, PART_BITS = 2000, 3
+WHOLE, PART_BITS = 1000, 3
 #: Bytes and rows of a block; columns that are multiplied at once.
 BLOCK_BYTES, BLOCK, COLUMNS = 8_000_000, 2048, 1 << 14
 #: Counters that are added up in one place at most.
@@ -147,18 +147,41 @@ def leading(flat: np.ndarray, bounds: np.ndarray, order: np.ndarray, share: int)
     return np.concatenate(keys), np.concatenate([owner[own], owner[fewer]])
 
 
-def _entries(docs: DataFrame, order: np.ndarray, words: int, share: int) -> DataFrame:
+def _id(node: Column | str) -> Column:
+    """The first 64 bits of a digest."""
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
+
+
+def named(nodes: list[bytes], other: dict[bytes, int]) -> list[int]:
+    """The 64-bit names of digests: their first bytes, or what `other` says."""
+    return [other[x] if x in other else int.from_bytes(x[:8], "big", signed=True) for x in nodes]
+
+
+def clashes(nodes: DataFrame) -> dict[bytes, int]:
+    """Other names, from their last 64 bits, of digests that share their first ones.
+
+    Of n nodes about n * n / 2**64 do: none of a billion, some tens of a trillion. Names that clash even so raise an error.
+    """
+    ids = nodes.select("node", _id("node").alias("id"))
+    twice = written(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "clashes")
+    found = {bytes(r.node): int.from_bytes(bytes(r.node)[8:], "big", signed=True) for r in ids.join(few(twice, 16), "id").collect()}
+    if found and (len(set(found.values())) < len(found) or not ids.where(F.col("id").isin(list(found.values()))).isEmpty()):
+        raise ValueError("digests of different texts share both halves")
+    return found
+
+
+def _entries(docs: DataFrame, order: np.ndarray, renamed: dict[bytes, int], words: int, share: int) -> DataFrame:
     """Tasks' entries of columns, as stars.shared() takes them."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def spread(keys: list[np.ndarray], own: list[np.ndarray], names: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not names:
             return
-        bucket, node, name = np.concatenate(keys), np.concatenate(own), pa.array(names, pa.binary())
+        bucket, node, name = np.concatenate(keys), np.concatenate(own), pa.array(named(names, renamed), pa.int64())
         first, other, lead, size = stars.starred(bucket, node)
         for at in range(0, len(first), 20_000):
             s = first[at : at + 20_000]
-            yield _entry(bucket[s], name.take(pa.array(node[s])), pa.nulls(len(s), pa.binary()), pa.nulls(len(s), pa.int32()))
+            yield _entry(bucket[s], name.take(pa.array(node[s])), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int32()))
         for at in range(0, len(other), 20_000):
             s = slice(at, at + 20_000)
             yield _entry(bucket[other[s]], name.take(pa.array(node[other[s]])), name.take(pa.array(node[lead[s]])), pa.array(size[s], pa.int32()))
@@ -182,7 +205,7 @@ def _entries(docs: DataFrame, order: np.ndarray, words: int, share: int) -> Data
                     keys, own, names, seen, held = [], [], [], set(), 0
         yield from spread(keys, own, names)
 
-    return map_arrow(docs.select("text"), run, "bucket long, node binary, u binary, n int")
+    return map_arrow(docs.select("text"), run, "bucket long, node long, u long, n int")
 
 
 def _entry(bucket: np.ndarray, node: pa.Array, u: pa.Array, n: pa.Array) -> pa.RecordBatch:
@@ -223,10 +246,10 @@ def _sifted(pairs: DataFrame, share: int) -> DataFrame:
                 yield part.select([0, 1, 2]).filter(pa.array(likely(stars.matrix(part.column(5)), part.column(3).to_numpy(), stars.matrix(part.column(6)), part.column(4).to_numpy())))
 
     sizes = F.least("sizeu", "sizev").cast("long") * 100 >= F.greatest("sizeu", "sizev").cast("long") * share
-    return map_arrow(pairs.where(sizes).select("u", "v", "s", "sizeu", "sizev", "sketchu", "sketchv"), run, "u binary, v binary, s int")
+    return map_arrow(pairs.where(sizes).select("u", "v", "s", "sizeu", "sizev", "sketchu", "sketchv"), run, "u long, v long, s int")
 
 
-def _whole(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _whole(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, other: dict[bytes, int], words: int) -> DataFrame:
     """node, content (its columns) of the wanted nodes, from a text of each."""
     ids = few(written(nodes.join(wanted, "node", "left_semi").select("doc_id").distinct(), "ids"), 16)
 
@@ -234,10 +257,10 @@ def _whole(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
         for batch in batches:
             for _, _, sets, names in _rows(batch.column(0), words):
                 some = [i for i, x in enumerate(names) if x is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["node", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(named([names[i] for i in some], other), pa.int64()), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["node", "content"])
 
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    return map_arrow(rows, run, "node binary, content binary").groupBy("node").agg(F.first("content").alias("content"))
+    return map_arrow(rows, run, "node long, content binary").groupBy("node").agg(F.first("content").alias("content"))
 
 
 def _contents(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +295,7 @@ def _groups(pairs: DataFrame, sized: DataFrame, share: int) -> DataFrame:
     """node, root of groups outside of which no row has a partner."""
     likely = _likely(share)
     near = _sifted(stars.with_both(written(stars.pairs_of(pairs), "pairs"), sized), share).select("u", "v")
-    roots = components(map_arrow(near, joined, "u binary, v binary"), "groups")
+    roots = components(map_arrow(near, joined, "u long, v long"), "groups")
     held = stars._open(pairs, roots).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").join(sized, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +315,7 @@ def _groups(pairs: DataFrame, sized: DataFrame, share: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(x))) for x in (u, v)], names=["u", "v"])
 
     columns = ["bucket", "lo", "hi", "block", "node", "root", "size", "sketch"]
-    more = map_arrow(stars._blocked(held).select(columns), lambda batches: joined(run(batches)), "u binary, v binary")
+    more = map_arrow(stars._blocked(held).select(columns), lambda batches: joined(run(batches)), "u long, v long")
     return merged(roots, _of_roots(more, roots))
 
 
@@ -359,7 +382,7 @@ def _links(groups: DataFrame, sized: DataFrame, whole: DataFrame, share: int) ->
                         v.append(a + j)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (u, v)], names=["u", "v"])
 
-    return map_arrow(stars._blocked(held).select("bucket", "lo", "hi", "block", "node", "content"), lambda batches: joined(run(batches)), "u binary, v binary")
+    return map_arrow(stars._blocked(held).select("bucket", "lo", "hi", "block", "node", "content"), lambda batches: joined(run(batches)), "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -373,17 +396,19 @@ def _joined(docs: DataFrame, words: int, share: int) -> DataFrame:
     rows = made.where("n_shingles IS NOT NULL")
     order = frequencies(made.where("n_shingles IS NULL").select("outline"))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("size"), F.first("outline").alias("sketch"))
-    nodes = written(nodes, "nodes")
+    nodes = written(nodes.select(F.col("node").alias("digest"), "doc_id", "size", "sketch"), "nodes")
+    other = clashes(nodes.select(F.col("digest").alias("node")))
+    again = F.coalesce(*(F.when(F.col("digest") == F.lit(k), F.lit(x)) for k, x in other.items()), _id("digest"))
+    nodes = nodes.withColumn("node", again)
     sized = nodes.select("node", "size", "sketch")
-    pairs = written(stars.shared(_entries(docs, order, words, share)), "shared")
+    pairs = written(stars.shared(_entries(docs, order, other, words, share)), "shared")
     groups = written(_groups(pairs, sized, share), "groups")
-    whole = _whole(docs, nodes, groups.select("node"), words)
+    whole = _whole(docs, nodes, groups.select("node"), other, words)
     found = written(components(_links(groups, sized, whole, share)), "found")
     ids = written(nodes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    named = found.join(ids, "root").select("node", "component_id")
-    alone = nodes.join(found, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
+    named_ = nodes.select("digest", "node", "doc_id").join(found, "node", "left").join(ids, "root", "left").select(F.col("digest").alias("node"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     # rows without columns stand apart: they are joined with nothing
-    linked = rows.where("node IS NOT NULL").select("doc_id", "n_shingles", "node").join(named.unionByName(alone), "node").select("doc_id", "n_shingles", "component_id")
+    linked = rows.where("node IS NOT NULL").select("doc_id", "n_shingles", "node").join(named_, "node").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -175,6 +175,16 @@ def test_join_in_blocks(spark, monkeypatch):
     assert rows_of(ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == plain_join(rows)
 
 
+def test_digests_that_share_their_first_half(spark):
+    a, b, c = b"a" * 16, b"a" * 8 + b"b" * 8, bytes(range(250, 256)) * 2 + b"zzzz"
+    frame = spark.createDataFrame([(a,), (b,), (c,)], "node binary")
+    other = ngram_join.clashes(frame)
+    assert set(other) == {a, b} and len(set(ngram_join.named([a, b, c], other))) == 3
+    ids = {bytes(r.node): r.id for r in frame.select("node", ngram_join._id("node").alias("id")).collect()}
+    assert [ids[c], ids[a]] == ngram_join.named([c, a], {})
+    assert ngram_join.clashes(frame.where("node <> X'" + b.hex() + "'")) == {}
+
+
 def test_leading_columns_meet():
     r = np.random.default_rng(2)
     order = r.integers(0, 5, ngram_join.SLOTS).astype(np.uint8)
