@@ -3,8 +3,8 @@
 Encoding: pretokens as the tokenizer file's pattern cuts them; each goes through a transducer that
 holds at most twice the merge list's sufficient lookahead, computed once from the list, and emits
 a token as soon as no later byte can change it. Decoding: token bytes go through an incremental
-machine that gives out characters once they are complete. Equal pretokens are encoded once; ids and
-decoded text are digested as they come, so that neither is ever held whole.
+machine that gives out characters once they are complete. Equal pretokens are encoded once. A long text is
+encoded part by part, and ids and decoded text are digested as they come, so that neither is held whole.
 Contents of special tokens in a text are those tokens, as in the tokenizers library.
 
 A null text is empty; an empty text has no ids and decodes to an empty text. Texts of any length
@@ -14,7 +14,7 @@ are encoded whole. Rows with equal or null doc_id are rows of their own; extra c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +45,30 @@ class RoundTrip:
         self.decimals, self.tokens = [b"%d" % i for i in range(size)], [self.merges.bytes_of.get(i, b"") for i in range(size)]
         self.packed = PackedIds(lambda pieces: [transducer.encode(p.encode("utf-8", "replace")) for p in pieces], self.merges.special, size, REMEMBERED)
 
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        """The ids of each text."""
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Iterable[np.ndarray]]:
+        """The ids of each text, in parts."""
+        if len(offsets) == 2:
+            yield self.packed.pieces(data)
+            return
         ids, bounds = self.packed.of(data, offsets)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield ids[a:b]
+            yield (ids[a:b],)
 
-    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
+    def digests(self, pieces: Iterable[np.ndarray]) -> tuple[int, str, str]:
         """Number of ids, sha256 of them as comma-separated decimals, and of the decoded text, made piece by piece."""
-        listed, text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder()
-        for at in range(0, len(ids), AT_ONCE):
-            some = ids[at : at + AT_ONCE].tolist()
-            listed.update((b"," if at else b"") + b",".join([self.decimals[i] for i in some]))
-            text.update(decoder.push(b"".join([self.tokens[i] for i in some])).encode())
+        listed, text, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(), 0
+        for ids in pieces:
+            for at in range(0, len(ids), AT_ONCE):
+                some = ids[at : at + AT_ONCE].tolist()
+                listed.update((b"," if n else b"") + b",".join([self.decimals[i] for i in some]))
+                text.update(decoder.push(b"".join([self.tokens[i] for i in some])).encode())
+                n += len(some)
         text.update(decoder.flush().encode())
-        return len(ids), listed.hexdigest(), text.hexdigest()
+        return n, listed.hexdigest(), text.hexdigest()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         data, offsets = text_buffer(pa.array(texts, pa.string()))
-        return [ids.tolist() for a, b in steps(offsets, STEP) for ids in self.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        return [[i for ids in pieces for i in ids.tolist()] for a, b in steps(offsets, STEP) for pieces in self.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
 
     def decode(self, ids: list[int]) -> str:
         decoder = Decoder()
@@ -91,10 +96,12 @@ def round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
             for a, b in steps(offsets, STEP):
                 out: list[list] = [[] for _ in range(6 if texts else 4)]
                 out[0] = batch.column(0)[a:b]
-                for ids in coder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    row: list = list(coder.digests(ids))
+                for pieces in coder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                     if texts:
-                        row += [ids.tolist(), coder.decode(ids.tolist())]
+                        pieces = [np.concatenate([*pieces, np.zeros(0, np.uint32)]).astype(np.int32)]
+                    row: list = list(coder.digests(pieces))
+                    if texts:
+                        row += [pieces[0].tolist(), coder.decode(pieces[0].tolist())]
                     for column, x in zip(out[1:], row, strict=True):
                         column.append(x)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]

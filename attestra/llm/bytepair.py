@@ -58,6 +58,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Values that are hashed at once.
+TOGETHER = 2_000_000
 #: Random weights of places in a span.
 WEIGHTS = np.random.default_rng(2011).integers(0, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1)
 #: What each byte counts.
@@ -74,6 +76,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     n, lengths = len(values), ends - starts
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if n > TOGETHER and len(starts) > 1:
+        out, at = [], 0
+        while at < len(starts):  # some spans at a time: a long text takes no more memory than its words
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + TOGETHER, side="right")))
+            lo = starts[at]
+            out.append(span_hashes(values[lo : ends[to - 1]], starts[at:to] - lo, ends[at:to] - lo))
+            at = to
+        return np.concatenate(out)
     place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     place[starts[0] :] -= np.repeat(starts.astype(place.dtype), np.diff(np.append(starts, n)))
     if values.dtype == np.uint8:
@@ -201,6 +211,31 @@ class Cached:
         return got, np.searchsorted(starts, bounds), self.values
 
 
+#: Bytes from which on a text is encoded in parts, and about how many a part has.
+LONG = 400_000
+
+
+def parts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a long text, of about LONG bytes, that begin where a pretoken surely does: at ASCII white space after an ASCII character that is none.
+
+    Where there is no such place, a part goes on to the next one.
+    """
+    white = lambda x: (x == 32) | ((x >= 9) & (x <= 13))
+    at = 0
+    while at < len(data):
+        to = at + LONG
+        while to < len(data):
+            x = data[to - 1 : to + LONG]
+            found = np.flatnonzero(white(x[1:]) & (x[:-1] > 32) & (x[:-1] < 127))
+            if len(found):
+                to += int(found[0])
+                break
+            to += LONG
+        to = min(to, len(data))
+        yield at, to
+        at = to
+
+
 class PackedIds:
     """Ids of pretokens laid in one array, for whole batches of texts.
 
@@ -237,6 +272,10 @@ class PackedIds:
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts end to end, the end id after each, and the n + 1 offsets of the texts."""
+        if len(offsets) == 2 and len(data) > LONG:
+            end = np.array([] if self.end_id is None else [self.end_id], self.kind)
+            ids = np.concatenate([*self.pieces(data), end])
+            return ids, np.array([0, len(ids)])
         marks = [s.encode() for s in self.special]
         whole = data.tobytes() if marks else b""
         if any(m in whole for m in marks):
@@ -244,15 +283,26 @@ class PackedIds:
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return self._plain(data, offsets, self.end_id is not None)
 
-    def _one(self, text: bytes) -> np.ndarray:
-        parts = []
+    def pieces(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of one text, without an end id, part by part: memory doesn't grow with the text."""
+        marks = [s.encode() for s in self.special]
+        cut = parts(data) if not any(c.isspace() for s in self.special for c in s) else [(0, len(data))]
+        for a, b in cut:
+            whole = data[a:b].tobytes() if marks else b""
+            if any(m in whole for m in marks):
+                yield self._one(whole, False)
+            else:
+                yield self._plain(data[a:b], np.array([0, b - a]), False)[0]
+
+    def _one(self, text: bytes, end: bool = True) -> np.ndarray:
+        found = []
         for piece in split_special(text.decode("utf-8", "replace"), self.special):
             if isinstance(piece, int):
-                parts.append(np.array([piece], self.kind))
+                found.append(np.array([piece], self.kind))
             else:
                 raw = np.frombuffer(piece.encode(), np.uint8)
-                parts.append(self._plain(raw, np.array([0, len(raw)]), False)[0])
-        return np.concatenate([*parts, np.array([] if self.end_id is None else [self.end_id], self.kind)])
+                found.append(self._plain(raw, np.array([0, len(raw)]), False)[0])
+        return np.concatenate([*found, np.array([self.end_id] if end and self.end_id is not None else [], self.kind)])
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray]:
         numbers, bounds, values = self.cached.batch(data, offsets)

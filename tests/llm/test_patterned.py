@@ -86,3 +86,37 @@ def test_lines_that_share_no_shingle_both_stay(spark):
         lines.append("".join(lines[0][8 * i : 8 * i + 7] + x for i, x in enumerate(b)))
         got = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
         assert {x.doc_id: x.text for x in got} == dict(enumerate(lines))
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    r = random.Random(11)
+    library = Tokenizer.from_file(PATH)
+    pieces = ["don't", " the", "\n\n", "  ", " é", "日本", "<|endoftext|>", "\t", " x1", "'s", " \u00a0", "🙂", "a b"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 400))) for _ in range(40)] + ["日本語" * 200, "x" * 700, " " * 300 + "y"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr("attestra.llm.bytepair.LONG", 40)
+    coder, own = bpe_roundtrip.RoundTrip(PATH), token_store.Ids(PATH, 2)
+    for text, ids in zip(texts, want, strict=True):
+        data, offsets = text_buffer(pa.array([text]))
+        assert [i for x in coder.packed.pieces(data) for i in x.tolist()] == ids
+        assert own.of(data, offsets)[0].tolist() == [*ids, 2]
+        assert coder.encode([text]) == [ids] and coder.digests(coder.packed.pieces(data))[0] == len(ids)
+
+
+def test_hashes_of_some_spans_at_a_time(monkeypatch):
+    values = np.random.default_rng(3).integers(0, 200, 5000).astype(np.uint8)
+    ends = np.cumsum(np.random.default_rng(4).integers(0, 90, 100))
+    starts, ends = ends[:-1], ends[1:]
+    want = span_hashes(values, starts, ends)
+    monkeypatch.setattr("attestra.llm.bytepair.TOGETHER", 64)
+    assert (span_hashes(values, starts, ends) == want).all()
+
+
+def test_memory_of_a_long_text_stays():
+    """A text of 30 MB takes no more than 150 MB more than one of 2 MB."""
+    import subprocess
+    import sys
+
+    program = "import sys, resource, numpy as np; from attestra.llm.bpe_roundtrip import RoundTrip; c = RoundTrip(sys.argv[1]); c.digests(c.packed.pieces(np.frombuffer(b'some words of a long text 123, ' * int(sys.argv[2]), np.uint8))); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    peak = [int(subprocess.run([sys.executable, "-c", program, PATH, str(n)], capture_output=True, text=True, check=True).stdout) for n in (65_000, 1_000_000)]
+    assert peak[1] - peak[0] < 150 + 30
