@@ -15,8 +15,8 @@ union in common are linked.
    in counts against the pair. Rows of a column and class meet as stars.py says, each with the first row at
    first; where that leaves several groups, all of them, group by group (reached()). The outcome is groups
    of rows outside of which nobody has a partner: components of what may be linked.
-4. Each group is multiplied in blocks of rows, made anew from the texts of just those: columns that two rows of
-   a block have become bits, and the product of two rows is the number of bits in common, added up COLUMNS at a
+4. Each group is multiplied in blocks of rows of one class of sizes and the next, made anew from the texts of just
+   those: columns that two rows of a block have become bits, and the product of two rows is the number of bits in common, added up COLUMNS at a
    time. It is exact; pairs that are joined by then are left out. A group of any size is pairs of blocks.
 5. Components of links, by large-star and small-star rounds. Only links that join something leave a task.
 
@@ -43,9 +43,9 @@ from .textvec import BY_SPACE, mix, shingle_sets
 
 WORDS, SHARE = 3, 90
 #: Counters of columns, by the highest bits of their hashes; bits of a folded row.
-SLOTS, OUTLINE = 1 << 20, 1024
+SLOTS, OUTLINE = 1 << 20, 2048
 #: Columns up to which a row is folded whole; of larger ones, those whose highest PART_BITS bits are 0.
-WHOLE, PART_BITS = 1000, 3
+WHOLE, PART_BITS = 2000, 3
 #: Bytes and rows of a block; columns that are multiplied at once.
 BLOCK_BYTES, BLOCK, COLUMNS = 8_000_000, 2048, 1 << 14
 #: Counters that are added up in one place at most.
@@ -327,8 +327,8 @@ def _of_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
 
 
-def product(flat: np.ndarray, bounds: np.ndarray, apart: np.ndarray | None, share: int) -> list[tuple[int, int]]:
-    """Links between rows of a block, those that join something; apart: as in reached()."""
+def product(flat: np.ndarray, bounds: np.ndarray, apart: np.ndarray | None, share: int, guest: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between rows of a block, those that join something; apart: as in reached(). Two guests aren't compared: they are at home elsewhere."""
     size = np.diff(bounds)
     owner = np.repeat(np.arange(len(size)), size)
     order = np.argsort(flat, kind="stable")
@@ -350,6 +350,8 @@ def product(flat: np.ndarray, bounds: np.ndarray, apart: np.ndarray | None, shar
         j = j[100 * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])]
         if apart is not None:
             j = j[apart[j] != apart[i]]
+        if guest is not None and guest[i]:
+            j = j[~guest[j]]
         if not len(j):
             continue
         common = np.zeros(len(j), np.int64)
@@ -366,23 +368,27 @@ def product(flat: np.ndarray, bounds: np.ndarray, apart: np.ndarray | None, shar
 
 def _links(groups: DataFrame, sized: DataFrame, whole: DataFrame, share: int) -> DataFrame:
     """Links within groups, from the product of each pair of blocks."""
-    held = groups.select("node", F.xxhash64("root").alias("bucket")).join(sized.select("node", "size"), "node")
-    count = held.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    held = held.join(written(count, "blocks"), "bucket").join(whole, "node")
+    level = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / share)) + 1e-9).cast("int")
+    held = groups.select("node", "root").join(sized.select("node", "size"), "node").withColumn("level", level)
+    # a row is at home among those of its class of sizes, and a guest in the next one
+    places = F.array(F.struct(F.col("level").alias("at"), F.lit(False).alias("guest")), F.struct((F.col("level") + 1).alias("at"), F.lit(True).alias("guest")))
+    held = held.select("node", "size", "root", F.explode(places).alias("x")).select("node", "size", F.xxhash64("root", "x.at").alias("bucket"), "x.guest")
+    count = held.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.count("*").alias("n"), F.count_if(~F.col("guest")).alias("home"))
+    held = held.join(written(count.where("n > 1 AND home > 0").select("bucket", "blocks"), "blocks"), "bucket").join(whole, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in stars.whole_groups(batches, 3):
             names, content = rows.column("node").combine_chunks(), rows.column("content").combine_chunks()
             block, across = rows.column("block").to_numpy(), (rows.column("lo").to_numpy() != rows.column("hi").to_numpy())[starts]
-            u, v = [], []
+            guest, u, v = rows.column("guest").to_numpy(), [], []
             for a, b, two in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], across.tolist(), strict=True):
-                if b - a > 1:
-                    for i, j in product(*_contents(content[a:b].to_pylist()), block[a:b] if two else None, share):
+                if b - a > 1 and not guest[a:b].all():
+                    for i, j in product(*_contents(content[a:b].to_pylist()), block[a:b] if two else None, share, guest[a:b]):
                         u.append(a + i)
                         v.append(a + j)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (u, v)], names=["u", "v"])
 
-    return map_arrow(stars._blocked(held).select("bucket", "lo", "hi", "block", "node", "content"), lambda batches: joined(run(batches)), "u long, v long")
+    return map_arrow(stars._blocked(held).select("bucket", "lo", "hi", "block", "guest", "node", "content"), lambda batches: joined(run(batches)), "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
