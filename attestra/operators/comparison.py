@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import exprs as E
+from attestra.operators import text as X
 
 #: Words for a status, each made the first of its row. Fixed values.
 STATUS_WORDS = {"met": ["met", "evidenced", "yes", "pass", "satisfied"], "not_evidenced": ["not_evidenced", "not evidenced", "not met", "not_met", "no", "fail", "missing"], "not_applicable": ["not_applicable", "not applicable", "n/a", "na"]}
@@ -87,6 +88,39 @@ def rebuttals(challenges: DataFrame) -> DataFrame:
     return rows.withColumn("substantive", F.col("strength") == "strong")
 
 
+#: What a challenge may ask for, and how sure or grave it may be. Fixed values.
+ACTIONS = ["answer", "request_evidence", "revisit_read", "escalate"]
+GRAVE, SURE = ["low", "medium", "high", "critical"], ["low", "medium", "high"]
+
+
+def structured(challenges: DataFrame, evidence: DataFrame, elements: DataFrame, memories: DataFrame) -> DataFrame:
+    """Challenges with errors (what keeps each from being taken), where their quotes are, and requirements as they read.
+
+    challenges: challenge_id, control_id, doc_id (the evidence), observation, inference, challenge, quote, supported (what
+    the quote shows), element_id, requirement, risk, resolution, action, severity, confidence, memory_ids (array), strength,
+    supports and claim parts as rebuttals() takes them. evidence: doc_id, text; elements: control_id, element_id, text; memories: memory_id.
+
+    A quote must be found in its document: `locator` says where. An element must be the control's: its text is the
+    requirement, whatever the challenge wrote; `repaired` says that this differed. A challenge with errors has no strength.
+    """
+    known = elements.select("control_id", "element_id", F.col("text").alias("_said"))
+    unknown = challenges.select("challenge_id", F.explode("memory_ids").alias("memory_id")).join(memories.select("memory_id"), "memory_id", "left_anti")
+    unknown = unknown.groupBy("challenge_id").agg(F.count("*").alias("_unknown"))
+    found = X.located(evidence, challenges.select(F.col("challenge_id").alias("quote_id"), "doc_id", "quote")).select(F.col("quote_id").alias("challenge_id"), "locator")
+    rows = challenges.join(known, ["control_id", "element_id"], "left").join(unknown, "challenge_id", "left").join(found, "challenge_id", "left")
+    lacks = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    outside = lambda c, words: ~F.coalesce(F.col(c).isin(words), F.lit(False))
+    rules = [(f"missing {c}", lacks(c)) for c in ("observation", "inference", "challenge", "risk", "resolution")]
+    rules += [("action", outside("action", ACTIONS)), ("severity", outside("severity", GRAVE)), ("confidence", outside("confidence", SURE)), ("unknown memory", F.col("_unknown").isNotNull()), ("quote not in evidence", F.col("locator").isNull()), ("unknown element", F.col("_said").isNull())]
+    listed = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))
+    said = {"fact": F.when(F.col("locator").isNotNull(), F.col("quote")), "what_it_supports": F.col("supported"), "risk_to_address": F.col("risk")}
+    judged = rebuttals(rows.withColumns(said)).withColumnRenamed("errors", "weaknesses").withColumn("errors", listed)
+    repaired = F.col("_said").isNotNull() & (E.plain(F.col("_said")) != E.plain(F.col("requirement")))
+    strength = F.when(F.size("errors") == 0, F.col("strength"))
+    kept = [c for c in challenges.columns if c not in ("requirement", "strength")]
+    return judged.select(*kept, F.coalesce("_said", "requirement").alias("requirement"), repaired.alias("repaired"), "locator", "errors", "weaknesses", strength.alias("strength"))
+
+
 def outcomes(challenges: DataFrame) -> DataFrame:
     """control_id, tally of settled challenges and outcome: substantive, weak_or_refining or no_rebuttal."""
     n = lambda c: F.count_if(c)

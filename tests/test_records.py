@@ -236,3 +236,20 @@ def test_pack_reads_each_source_once(spark, tmp_path):
     alone = {c["id"]: tuple(runner.run_controls(catalog, [c], {}, "2026-02-01").first()) for c in controls}
     assert {r.control_id: tuple(r) for r in results.collect()} == alone
     assert {k: v[4] for k, v in alone.items()}["C1"] == "FAIL" and alone["C8"][4] == "PASS" and alone["C9"][4] == "FAIL" and alone["C10"][4] == alone["C12"][4] == "NOT_TESTABLE"
+
+
+def test_structured_challenges(spark):
+    from attestra.operators import comparison
+
+    kind = "challenge_id string, control_id string, doc_id string, observation string, inference string, challenge string, quote string, supported string, element_id string, requirement string, risk string, resolution string, action string, severity string, confidence string, memory_ids array<string>, strength string, supports string"
+    good = ("1", "M1", "d", "seen", "so it lacks an owner", "who?", "the OWNER signs", "an owner", "e1", "name an owner", "harm", "name one", "answer", "high", "low", None, "strong", "Reviewer")
+    names = [c.split()[0] for c in kind.split(", ")]
+    other = lambda i, **x: tuple((dict(zip(names, good)) | {"challenge_id": i} | x)[n] for n in names)
+    rows = [good, other("2", requirement="a paraphrase", strength="weak"), other("3", quote="not there"), other("4", quote=None, element_id="e7", memory_ids=["m1", "m9"]), other("5", action="", severity="huge", confidence=None, observation=" "), other("6", doc_id="gone"), other("7", inference="this does not rebut it", memory_ids=["m1"])]
+    found = comparison.structured(spark.createDataFrame(rows, kind), spark.createDataFrame([("d", "line\nThe owner\nsigns it")], "doc_id string, text string"), spark.createDataFrame([("M1", "e1", "Name an owner")], "control_id string, element_id string, text string"), spark.createDataFrame([("m1",)], "memory_id string"))
+    got = {r.challenge_id: (r.errors, r.locator, r.repaired, r.requirement, r.strength) for r in found.collect()}
+    assert got["1"] == ([], "lines:2-3", False, "Name an owner", "strong") and got["7"][4] == "weak"
+    assert got["2"] == ([], "lines:2-3", True, "Name an owner", "weak")
+    assert got["3"][0] == ["quote not in evidence"] == got["6"][0] and got["3"][4] is None
+    assert got["4"][0] == ["unknown memory", "quote not in evidence", "unknown element"] and got["4"][3] == "name an owner"
+    assert got["5"][0] == ["missing observation", "action", "severity", "confidence"]
