@@ -69,9 +69,9 @@ BYTES = np.random.default_rng(2012).integers(0, 1 << 63, 256, np.uint64) * np.ui
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [start, end) of an array of small integers; spans are in order and don't overlap.
 
-    Multilinear hashing: values, mixed, times random weights of their places in the span. The weights
-    were drawn independently, so no pattern of values cancels out as it does with powers of one number; two
-    different spans have one hash with a probability of about 2**-60, whatever their lengths.
+    Multilinear hashing: values (of bytes, random ones) times random weights of their places in the span. The
+    weights were drawn independently, so no pattern of values cancels out as it does with powers of one number: two
+    spans that differ by d somewhere have one hash with a probability of 2**-63 times the greatest power of 2 in d.
     """
     n, lengths = len(values), ends - starts
     if not len(starts):
@@ -86,11 +86,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return np.concatenate(out)
     place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     place[starts[0] :] -= np.repeat(starts.astype(place.dtype), np.diff(np.append(starts, n)))
-    if values.dtype == np.uint8:
-        x = BYTES[values]
-    else:
-        x = values * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x51ED27)
-        x ^= x >> np.uint64(32)
+    x = BYTES[values] if values.dtype == np.uint8 else values + np.uint64(0x51ED27)
     if lengths.max() > len(WEIGHTS):
         x *= mix((place // len(WEIGHTS)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         place %= len(WEIGHTS)
@@ -112,7 +108,10 @@ def eights(values: np.ndarray) -> np.ndarray:
             return np.zeros(0, np.uint64)
         h = h[:-width] * f + h[width:]
         width *= 2
-    return mix(h)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def pretokens(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:

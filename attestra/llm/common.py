@@ -103,7 +103,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if (own := _scratch.get()) is not None:
         own.paths[path] = spark
     with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
