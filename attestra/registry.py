@@ -644,5 +644,6 @@ def register_audit(spark: SparkSession, d: str) -> DataFrame:
 import attestra.registry_contracts  # noqa: E402, F401  add their queries to those above
 import attestra.registry_registers  # noqa: E402, F401
 import attestra.registry_records  # noqa: E402, F401
+import attestra.registry_reports  # noqa: E402, F401
 import attestra.registry_rows  # noqa: E402, F401
 import attestra.registry_search  # noqa: E402, F401

@@ -253,3 +253,49 @@ def test_structured_challenges(spark):
     assert got["3"][0] == ["quote not in evidence"] == got["6"][0] and got["3"][4] is None
     assert got["4"][0] == ["unknown memory", "quote not in evidence", "unknown element"] and got["4"][3] == "name an owner"
     assert got["5"][0] == ["missing observation", "action", "severity", "confidence"]
+
+
+def test_knowledge_and_reports(spark):
+    from attestra.operators import reports
+
+    kind = "id string, type string, authority_tier string, controls array<string>, topic string, statement string, tags array<string>, evidence_pattern map<string,array<string>>, challenge_prompt string"
+    raw = spark.createDataFrame([("m1", "precedent", "heuristic", ["M1"], "owners", "name them", [], {"good": ["signed register"], "bad": ["draft"]}, None), ("m2", "challenge_pattern", "authoritative", ["*"], "dates", "check", ["register"], None, "who signed"), ("m3", "precedent", "authoritative", ["M9"], "other", "none", None, {}, None)], kind)
+    held = raw.withColumn("text", reports.memory_text("topic", "statement", "type", "controls", "tags", "evidence_pattern", "challenge_prompt"))
+    assert {r.id: r.text for r in held.collect()} == {"m1": "owners name them precedent M1 signed register draft", "m2": "dates check challenge_pattern * register who signed", "m3": "other none precedent M9"}
+    asked = spark.createDataFrame([(1, "M1", "the signed register")], "query_id int, key string, text string")
+    got = lambda role: [(r.id, r.score) for r in reports.memories_for(held, asked, role).orderBy("rank").collect()]
+    assert got("assessor") == [("m1", 12), ("m2", 10)] and got("challenger") == [("m2", 13), ("m1", 10)]
+    tests = spark.createDataFrame([("t1", "A.6", "ISO 42001", "example", "policy review"), ("t2", "A.6", "MAS", "example", "policy review"), ("t3", "A.7", "ISO42001", "authoritative", "policy"), ("t4", "A.8", "ISO42001", "example", "nothing")], "id string, control_id string, framework string, authority_tier string, text string")
+    q = spark.createDataFrame([(1, "A.6", "ISO42001", "review of policy")], "query_id int, key string, framework string, text string")
+    assert [(r.id, r.score) for r in reports.tests_for(tests, q).orderBy("rank").collect()] == [("t1", 22), ("t3", 1)]
+    results = spark.createDataFrame([(1, "h", "2026-01-30T10:00:00", "e", 1, 2, "Fail", "High", "a"), (2, "k", "2026-01-30T10:00:00", "e", 0, 2, "Pass", "Low", "b")], "n int, hotspot string, run_at string, engine string, failed int, cases int, result string, residual_risk string, note string")
+    rows = {r.n: r for r in reports.tracker_proposals(results, spark.createDataFrame([(1, "named", 31)], "n int, hotspot string, max_days int")).collect()}
+    assert (rows[1].hotspot, rows[1].next_run, rows[2].hotspot, rows[2].next_run) == ("named", "2026-03-02", "k", "2026-05-10")
+    again = {r.n: r.evidence for r in reports.tracker_proposals(results.withColumn("note", F.lit("c")), results.select("n", "hotspot", F.lit(1).alias("max_days"))).collect()}
+    assert again == {n: r.evidence for n, r in rows.items()} and again[1] != again[2]
+
+
+def test_audit_from_end_to_end(spark, tmp_path):
+    from attestra.plans import audit
+
+    (tmp_path / "packs").mkdir()
+    (tmp_path / "packs/p.yaml").write_text("- {id: A, check: field_present, params: {source: t, fields: [owner]}, frequency: on_commit, severity: high}\n- {id: B, check: record_count, params: {source: t, max: 9}, frequency: on_commit}\n- {id: C, check: record_count, params: {source: gone, max: 9}, frequency: daily}\n")
+    store = str(tmp_path / "store")
+    assert audit.listed(spark, store).count() == 0 and audit.signed(spark, store).count() == 0
+    catalog = Catalog(spark).add("t", spark.createDataFrame([("é \"ann\"",), (None,)], "owner string"))
+    first, _ = audit.run_audit(catalog, str(tmp_path / "packs"), {"version": 2}, "2026-01-01", store)
+    second, path = audit.run_audit(catalog, str(tmp_path / "packs"), {"version": 2}, "2026-02-01", store)
+    rows = audit.listed(spark, store).collect()
+    assert [(r.bundle_id, r.passed, r.failed, r.not_testable, r.unsigned, r.intact) for r in rows] == [(b["bundle_id"], 1, 1, 1, 2, True) for b in (second, first)]
+    entry = lambda c, at, who, how="ACCEPT", gone=None: (second["bundle_id"], c, at, who, how, "", None, gone)
+    assert [r.refusals for r in audit.sign(spark, store, [entry("A", "1", "ann"), entry("C", "1", " ")]).collect()] == [["no reviewer"]]
+    assert audit.entries(spark, store).count() == 0
+    assert audit.sign(spark, store, [entry("A", "1", "ann"), entry("C", "1", "bob", "ESCALATE")]).isEmpty()
+    assert audit.open_items(spark, store).count() == 0 and audit.listed(spark, store).first().unsigned == 0
+    assert audit.sign(spark, store, [entry("A", "2", None, None, True)]).isEmpty()
+    assert [r.control_id for r in audit.open_items(spark, store).collect()] == ["A"]
+    assert {r.control_id: (r.n, r.streak) for r in audit.control_history(spark, store).collect()}["A"] == (2, 2)
+    text = open(path, encoding="utf-8").read()
+    with open(path, "w", encoding="utf-8") as file:
+        file.write(text.replace('"FAIL"', '"PASS"'))
+    assert [r.intact for r in audit.listed(spark, store).collect()] == [False, True]
