@@ -257,7 +257,7 @@ def label_drift(spark: SparkSession, d: str) -> DataFrame:
     elements = _elements(spark, d)
     texts = sections.rendered(elements)
     parts = sections.sections(texts, ["control_id"])
-    case = F.regexp_extract("heading", sections.CASE, 1).cast("long")
+    case = F.regexp_extract("heading", sections.CASE, 1).try_cast("long")  # a case without a label has none
     heading = F.when(case % 13 == 0, F.regexp_replace("heading", r"\*\*(full|partial|none)\*\*", "**none**")).otherwise(F.col("heading"))
     kept = parts.where("level = 3").where(F.coalesce(case % 11 != 0, F.lit(True))).select("control_id", "ordinal", F.concat(F.lit("### "), heading, F.lit("\nmentions `x_1` as **full** in passing\n"), "body").alias("part"))
     again = kept.groupBy("control_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "part"))), lambda x: x["part"]), "\n").alias("text"))
