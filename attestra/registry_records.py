@@ -109,7 +109,10 @@ def declaration_errors(spark: SparkSession, d: str) -> DataFrame:
     """Declarations made of events, with faults where the events say so, against a schema and each other."""
     rows = table(spark, d, "events")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
-    twin = F.when((k == 1) & (F.col("event_id") > 0), F.col("event_id") - 1).otherwise(F.col("event_id"))
+    # in a run of events that take the id of the one before, all have the id of the one before the run
+    own = F.when(~F.coalesce((k == 1) & (F.col("event_id") > 0), F.lit(False)), F.col("event_id"))
+    rows = carry.carried(rows, ["event_id"], own, F.floor(F.col("event_id") / 10_000), "twin")
+    twin = F.col("twin")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     note = F.when(F.col("value") < 2, "").when(F.col("value") < 4, ', "note": 7').when(F.col("value") < 6, ', "note": "no"').otherwise(', "note": "noted"')
     first = F.concat(F.lit('{"name": "a", "k": '), k, F.lit("}"))

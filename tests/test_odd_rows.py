@@ -19,3 +19,12 @@ def test_labels_of_cases_without_one(spark, tmp_path):
     put(spark, tmp_path, "labels", [(4, 1, 0), (105, 0, 1), (106, 0, 1)], "doc_id long, quality int, toxic int")
     got = {r["case_id"]: (r["derived"], r["written"], r["state"]) for r in asked(spark, tmp_path, "label_drift")}
     assert got == {"4": ("full", "full", "current"), "105": ("unknown", None, "missing"), "106": ("partial", "partial", "current")}
+
+
+def test_runs_of_taken_ids(spark, tmp_path):
+    """Events 3 to 5 take the id of the one before: all have that of event 2, so all four are duplicates. A run crosses two blocks."""
+    taken = {3, 4, 5, *range(9_998, 10_003)}
+    rows = [(i, 7, "view", 10.0, '{"k": %d}' % (1 if i in taken else 2)) for i in (*range(8), *range(9_990, 10_010))]
+    put(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string, value double, props string")
+    got = {(r["path"], r["rule"]): (r["n"], r["first"]) for r in asked(spark, tmp_path, "declaration_errors")}
+    assert got == {("id", "pattern"): (20, 9_990), ("id", "duplicate"): (4 + 6, 2)}
