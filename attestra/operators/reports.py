@@ -73,11 +73,11 @@ def tests_for(testing: DataFrame, queries: DataFrame, limit: int = 3) -> DataFra
 def threshold_trace(scores: DataFrame, queries: DataFrame, k: int, depth: int) -> DataFrame:
     """query_id, library, query_terms, rank, id, score, within_k, passes_shown: each query's first `depth` passages, before any gate.
 
-    scores: query_id, id, score; queries: query_id, library, text.
+    scores: query_id, id, score, ranked already if there is a rank; queries: query_id, library, text.
     """
-    ranked = retrieval.top(scores, depth)
+    ranked = scores.where(F.col("rank") <= depth) if "rank" in scores.columns else retrieval.top(scores, depth)
     asked = queries.select("query_id", "library", F.size(F.array_distinct(E.tokens(F.col("text")))).alias("query_terms"))
-    return ranked.join(asked, "query_id").select("query_id", "library", "query_terms", "rank", "id", F.round("score", 4).alias("score"), (F.col("rank") <= k).alias("within_k"), (F.col("score") >= SHOWN).alias("passes_shown"))
+    return ranked.join(asked, "query_id").select("query_id", "library", "query_terms", "rank", "id", (F.round(F.col("score") * 10_000) / 10_000).alias("score"), (F.col("rank") <= k).alias("within_k"), (F.col("score") >= SHOWN).alias("passes_shown"))
 
 
 def evidence_hash(results: DataFrame, without: str = "note") -> Column:

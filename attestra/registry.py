@@ -451,22 +451,22 @@ def shown(df: DataFrame) -> DataFrame:
 
 @query(_BM25)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieval.top(retrieval.bm25(passages(spark, d), asked(spark, d)), 6))
+    return shown(retrieval.bm25_top(passages(spark, d), asked(spark, d), 6))
 
 
 @query(_LEXICAL)
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieval.top(retrieval.lexical(passages(spark, d), asked(spark, d)), 6))
+    return shown(retrieval.lexical_top(passages(spark, d), asked(spark, d), 6))
 
 
 @query(f"WITH r AS ({_LEXICAL}), b AS (SELECT *, max(score) OVER (PARTITION BY query_id) best FROM r) SELECT query_id, id, score, rank FROM b WHERE score >= best * 0.8")
 def gated_topk(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieval.gated(retrieval.top(retrieval.lexical(passages(spark, d), asked(spark, d)), 6), 0.8))
+    return retrieval.gated(shown(retrieval.lexical_top(passages(spark, d), asked(spark, d), 6)), 0.8)
 
 
 @query(f"WITH r AS ({_LEXICAL}), b AS (SELECT *, max(score) OVER (PARTITION BY query_id) best FROM r), g(ratio) AS (VALUES (0.5), (0.8), (0.95)) SELECT CAST(ratio AS DOUBLE) AS ratio, CAST(count(DISTINCT query_id) FILTER (WHERE score >= best * ratio) AS BIGINT) AS queries_kept, CAST(count(*) FILTER (WHERE score >= best * ratio) AS BIGINT) AS passages_kept FROM b, g GROUP BY 1")
 def ratio_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ratio_sweep(retrieval.lexical(passages(spark, d), asked(spark, d)), [0.5, 0.8, 0.95])
+    return retrieval.ratio_sweep(shown(retrieval.lexical_top(passages(spark, d), asked(spark, d), 6)), [0.5, 0.8, 0.95])
 
 
 def embedded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -482,7 +482,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH a AS ({_BM25.replace('k <= 6', 'k <= 18')}), b AS ({_LEXICAL.replace('k <= 6', 'k <= 18')}) SELECT query_id, id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score FROM a FULL JOIN b USING (query_id, id)")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     p, q = passages(spark, d), asked(spark, d)
-    both = retrieval.fused(retrieval.top(retrieval.bm25(p, q), 18), retrieval.top(retrieval.lexical(p, q), 18))
+    both = retrieval.fused(retrieval.bm25_top(p, q, 18), retrieval.lexical_top(p, q, 18))
     return both.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -493,9 +493,9 @@ _ALIKE = "len(list_intersect(y.w, r.w)) / nullif(len(list_distinct(list_concat(y
     f"WITH RECURSIVE r AS (SELECT query_id, rank, id, source d, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-\\.]*')) w FROM ({_BM25.replace('k <= 6', 'k <= 18')}) b JOIN documents ON doc_id = id), s AS (SELECT DISTINCT query_id, 0 AS k, CAST([] AS STRUCT(id BIGINT, d VARCHAR, w VARCHAR[])[]) kept FROM r UNION ALL SELECT s.query_id, s.k + 1, CASE WHEN len(kept) >= 6 OR len(list_filter(kept, lambda y: y.d = r.d)) >= 2 OR len(list_filter(kept, lambda y: coalesce({_ALIKE}, false))) > 0 THEN kept ELSE list_append(kept, {{'id': r.id, 'd': r.d, 'w': r.w}}) END FROM s JOIN r ON r.query_id = s.query_id AND r.rank = s.k + 1), e AS (SELECT query_id, arg_max(kept, k) kept FROM s GROUP BY 1) SELECT query_id, CAST(i AS INT) AS position, kept[i + 1].id AS id, kept[i + 1].d AS doc_id FROM e, range(0, 6) t(i) WHERE i < len(kept)"
 )
 def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.array_distinct(E.tokens(F.col("text"), "lexemes")).alias("words"))
-    ranked = retrieval.top(retrieval.bm25(passages(spark, d), asked(spark, d)), 18).select("query_id", "rank", "id").join(docs, "id")
-    return retrieval.diverse(ranked)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), "text")
+    ranked = docs.join(F.broadcast(retrieval.bm25_top(passages(spark, d), asked(spark, d), 18).select("query_id", "rank", "id")), "id")
+    return retrieval.diverse(ranked.withColumn("words", F.array_distinct(E.tokens(F.col("text"), "lexemes"))))
 
 
 _LABELS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]{2,}'))"

@@ -200,7 +200,7 @@ def located_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, CAST(count(*) AS BIGINT) AS passages, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY rank)[1:20000]) AS BIGINT) AS chars FROM ({_BM25}) r JOIN documents ON doc_id = id GROUP BY 1")
 def evidence_of_queries(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.top(retrieval.bm25(passages(spark, d), asked(spark, d)), 6)
+    hits = retrieval.bm25_top(passages(spark, d), asked(spark, d), 6)
     counts = hits.groupBy("query_id").agg(F.count("*").alias("passages"))
     return retrieval.evidence(hits, passages(spark, d)).join(counts, "query_id").select("query_id", "passages", F.length("evidence").cast("long").alias("chars"))
 

@@ -30,7 +30,7 @@ _TRACE = _BM25.replace("k <= 6", "k <= 10")
 @query(f"SELECT t.query_id, item_id % 3 AS library, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-\\.]{{1,}}'))) AS INT) AS query_terms, rank, id, round(score, 4) AS score, rank <= 6 AS within_k, score >= 18 AS passes_shown FROM ({_TRACE}) t JOIN benchmark ON item_id = t.query_id")
 def threshold_trace(spark: SparkSession, d: str) -> DataFrame:
     p, q = passages(spark, d), asked(spark, d)
-    return reports.threshold_trace(retrieval.bm25(p, q).withColumn("score", F.round("score", 6)), q.withColumn("library", F.col("query_id") % 3), 6, 10)
+    return reports.threshold_trace(retrieval.bm25_top(p, q, 10).withColumn("score", F.round("score", 6)), q.withColumn("library", F.col("query_id") % 3), 6, 10)
 
 
 @query("WITH r AS (SELECT user_id n, count(*) FILTER (WHERE event_type = 'error') f, count(*) c, max(ts) m FROM events GROUP BY 1), j AS (SELECT *, strftime(m, '%Y-%m-%dT%H:%M:%S') t FROM r) SELECT n, CASE WHEN n % 4 = 0 THEN 'H' || n ELSE 'named ' || n END AS hotspot, substring(t, 1, 10) AS last_run, CASE WHEN f > 0 THEN 'Fail' ELSE 'Pass' END AS result, strftime(CAST(substring(t, 1, 10) AS DATE) + CAST(CASE WHEN n % 4 = 0 THEN 100 ELSE 30 + n % 5 END AS INTEGER), '%Y-%m-%d') AS next_run, substring(sha256('{\"cases\": ' || c || ', \"engine\": \"own\", \"failed\": ' || f || ', \"hotspot\": \"H' || n || '\", \"n\": ' || n || ', \"residual_risk\": \"High\", \"result\": \"' || CASE WHEN f > 0 THEN 'Fail' ELSE 'Pass' END || '\", \"run_at\": \"' || t || '\"}'), 1, 16) AS evidence FROM j")
