@@ -74,7 +74,8 @@ class Memo:
         named = texts.where("text IS NOT NULL").select("key", F.sha2("text", 256).alias("digest"), "text")
         once = named.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"))
         new = once.join(self.vectors(provider).select("digest"), "digest", "left_anti")
-        todo = named.join(new.select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["digest"])
+        # one key for each digest, so a text that was moved for the join isn't moved again
+        todo = named.join(new.select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
         name, embed, batch = provider.name, provider.embed, provider.batch
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,23 +99,26 @@ class Memo:
         return texts.withColumn("_digest", F.sha2("text", 256)).join(found, F.col("_digest") == found["digest"], "left").drop("_digest", "digest")
 
 
-def hybrid(passages: DataFrame, queries: DataFrame, k: int = 6, constant: int = 60, per_doc: int = 2, least_cosine: float = 0.0, least_score: float = 0.0) -> DataFrame:
+def hybrid(passages: DataFrame, queries: DataFrame, k: int = 6, constant: int = 60, per_doc: int = 2, least_cosine: float = 0.0, least_score: float = 0.0, texts: DataFrame | None = None) -> DataFrame:
     """query_id, position, id, doc_id, score, cosine, found_by, terms: a ranking by terms and one by vectors, fused, gated, made diverse.
 
     passages: id, doc_id, text, vector; queries: query_id, text, vector. Each ranking gives its best 3 k. The
     gate keeps what is at least so like the query, by cosine; without a query vector there is nothing to
     gate by, and terms alone decide. Equal scores: by the ranking of terms, then of vectors.
+    texts: id, doc_id, text of the same passages, where these come without a join; then no text is moved for its vector.
     """
-    lexical = retrieval.bm25(passages.select("id", "text"), queries.select("query_id", "text")).where(F.col("score") > least_score)
-    words = retrieval.top(lexical, 3 * k)
+    texts = passages if texts is None else texts
+    words = retrieval.bm25_top(texts.select("id", "text"), queries.select("query_id", "text"), 3 * k).where(F.col("score") > least_score)
     near = retrieval.cosine_top(passages.where("vector IS NOT NULL").select("id", "vector"), queries.where("vector IS NOT NULL").select("query_id", "vector"), 3 * k)
     both = retrieval.fused(words, near, constant).join(words.select("query_id", "id", "terms"), ["query_id", "id"], "left")
-    like = both.join(passages.select("id", "doc_id", "vector", F.array_distinct(E.tokens(F.col("text"), "lexemes")).alias("words")), "id").join(queries.select("query_id", F.col("vector").alias("_asked")), "query_id")
+    # at most 6 k of each query of a stated set: they go to the passages, not these to them
+    like = passages.select("id", "vector").join(F.broadcast(both), "id").join(F.broadcast(queries.select("query_id", F.col("vector").alias("_asked"))), "query_id")
     like = like.withColumn("cosine", F.when(F.col("vector").isNotNull() & F.col("_asked").isNotNull(), retrieval.cosine(F.col("vector"), F.col("_asked")))).drop("vector", "_asked")
     if least_cosine > 0:
         like = like.where(F.col("cosine").isNull() | (F.col("cosine") >= least_cosine))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc_nulls_last("ra"), F.asc_nulls_last("rb"))
-    ranked = like.withColumn("rank", F.row_number().over(order))
+    read = texts.select("id", "doc_id", "text").join(F.broadcast(like), "id").withColumn("words", F.array_distinct(E.tokens(F.col("text"), "lexemes"))).drop("text")
+    ranked = read.withColumn("rank", F.row_number().over(order))
     chosen = retrieval.diverse(ranked.select("query_id", "rank", "id", "doc_id", "words"), k, per_doc)
     return chosen.join(ranked.select("query_id", "id", "score", "cosine", "found_by", "terms"), ["query_id", "id"]).select("query_id", "position", "id", "doc_id", "score", "cosine", "found_by", "terms")
 
