@@ -41,7 +41,7 @@ def hashing(wide: int = 32) -> Provider:
         out: list[list[float] | None] = []
         for text in texts:
             counts = [0.0] * wide
-            for word in re.findall(r"[a-z0-9][a-z0-9\-.]*", text.lower()):
+            for word in re.findall(r"[a-z0-9][a-z0-9\-.]*", text.replace("İ", "i").lower()):  # one letter, as in SQL
                 counts[int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16) % wide] += 1.0
             out.append(counts)
         return out

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 import __spark_entry__
+from attestra.operators import embedding
 
 
 def put(spark, folder, name, rows, schema):
@@ -28,3 +32,42 @@ def test_runs_of_taken_ids(spark, tmp_path):
     put(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string, value double, props string")
     got = {(r["path"], r["rule"]): (r["n"], r["first"]) for r in asked(spark, tmp_path, "declaration_errors")}
     assert got == {("id", "pattern"): (20, 9_990), ("id", "duplicate"): (4 + 6, 2)}
+
+
+def same_as_sql(spark, folder, name):
+    """What the query's SQL and Spark give, as sorted rows; NaN is written out, since it equals nothing."""
+    connection = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    rows = connection.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in rows.description]
+    want = sorted(map(repr, rows.fetchall()))
+    got = sorted(repr(tuple(r[c] for c in columns)) for r in asked(spark, folder, name))
+    assert got == want
+    return want
+
+
+def search_tables(spark, folder, texts, questions):
+    put(spark, folder, "documents", [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    put(spark, folder, "benchmark", list(enumerate(questions)), "item_id long, text string")
+
+
+WORDY = [f"incident {w} of call {i}" for i, w in enumerate(["triage", "score", "model", "risk", "alert"] * 3)]
+
+
+@pytest.mark.parametrize("texts,questions", [(["", "!?"], []), ([], ["", "—"]), ([""], ["!"])])
+def test_sweep_of_texts_without_lexemes(spark, tmp_path, texts, questions):
+    """The cosine with a text without lexemes is no number; SQL has it above all others, so it passes every gate."""
+    search_tables(spark, tmp_path, [*WORDY, *texts], ["triage", "zzz yyy", "risk of call", *questions])
+    assert len(same_as_sql(spark, tmp_path, "cosine_sweep")) == 16
+
+
+def test_sweep_without_passages(spark, tmp_path):
+    search_tables(spark, tmp_path, [], ["triage", "risk"])
+    assert same_as_sql(spark, tmp_path, "cosine_sweep") == []
+
+
+def test_dotted_capital_is_one_letter():
+    """İ is i in lower case, as SQL sees it, not i and a dot that cuts the word."""
+    embed = embedding.hashing(4096).embed
+    assert embed(["İZMİR x"]) == embed(["izmir x"])

@@ -96,3 +96,13 @@ def test_scores_are_rounded_as_numbers(spark):
     """169.24405 is a little less than that, as SQL sees it."""
     scores = spark.createDataFrame([(1, 5, 169.24405, 1)], "query_id long, id long, score double, rank int")
     assert reports.threshold_trace(scores, spark.createDataFrame([(1, 0, "a")], "query_id long, library int, text string"), 6, 10).first().score == 169.244
+
+
+def test_scores_of_vectors_without_length(spark):
+    """They come first where their score is NaN; missing vectors and those of another length are 0 all the same."""
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0]), (5, [0.0, 0.0])], "id long, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "query_id long, vector array<double>")
+    show = lambda k, *more: {(r.query_id, r["rank"]): (r.id, str(r.score)) for r in retrieval.cosine_top(rows, queries, k, *more).collect()}
+    assert [show(4, 9, float("nan"))[7, i] for i in (1, 2, 3, 4)] == [(2, "nan"), (5, "nan"), (1, "0.6"), (3, "0.0")]
+    assert [show(4, 9, float("nan"))[8, i] for i in (1, 2, 3, 4)] == [(1, "nan"), (2, "nan"), (5, "nan"), (3, "0.0")]
+    assert show(1, None, float("nan")) == {(7, 1): (2, "nan"), (8, 1): (1, "nan"), (9, 1): (1, "0.0")} and show(1) == {(7, 1): (1, "0.6"), (8, 1): (1, "0.0"), (9, 1): (1, "0.0")}
