@@ -98,9 +98,9 @@ def half_even(c: Column, digits: int) -> Column:
 
 
 def tokens(c: Column, kind: str = "terms") -> Column:
-    """Words of a text, in order: terms (2 or more characters), lexemes (1 or more), labels (3 or more, distinct)."""
+    """Words of a text, in order: terms (2 or more characters), lexemes (1 or more), labels (3 or more, distinct); İ is an i, as in SQL."""
     pattern = {"terms": r"[a-z0-9][a-z0-9\-\.]{1,}", "lexemes": r"[a-z0-9][a-z0-9\-\.]*", "labels": r"[a-z0-9][a-z0-9_-]{2,}"}[kind]
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("İ"), F.lit("i"))), F.lit(pattern), F.lit(0))
     return F.array_distinct(found) if kind == "labels" else found
 
 

@@ -99,21 +99,22 @@ class Memo:
         return texts.withColumn("_digest", F.sha2("text", 256)).join(found, F.col("_digest") == found["digest"], "left").drop("_digest", "digest")
 
 
-def hybrid(passages: DataFrame, queries: DataFrame, k: int = 6, constant: int = 60, per_doc: int = 2, least_cosine: float = 0.0, least_score: float = 0.0, texts: DataFrame | None = None) -> DataFrame:
+def hybrid(passages: DataFrame, queries: DataFrame, k: int = 6, constant: int = 60, per_doc: int = 2, least_cosine: float = 0.0, least_score: float = 0.0, texts: DataFrame | None = None, bare: float = 0.0) -> DataFrame:
     """query_id, position, id, doc_id, score, cosine, found_by, terms: a ranking by terms and one by vectors, fused, gated, made diverse.
 
     passages: id, doc_id, text, vector; queries: query_id, text, vector. Each ranking gives its best 3 k. The
     gate keeps what is at least so like the query, by cosine; without a query vector there is nothing to
     gate by, and terms alone decide. Equal scores: by the ranking of terms, then of vectors.
     texts: id, doc_id, text of the same passages, where these come without a join; then no text is moved for its vector.
+    bare: the cosine of vectors without length; NaN comes first and passes the gate.
     """
     texts = passages if texts is None else texts
     words = retrieval.bm25_top(texts.select("id", "text"), queries.select("query_id", "text"), 3 * k).where(F.col("score") > least_score)
-    near = retrieval.cosine_top(passages.where("vector IS NOT NULL").select("id", "vector"), queries.where("vector IS NOT NULL").select("query_id", "vector"), 3 * k)
+    near = retrieval.cosine_top(passages.where("vector IS NOT NULL").select("id", "vector"), queries.where("vector IS NOT NULL").select("query_id", "vector"), 3 * k, bare=bare)
     both = retrieval.fused(words, near, constant).join(words.select("query_id", "id", "terms"), ["query_id", "id"], "left")
     # at most 6 k of each query of a stated set: they go to the passages, not these to them
     like = passages.select("id", "vector").join(F.broadcast(both), "id").join(F.broadcast(queries.select("query_id", F.col("vector").alias("_asked"))), "query_id")
-    like = like.withColumn("cosine", F.when(F.col("vector").isNotNull() & F.col("_asked").isNotNull(), retrieval.cosine(F.col("vector"), F.col("_asked")))).drop("vector", "_asked")
+    like = like.withColumn("cosine", F.when(F.col("vector").isNotNull() & F.col("_asked").isNotNull(), retrieval.cosine(F.col("vector"), F.col("_asked"), bare))).drop("vector", "_asked")
     if least_cosine > 0:
         like = like.where(F.col("cosine").isNull() | (F.col("cosine") >= least_cosine))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc_nulls_last("ra"), F.asc_nulls_last("rb"))

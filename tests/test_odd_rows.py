@@ -71,3 +71,18 @@ def test_dotted_capital_is_one_letter():
     """İ is i in lower case, as SQL sees it, not i and a dot that cuts the word."""
     embed = embedding.hashing(4096).embed
     assert embed(["İZMİR x"]) == embed(["izmir x"])
+
+
+@pytest.mark.parametrize("texts,questions", [(["", "!?", "İZMİR incident", "izmir incident İX"], ["İzmir ix"]), ([], ["", "—"])])
+def test_hybrid_of_texts_without_lexemes(spark, tmp_path, texts, questions):
+    """They are the nearest by vectors and pass the gate, with a cosine that is no number; İ is an i in words too."""
+    search_tables(spark, tmp_path, [*WORDY, *texts], ["triage of call", "zzz yyy", *questions])
+    want = same_as_sql(spark, tmp_path, "hybrid_topk")
+    assert any("nan" in row for row in want) and any("nan" not in row for row in want)
+
+
+def test_hybrid_gate_of_just_so_much(spark, tmp_path):
+    """6 / root of 2 * 50 is 0.6 and passes its gate, which 6 / (root of 2 * root of 50) does not."""
+    search_tables(spark, tmp_path, ["triage " * 3 + "score " * 3 + "audit " * 4 + "risk " * 4], ["triage score"])
+    assert len(set(tuple(v) for v in embedding.hashing(32).embed(["triage", "score", "audit", "risk"]))) == 4
+    assert same_as_sql(spark, tmp_path, "hybrid_topk") and 6 / (2**0.5 * 50**0.5) < 0.6
